@@ -7,9 +7,22 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from foliospark.llm import byte_bpe, quality_rules, token_files
+from foliospark.llm import byte_bpe, mixing, quality_rules, sharding, token_files
 from foliospark.llm.common import table
 
+MIX_SEED = 20
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"), seed=MIX_SEED)
+    return mixed.select("doc_id", "source", "copy", "n_copies", F.round("rate", 6).alias("rate"), "text", "shuffle_key")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return dealt.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -36,6 +49,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_source_mixing": op8_source_mixing,
+    "op10_sharding": op10_sharding,
     "op4_token_files": op4_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
@@ -79,6 +94,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM ledger
 """
 
+OP8_SQL = f"""
+WITH RECURSIVE sizes AS (
+  SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source
+), rated AS (
+  SELECT source, w / sum(w) OVER () * CAST(sum(chars) OVER () AS BIGINT) / chars AS rate
+  FROM (SELECT *, CASE WHEN chars > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM sizes) WHERE chars > 0
+), stepped AS (
+  SELECT *, greatest(1, CAST(ceil(rate / 32) AS INT)) AS steps FROM rated
+), cdf AS (
+  SELECT source, rate / steps AS mean, 0 AS k, exp(-(rate / steps)) AS p, exp(-(rate / steps)) AS c FROM stepped
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < {mixing.TERMS}
+), curve AS (
+  SELECT source, list(c) AS cs FROM cdf GROUP BY source
+), drawn AS (
+  SELECT d.doc_id, d.source, d.text, s.rate,
+         CAST(list_sum(list_transform(range(1, s.steps + 1), lambda i: len(list_filter(cs, lambda c:
+           c <= CAST(('0x' || substr(md5('{MIX_SEED}|' || d.doc_id || '|' || i), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)))) AS INT) AS n_copies
+  FROM documents d JOIN stepped s ON d.source IS NOT DISTINCT FROM s.source JOIN curve v ON v.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, source, CAST(copy AS INT) AS copy, n_copies, round(rate, 6) AS rate, text,
+       md5('{MIX_SEED}|' || doc_id || '|' || copy || '|order') AS shuffle_key
+FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM drawn)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_source_mixing": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
 }
