@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from foliospark.llm import byte_bpe, mixing, quality_rules, sharding, token_files
+from foliospark.llm import byte_bpe, mixing, quality, quality_rules, sharding, token_files, topk
 from foliospark.llm.common import table
 
 MIX_SEED = 20
@@ -24,6 +24,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality.fit(docs, labels.filter(~held_out()))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
@@ -49,6 +61,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_topk_search": op3_topk_search,
     "op8_source_mixing": op8_source_mixing,
     "op10_sharding": op10_sharding,
     "op4_token_files": op4_token_files,
@@ -119,7 +133,21 @@ SELECT doc_id, source, CAST(copy AS INT) AS copy, n_copies, round(rate, 6) AS ra
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM drawn)
 """
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk_search": OP3_SQL,
     "op8_source_mixing": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
 }
