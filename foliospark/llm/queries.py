@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from foliospark.llm import byte_bpe, mixing, quality, quality_rules, sharding, token_files, topk
+from foliospark.llm import byte_bpe, mixing, order_minhash, quality, quality_rules, sharding, token_files, topk
 from foliospark.llm.common import table
 
 MIX_SEED = 20
@@ -36,6 +36,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
@@ -61,6 +65,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_order_minhash": op6_order_minhash,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_topk_search": op3_topk_search,
     "op8_source_mixing": op8_source_mixing,
