@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from foliospark.llm import byte_bpe, mixing, order_minhash, quality, quality_rules, sharding, token_files, topk
-from foliospark.llm.common import table
+from foliospark.llm import byte_bpe, mixing, order_minhash, quality, quality_rules, sharding, substring_dedup, token_files, topk
+from foliospark.llm.common import table, words
 
 MIX_SEED = 20
 
@@ -36,6 +36,12 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.array_join(words(F.col("text")), " ")
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +71,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_order_minhash": op6_order_minhash,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_topk_search": op3_topk_search,
