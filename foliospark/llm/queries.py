@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from foliospark.llm import byte_bpe, mixing, order_minhash, quality, quality_rules, sharding, substring_dedup, token_files, topk
+from foliospark.llm import byte_bpe, license_scan, mixing, order_minhash, quality, quality_rules, sharding, substring_dedup, token_files, topk
 from foliospark.llm.common import table, words
 
 MIX_SEED = 20
@@ -36,6 +36,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.array_join(words(F.col("text")), " ")
@@ -71,6 +75,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_order_minhash": op6_order_minhash,
     "op2_quality_classifier": op2_quality_classifier,
