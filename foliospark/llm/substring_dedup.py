@@ -37,18 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import discard, fresh_path, written
+from foliospark.llm.common import discard, dropped, fresh_path, tidy, written
 from foliospark.llm.wordhash import U, Texts, _base, _spans, mix, slices, windows
 
 WINDOW = 20
 ANCHOR = 6
-BATCHES = 3
+BATCHES = 2
 FANOUT = 4
 #: Entries that a task holds to combine copies; beyond it it sends them on and starts anew.
 HELD = 1 << 19
 LOWEST = -(2**63)
 ENTRY = "route long, key long, part int, pos int, shared boolean, direct boolean"
-CONTEXT = "is_first boolean, fp long, h1 long, h2 long, key long, part int, pos int, lo int, hi int, windows array<long>"
+CONTEXT = "is_first boolean, fp long, h1 long, h2 long, key long, part int, pos int, lo int, hi int, begin int, windows array<long>"
 
 
 def sliding_argmin(values: np.ndarray, n: int) -> np.ndarray:
@@ -112,25 +112,22 @@ def _contexts(window: int, anchor: int):
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        fp, h1, h2, key, part, pos, lo, hi = (np.concatenate([x[i] for x in held]) for i in range(8))
-        flat = np.concatenate([x[8] for x in held])
-        size = hi - lo - window + 1
-        begin = np.cumsum(size) - size
+        fp, h1, h2, key, part, pos, lo, hi, begin, size = (np.concatenate([x[i] for x in held]) for i in range(10))
+        flat = np.concatenate([x[10] for x in held])
+        at = np.cumsum(size) - size
         order = np.lexsort((pos, part, key, h2, h1))
         same = np.zeros(len(order), bool)
         same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         is_first = np.empty(len(order), bool)
         is_first[order] = ~same
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        least = order[head]  # in the order of order: the first entry of each group
+        least = order[head]  # the first entry of each group, in the order of order
         equal = (key[order] == key[least]) & (part[order] == part[least]) & (pos[order] == pos[least])
         keep = np.sort(order[~(same & equal)])  # rows that equal the first are neither first nor repeats
         n = np.where(is_first, size, 0)[keep]
-        ends = np.append(0, np.cumsum(n))
-        take = np.repeat(begin[keep], n) + np.arange(ends[-1]) - np.repeat(ends[:-1], n)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[take].view(np.int64)))
-        columns = [is_first[keep], fp[keep].view(np.int64), h1[keep].view(np.int64), h2[keep].view(np.int64), key[keep], part[keep], *(x[keep].astype(np.int32) for x in (pos, lo, hi))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["is_first", "fp", "h1", "h2", "key", "part", "pos", "lo", "hi", "windows"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat[_places(at[keep], n)].view(np.int64)))
+        columns = [is_first[keep], *(x[keep].view(np.int64) for x in (fp, h1, h2)), key[keep], part[keep], *(x[keep].astype(np.int32) for x in (pos, lo, hi, begin))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["is_first", "fp", "h1", "h2", "key", "part", "pos", "lo", "hi", "begin", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -142,18 +139,20 @@ def _contexts(window: int, anchor: int):
                 text = np.repeat(np.arange(end - first), np.diff(offsets[first : end + 1]))
                 if not len(pos):
                     continue
-                begin, stop = words.first[text], words.first[text + 1]
-                at = begin + pos
-                lo, hi = np.maximum(begin, at - reach), np.minimum(stop, at + window)
+                start, stop = words.first[text], words.first[text + 1]
+                at = start + pos
+                lo, hi = np.maximum(start, at - reach), np.minimum(stop, at + window)
+                hashes = words.hashes()
                 h = []
-                for seed in (0, 1):
+                for seed, values in ((0, hashes), (1, words.hashes(1))):
                     base, inverse, _ = _base(seed + 70)
-                    h.append(mix(_spans(words.hashes(seed), base, inverse, lo, hi) + (((at - lo) << 8) + hi - lo).astype(U)))
-                hashes = words.hashes()
-                of_window, size = windows(hashes, window), hi - lo - window + 1
-                ends = np.append(0, np.cumsum(size))
-                take = np.repeat(lo, size) + np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-                held.append((windows(hashes, anchor)[at], *h, keys[first + text], parts[first + text], pos, lo - begin, hi - begin, of_window[take]))
+                    h.append(mix(_spans(values, base, inverse, lo, hi) + (((at - lo) << 8) + hi - lo).astype(U)))
+                grams = windows(hashes, anchor)
+                # The windows that have this anchor: a range, as the place of the least never moves back.
+                least = sliding_argmin(grams, reach + 1)
+                begin = np.maximum(lo, np.searchsorted(least, at, "left"))
+                size = np.maximum(0, np.minimum(hi - window + 1, np.searchsorted(least, at, "right")) - begin)
+                held.append((grams[at], *h, keys[first + text], parts[first + text], pos, lo - start, hi - start, begin - start, size, windows(hashes, window)[_places(begin, size)]))
                 n += len(pos)
                 if n > HELD:
                     yield from flush(held)
@@ -163,6 +162,12 @@ def _contexts(window: int, anchor: int):
     return run
 
 
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for size places, of each in turn."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Index:
     """Immutable runs of fingerprints, each a table bucketed and sorted by fingerprint; ``shared`` are the entries met twice."""
 
@@ -174,7 +179,8 @@ class Index:
 
     def _run(self, entries: DataFrame) -> tuple[str, str]:
         name, path = f"fingerprints_{uuid.uuid4().hex}", fresh_path(self.spark, "run")
-        entries.repartition("route").write.bucketBy(self.buckets, "route").sortBy("route").option("path", path).saveAsTable(name)
+        with tidy(self.spark):
+            entries.repartition("route").write.bucketBy(self.buckets, "route").sortBy("route").option("path", path).saveAsTable(name)
         return name, path
 
     def _read(self, run: tuple[str, str]) -> DataFrame:
@@ -211,28 +217,34 @@ class Index:
         self.runs = []
 
     def shared(self) -> DataFrame:
-        """key, part, places: the shared anchors of each text."""
+        """key, part, places: the shared anchors of each text, of all batches so far."""
         found = self.found[0]
         for more in self.found[1:]:
             found = found.unionByName(more)
-        return found.groupBy("key", "part").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+        places = written(found.groupBy("key", "part").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
+        dropped(*self.found)
+        self.found = []
+        return places
 
 
 def repeats(docs: DataFrame, shared: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """key, part, lo, hi: word ranges that repeated windows cover, verified on the texts."""
+    """key, part, spans: the word ranges of each text that repeated windows cover, verified on the texts."""
     context = written(docs.join(shared, ["key", "part"]).select("key", "part", "text", "places").mapInArrow(_contexts(window, anchor), CONTEXT), "contexts")
-    span = ("key", "part", "lo", "hi")
-    place = F.struct("key", "part", "pos")
-    firsts = context.filter("is_first")
+    span, place = ("key", "part", "lo", "hi"), F.struct("key", "part", "pos")
+    firsts = context.filter("is_first").select("fp", "h1", "h2", "pos", *span)
     least = firsts.groupBy("h1", "h2").agg(F.min(place).alias("least"))
-    judged = written(firsts.join(least, ["h1", "h2"]).withColumn("order", F.when(place == F.col("least"), 0).when(place > F.col("least"), 1)), "judged")
-    marks = context.filter("NOT is_first").select(*span).unionByName(judged.filter("order = 1").select(*span))
+    judged = written(firsts.join(least, ["h1", "h2"]).select("fp", "pos", *span, F.when(place == F.col("least"), 0).when(place > F.col("least"), 1).alias("order")), "judged")
     heads = judged.filter("order = 0")
     several = heads.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
-    each = written(heads.join(several, "fp").select("key", "part", "lo", F.posexplode("windows").alias("i", "w")).select("key", "part", (F.col("lo") + F.col("i")).alias("start"), "w"), "windows")
+    edge = heads.join(several, "fp").select("key", "part", "pos")
+    each = context.filter("is_first").select("key", "part", "pos", "begin", "windows").join(edge, ["key", "part", "pos"], "left_semi")
+    each = written(each.select("key", "part", "begin", F.posexplode("windows").alias("i", "w")).select("key", "part", (F.col("begin") + F.col("i")).alias("start"), "w"), "windows")
     earliest = each.groupBy("w").agg(F.min(F.struct("key", "part", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = each.join(earliest, "w").filter(F.struct("key", "part", "start") > F.col("least"))
-    return marks.unionByName(again.select("key", "part", F.col("start").alias("lo"), (F.col("start") + window).alias("hi")))
+    again = each.join(earliest, "w").filter(F.struct("key", "part", "start") > F.col("least")).select("key", "part", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
+    marks = context.filter("NOT is_first").select(*span).unionByName(judged.filter("order = 1").select(*span)).unionByName(again)
+    spans = written(marks.groupBy("key", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    dropped(context, judged, each)
+    return spans
 
 
 def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -289,9 +301,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for low, high in zip(edges, edges[1:], strict=False):
         batch = docs if low is None else docs.filter(F.col("key") > low)
         index.add(batch if high is None else batch.filter(F.col("key") <= high))
-    marks = repeats(docs, index.shared(), window, anchor)
-    spans = marks.groupBy(F.col("key").alias("_key"), F.col("part").alias("_part")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    spans = written(spans, "spans")
+    shared = index.shared()
     index.drop()
-    joined = keyed.join(spans, ["_key", "_part"], "left").withColumn("_cut", F.arrow_udf(_cut, "struct<n_words:long,n_removed:long,text:string>")(F.col(text_col), F.col("_spans")))
+    spans = repeats(docs, shared, window, anchor)
+    dropped(shared)
+    joined = keyed.join(spans.toDF("_key", "_part", "_spans"), ["_key", "_part"], "left").withColumn("_cut", F.arrow_udf(_cut, "struct<n_words:long,n_removed:long,text:string>")(F.col(text_col), F.col("_spans")))
     return joined.withColumns({"n_words": F.col("_cut.n_words"), "n_removed": F.col("_cut.n_removed"), text_col: F.col("_cut.text")}).drop("_key", "_part", "_spans", "_cut")
