@@ -39,7 +39,8 @@ SCALE = 1024
 LISTS = 4
 QUERY_BLOCK = 4096
 QUERY_BYTES = 32 << 20
-TILE_QUERIES, TILE_ROWS = 256, 4096
+#: Queries and vectors whose scores are held at once.
+TILE = (256, 4096)
 #: Whole numbers below this are exact as doubles, and so are their small multiples.
 EXACT = 2**48
 
@@ -67,17 +68,17 @@ def _numbers(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (q.astype(object), x.astype(object)) if q.size and x.size else (q, x)
 
 
-def _tiles(queries: tuple[np.ndarray, np.ndarray, list[int]], ids: np.ndarray, rows: np.ndarray, lists: int):
+def _tiles(queries: tuple[np.ndarray, np.ndarray, list[int]], ids: np.ndarray, rows: np.ndarray, lists: int, tile: tuple[int, int]):
     """(first query, first row, partial scores of each block, places of a query's own id) of each tile."""
     q_ids, q_all, _ = queries
     q_all, rows = _numbers(q_all, rows)
     cuts = np.linspace(0, rows.shape[1], lists + 1).astype(int)
-    for q0 in range(0, len(q_ids), TILE_QUERIES):
-        q = q_all[q0 : q0 + TILE_QUERIES]
-        for x0 in range(0, len(ids), TILE_ROWS):
-            x = rows[x0 : x0 + TILE_ROWS]
+    for q0 in range(0, len(q_ids), tile[0]):
+        q = q_all[q0 : q0 + tile[0]]
+        for x0 in range(0, len(ids), tile[1]):
+            x = rows[x0 : x0 + tile[1]]
             parts = [q[:, a:b] @ x[:, a:b].T if b > a else np.zeros((len(q), len(x)), q.dtype) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield q0, x0, parts, q_ids[q0 : q0 + TILE_QUERIES, None] == ids[None, x0 : x0 + TILE_ROWS]
+            yield q0, x0, parts, q_ids[q0 : q0 + tile[0], None] == ids[None, x0 : x0 + tile[1]]
 
 
 def _best(best: tuple | None, q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
@@ -91,14 +92,14 @@ def _best(best: tuple | None, q: np.ndarray, ids: np.ndarray, scores: np.ndarray
     return q[keep], ids[keep], scores[keep]
 
 
-def _gather(queries: dict[int, tuple], k: int, lists: int):
+def _gather(queries: dict[int, tuple], k: int, lists: int, tile: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, low = {}, {}
         for batch in batches:
             for d, ids, rows in _matrices(batch.column(0), batch.column(1)):
                 if d not in queries:
                     continue
-                for q0, x0, parts, own in _tiles(queries[d], ids, rows, lists):
+                for q0, x0, parts, own in _tiles(queries[d], ids, rows, lists, tile):
                     total = sum(parts)
                     chosen = np.zeros(own.shape, bool)
                     n = min(k + 1, own.shape[1])  # one more, as a query's own row may be among them
@@ -111,7 +112,7 @@ def _gather(queries: dict[int, tuple], k: int, lists: int):
                     q, x = np.nonzero(chosen)
                     best[d, q0] = _best(best.get((d, q0)), q, ids[x0 + x], total[q, x].astype(np.int64), k)
         for (d, q0), (q, _, scores) in best.items():
-            places = queries[d][2][q0 : q0 + TILE_QUERIES]
+            places = queries[d][2][q0 : q0 + tile[0]]
             lows = np.stack([low[d, q0, j] for j in range(lists)], axis=1).astype(np.int64)
             parts = np.split(scores, np.searchsorted(q, np.arange(1, len(places))))
             yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(lows.tolist(), pa.list_(pa.int64())), pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))], names=["place", "lows", "scores"])
@@ -119,15 +120,15 @@ def _gather(queries: dict[int, tuple], k: int, lists: int):
     return run
 
 
-def _resolve(queries: dict[int, tuple], cutoffs: dict[int, tuple[list[int], int | None]], k: int, lists: int):
+def _resolve(queries: dict[int, tuple], cutoffs: dict[int, tuple[list[int], int | None]], k: int, lists: int, tile: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {}
         for batch in batches:
             for d, ids, rows in _matrices(batch.column(0), batch.column(1)):
                 if d not in queries:
                     continue
-                for q0, x0, parts, own in _tiles(queries[d], ids, rows, lists):
-                    places = queries[d][2][q0 : q0 + TILE_QUERIES]
+                for q0, x0, parts, own in _tiles(queries[d], ids, rows, lists, tile):
+                    places = queries[d][2][q0 : q0 + tile[0]]
                     known = [cutoffs[p] for p in places]
                     lows = np.array([c[0] for c in known], parts[0].dtype)
                     # t - sum of lows, for each query: m times the cutoff. Without k gathered entries all are collected.
@@ -143,13 +144,13 @@ def _resolve(queries: dict[int, tuple], cutoffs: dict[int, tuple[list[int], int
                     scores = sum(part[q, x] for part in parts).astype(np.int64)
                     best[d, q0] = _best(best.get((d, q0)), q, ids[x0 + x], scores, k)
         for (d, q0), (q, ids, scores) in best.items():
-            asked = queries[d][0][q0 : q0 + TILE_QUERIES]
+            asked = queries[d][0][q0 : q0 + tile[0]]
             yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS, tile: tuple[int, int] = TILE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest scores of each query row against all other rows."""
     spark = df.sparkSession
     asked = df.filter(is_query)
@@ -169,14 +170,14 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         for place, r in enumerate(block):
             by_dim[len(r.v)].append((r.id, r.v, place))
         queries = {d: (np.array([x[0] for x in rows]), np.array([x[1] for x in rows], np.int64).reshape(len(rows), d), [x[2] for x in rows]) for d, rows in by_dim.items()}
-        lists_seen = vectors.mapInArrow(_gather(queries, k, lists), "place long, lows array<long>, scores array<long>")
+        lists_seen = vectors.mapInArrow(_gather(queries, k, lists, tile), "place long, lows array<long>, scores array<long>")
         gathered = lists_seen.groupBy("place").agg(
             F.array(*[F.min(F.get("lows", F.lit(j))) for j in range(lists)]).alias("lows"),
             F.get(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), F.lit(k - 1)).alias("kth"),
         )
         cutoffs = {r.place: (r.lows, r.kth) for r in gathered.collect()}  # a row per query of the block
         if cutoffs:
-            part = vectors.mapInArrow(_resolve(queries, cutoffs, k, lists), "query_id long, vec_id long, score long")
+            part = vectors.mapInArrow(_resolve(queries, cutoffs, k, lists, tile), "query_id long, vec_id long, score long")
             part = written(part, "resolved")
             found = part if found is None else found.unionByName(part)
         if len(block) < size:
