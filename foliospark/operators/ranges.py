@@ -49,10 +49,10 @@ def compress(df: DataFrame, keys: Sequence[str], number: str, dash: str = "-") -
     """keys, ranges: distinct whole numbers as "1-3, 5"."""
     w = Window.partitionBy(*keys).orderBy(number)
     island = df.select(*keys, number).distinct().withColumn("_g", F.col(number) - F.row_number().over(w))
-    ends = island.groupBy(*keys, "_g").agg(F.min(number).alias("a"), F.max(number).alias("b"))
-    text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat(F.col("a").cast("string"), F.lit(dash), F.col("b").cast("string")))
-    listed = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("a", text.alias("t")))).alias("l"))
-    return listed.select(*keys, F.array_join(F.transform("l", lambda x: x["t"]), ", ").alias("ranges"))
+    ends = island.groupBy(*keys, "_g").agg(F.min(number).alias("_a"), F.max(number).alias("_b"))
+    text = F.when(F.col("_a") == F.col("_b"), F.col("_a").cast("string")).otherwise(F.concat(F.col("_a").cast("string"), F.lit(dash), F.col("_b").cast("string")))
+    listed = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_a", text.alias("_t")))).alias("_l"))
+    return listed.select(*keys, F.array_join(F.transform("_l", lambda x: x["_t"]), ", ").alias("ranges"))
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
