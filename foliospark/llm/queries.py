@@ -65,13 +65,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt to a few partitions a core, whatever number of splits they were read in."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
-    return judged.select(
+    out = judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(quality_rules.rule_mask(quality_rules.POLICIES["base"]))) != 0).alias("base_failed"),
         "kept", "n_lines", "n_upper", "fail_bits",
     )
+    return few_files(out)
 
 
 QUERIES = {
