@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import escape_html
 from foliospark.operators.alignment import align
+from foliospark.operators.formats import Format
 from foliospark.operators.pairing import Unit, compare_units
 from foliospark.operators.units import unit_lists
 
@@ -75,12 +76,15 @@ def edit_scripts(paired: DataFrame, ignore_case: bool = False) -> DataFrame:
 def compare(paired: DataFrame, ignore_case: bool = False) -> DataFrame:
     """a, b, row_idx and the fields of each row of the comparison, in order.
 
-    ``units_a`` and ``units_b`` are arrays of texts, or of structs with text and, where known, marker
-    and stream.
+    ``units_a`` and ``units_b`` are arrays of texts, or of structs with text and, where known, marker,
+    stream, bold (spans) and formats.
     """
 
     def unit(x: str | dict) -> Unit:
-        return Unit(x) if isinstance(x, str) else Unit(x["text"], x.get("marker") or "", x.get("stream") or "body")
+        if isinstance(x, str):
+            return Unit(x)
+        formats = [Format(f["s"], f["e"], f["b"], f["i"], f["u"], f["f"], f["z"], f["clr"]) for f in x.get("formats") or ()]
+        return Unit(x["text"], x.get("marker") or "", x.get("stream") or "body", [(s["s"], s["e"]) for s in x.get("bold") or ()], formats)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:

@@ -11,7 +11,7 @@ from foliospark.functions import text as T
 from foliospark.operators import compare as C
 from foliospark.operators import ranges as R
 from foliospark.operators import similarity as S
-from foliospark.operators import threads, units
+from foliospark.operators import pages, report, threads, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -355,6 +355,34 @@ def change_snippets(spark, sf_dir):
     return C.snippets(_rows(spark, sf_dir))
 
 
+@query("page_plan")
+def page_plan(spark, sf_dir):
+    return pages.paginate(_rows(spark, sf_dir))
+
+
+@query("changed_pages")
+def changed_pages(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return report.changed_pages(rows.join(pages.paginate(rows).drop("n_lines"), ["a", "b", "row_idx"]))
+
+
+@query("report_lines")
+def report_lines(spark, sf_dir):
+    return report.report_lines(C.summary(_rows(spark, sf_dir)))
+
+
+@query("change_list")
+def change_list(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return report.change_list(C.passages(rows), rows)
+
+
+@query("visible_rows")
+def visible_rows(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return rows.select("a", "b", "row_idx", "type", report.visible(show_equal=False, show_deletions=False).alias("visible"))
+
+
 @query("comparison_json")
 def comparison_json(spark, sf_dir):
     return C.to_json(_rows(spark, sf_dir))

@@ -13,6 +13,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import groupby
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -32,11 +33,19 @@ REVISIONS = ("ins", "del", "moveFrom", "moveTo", "rPrChange", "pPrChange", "tblP
 BULLETS = "•◦▪‣·"
 ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
 
-UNIT_DDL = "struct<text:string,marker:string,stream:string,note:int,part:string,ti:int,ri:int,ci:int,style:string,align:string,bold:array<struct<s:int,e:int>>>"
+FORMAT_DDL = "struct<s:int,e:int,b:boolean,i:boolean,u:boolean,f:string,z:double,clr:string>"
+PROPS_DDL = "struct<ind_left:double,ind_hanging:double,ind_first:double,space_before:double,space_after:double,line_spacing:double,line_exact:double,keep_next:boolean,keep_lines:boolean,page_break:boolean,contextual:boolean>"
+UNIT_DDL = f"struct<text:string,marker:string,ilvl:int,stream:string,note:int,part:string,ti:int,ri:int,ci:int,cols:int,style:string,heading:int,align:string,props:{PROPS_DDL},bold:array<struct<s:int,e:int>>,formats:array<{FORMAT_DDL}>>"
 COMMENT_DDL = "struct<id:string,author:string,initials:string,date:string,text:string,parent:string,done:boolean,row:int>"
 FILE_DDL = f"struct<kind:string,saved:timestamp,n_revisions:int,error:string,units:array<{UNIT_DDL}>,comments:array<{COMMENT_DDL}>>"
-_SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-_UNIT = pa.struct([(n, pa.string()) for n in ("text", "marker", "stream")] + [("note", pa.int32()), ("part", pa.string()), ("ti", pa.int32()), ("ri", pa.int32()), ("ci", pa.int32()), ("style", pa.string()), ("align", pa.string()), ("bold", _SPAN)])
+_INT, _TEXT, _FLAG, _NUMBER = pa.int32(), pa.string(), pa.bool_(), pa.float64()
+_SPAN = pa.list_(pa.struct([("s", _INT), ("e", _INT)]))
+_FORMAT = pa.list_(pa.struct([("s", _INT), ("e", _INT), ("b", _FLAG), ("i", _FLAG), ("u", _FLAG), ("f", _TEXT), ("z", _NUMBER), ("clr", _TEXT)]))
+_PROPS = pa.struct([(n, _NUMBER) for n in ("ind_left", "ind_hanging", "ind_first", "space_before", "space_after", "line_spacing", "line_exact")] + [(n, _FLAG) for n in ("keep_next", "keep_lines", "page_break", "contextual")])
+_UNIT = pa.struct(
+    [("text", _TEXT), ("marker", _TEXT), ("ilvl", _INT), ("stream", _TEXT), ("note", _INT), ("part", _TEXT), ("ti", _INT), ("ri", _INT), ("ci", _INT), ("cols", _INT)]
+    + [("style", _TEXT), ("heading", _INT), ("align", _TEXT), ("props", _PROPS), ("bold", _SPAN), ("formats", _FORMAT)]
+)
 _COMMENT = pa.struct([(n, pa.string()) for n in ("id", "author", "initials", "date", "text", "parent")] + [("done", pa.bool_()), ("row", pa.int32())])
 _FILE = pa.struct([("kind", pa.string()), ("saved", pa.timestamp("us", "UTC")), ("n_revisions", pa.int32()), ("error", pa.string()), ("units", pa.list_(_UNIT)), ("comments", pa.list_(_COMMENT))])
 
@@ -100,7 +109,10 @@ class _Lists:
     def _level(el: ET.Element) -> dict:
         start = _attr(el.find(W + "start")) or "1"
         text = _attr(el.find(W + "lvlText"))
-        return {"fmt": _attr(el.find(W + "numFmt")) or "decimal", "text": "%1." if text is None else text, "start": int(start) if start.isdigit() else 1, "style": _attr(el.find(W + "pStyle"))}
+        return {"fmt": _attr(el.find(W + "numFmt")) or "decimal", "text": "%1." if text is None else text, "start": int(start) if start.isdigit() else 1, "style": _attr(el.find(W + "pStyle")), "props": paragraph_properties(el.find(W + "pPr"))}
+
+    def level(self, num: str | None, level: int) -> dict | None:
+        return self.levels.get(self.of_num.get(num), {}).get(level)
 
     def next(self, num: str, level: int) -> str:
         """The marker of the next paragraph at a level of a list; deeper levels begin anew."""
@@ -126,26 +138,102 @@ class _Lists:
         return re.sub(r"%(\d+)", shown, own["text"])
 
 
+def _number(text: str | None) -> float | None:
+    try:
+        return float(text) if text is not None else None
+    except ValueError:
+        return None
+
+
+def _points(text: str | None) -> float | None:
+    """Twentieths of a point as points."""
+    n = _number(text)
+    return None if n is None else n / 20
+
+
+def run_properties(rpr: ET.Element | None) -> dict:
+    """The run properties that an element sets."""
+    out: dict = {}
+    for el in rpr if rpr is not None else ():
+        tag = el.tag.removeprefix(W)
+        if tag in ("b", "i"):
+            out[tag] = _on(el)
+        elif tag == "u":
+            out["u"] = (_attr(el) or "single") != "none"
+        elif tag == "rFonts" and _attr(el, "ascii"):
+            out["f"] = _attr(el, "ascii")
+        elif tag == "sz" and _number(_attr(el)) is not None:
+            out["z"] = _number(_attr(el)) / 2
+        elif tag == "color":
+            value = (_attr(el) or "auto").lower()
+            out["clr"] = None if value == "auto" else value
+    return out
+
+
+#: Attributes of the indent element by what they set; the first form wins over the older name of it.
+INDENTS = {"left": "ind_left", "start": "ind_left", "hanging": "ind_hanging", "firstLine": "ind_first"}
+FLAGS = {"keepNext": "keep_next", "keepLines": "keep_lines", "contextualSpacing": "contextual", "pageBreakBefore": "page_break"}
+
+
+def paragraph_properties(ppr: ET.Element | None) -> dict:
+    """The paragraph properties that an element sets; the line height is one value, ``line``."""
+    out: dict = {}
+    for el in ppr if ppr is not None else ():
+        tag = el.tag.removeprefix(W)
+        if tag == "jc":
+            value = _attr(el) or "left"
+            out["align"] = {"both": "justify", "start": "left", "end": "right"}.get(value, value)
+        elif tag == "ind":
+            out |= {key: _points(_attr(el, name)) for name, key in INDENTS.items() if _points(_attr(el, name)) is not None}
+        elif tag == "spacing":
+            out |= {key: _points(_attr(el, name)) for name, key in (("before", "space_before"), ("after", "space_after")) if _points(_attr(el, name)) is not None}
+            height = _number(_attr(el, "line"))
+            if height is not None:
+                out["line"] = (height / 240, None) if (_attr(el, "lineRule") or "auto") == "auto" else (None, height / 20)
+        elif tag in FLAGS:
+            out[FLAGS[tag]] = _on(el)
+        elif tag == "numPr":
+            out |= {key: _attr(el.find(W + name)) for name, key in (("numId", "num"), ("ilvl", "level")) if _attr(el.find(W + name)) is not None}
+    return out
+
+
 class _Styles:
-    """Paragraph styles: list and alignment, inherited from what a style is based on."""
+    """Styles with what they are based on: properties fold from the root of the chain down."""
 
     def __init__(self, root: ET.Element | None) -> None:
-        self.rows, self.default = {}, None
+        self.rows: dict[str, tuple] = {}
+        self.default = None
+        defaults = root.find(W + "docDefaults") if root is not None else None
+        at = lambda path: defaults.find(path) if defaults is not None else None
+        self.run = {"f": None, "z": 11.0} | run_properties(at(f"{W}rPrDefault/{W}rPr"))
+        self.paragraph = paragraph_properties(at(f"{W}pPrDefault/{W}pPr"))
         for el in root.iter(W + "style") if root is not None else ():
-            ppr = el.find(W + "pPr")
             name = el.get(W + "styleId")
-            self.rows[name] = (_attr(el.find(W + "basedOn")), ppr)
-            if el.get(W + "type") == "paragraph" and (el.get(W + "default") or "").lower() in ("1", "true", "on"):
+            self.rows[name] = (_attr(el.find(W + "basedOn")), _attr(el.find(W + "name")) or "", run_properties(el.find(W + "rPr")), paragraph_properties(el.find(W + "pPr")))
+            if el.get(W + "type") == "paragraph" and (el.get(W + "default") or "").strip().lower() in ("1", "true", "on"):
                 self.default = name
 
-    def lookup(self, style: str | None, own: ET.Element | None, path: str) -> ET.Element | None:
-        """The nearest element at a path: the paragraph's own, else up the chain of its style."""
-        found, seen, style = own.find(path) if own is not None else None, set(), style or self.default
-        while found is None and style in self.rows and style not in seen:
-            seen.add(style)
-            style, ppr = self.rows[style]
-            found = ppr.find(path) if ppr is not None else None
-        return found
+    def resolved(self, style: str | None) -> tuple[dict, dict]:
+        """Run and paragraph properties of a style and all that it is based on."""
+        chain, style = [], style if style is not None else self.default
+        while style in self.rows and style not in (name for name, _ in chain):
+            chain.append((style, self.rows[style]))
+            style = self.rows[style][0]
+        run, paragraph = {}, {}
+        for _, row in reversed(chain):
+            run |= row[2]
+            paragraph |= row[3]
+        return run, paragraph
+
+    def heading(self, style: str | None) -> int | None:
+        """Title is 1; else the digit after heading in the style's name or id, at most 6."""
+        if not style:
+            return None
+        if style.lower() == "title":
+            return 1
+        name = self.rows[style][1] if style in self.rows else ""
+        found = re.search(r"heading\s*(\d)", name, re.I) or re.search(r"heading(\d)", style, re.I)
+        return min(6, int(found[1])) if found else None
 
 
 class _Reader:
@@ -156,6 +244,7 @@ class _Reader:
         self.units: list[dict] = []
         self.seen_notes: set[tuple[str, str]] = set()
         self.anchors: dict[str, int] = {}
+        self.pending_break = False
 
     def xml(self, name: str) -> ET.Element | None:
         if name not in self.names:
@@ -173,8 +262,8 @@ class _Reader:
         root = self.xml("word/_rels/document.xml.rels")
         return {el.get("Id"): (el.get("Target") or "").rpartition("/")[2] for el in (root if root is not None else ())}
 
-    def _runs(self, el: ET.Element, out: list) -> None:
-        """Text pieces (text, bold), note references and comment anchors of a paragraph, in order."""
+    def _runs(self, el: ET.Element, inherited: dict, out: list) -> None:
+        """What a paragraph holds, in order: ("text", piece, format), ("note", kind, id), ("comment", id), ("break",)."""
         for child in el:
             tag = child.tag.removeprefix(W)
             if tag in SKIPPED:
@@ -182,69 +271,107 @@ class _Reader:
             if tag in ("commentRangeStart", "commentReference"):
                 out.append(("comment", child.get(W + "id")))
             elif tag == "r":
-                bold = _on(child.find(f"{W}rPr/{W}b"))
+                own = run_properties(child.find(W + "rPr"))
+                whole = self.styles.run | inherited | own
+                # The bold that is compared is the run's own alone.
+                fmt = (bool(own.get("b")), bool(whole.get("i")), bool(whole.get("u")), whole.get("f"), whole.get("z"), whole.get("clr"))
                 for part in child:
                     kind = part.tag.removeprefix(W)
                     if kind == "t":
-                        out.append((part.text or "", bold))
+                        out.append(("text", part.text or "", fmt))
+                    elif kind == "br" and part.get(W + "type") == "page":
+                        out.append(("break",))
                     elif kind in ("tab", "br", "cr"):
-                        out.append(("\t" if kind == "tab" else "\n", bold))
+                        out.append(("text", "\t" if kind == "tab" else "\n", fmt))
                     elif kind == "noBreakHyphen":
-                        out.append(("-", bold))
+                        out.append(("text", "-", fmt))
                     elif kind in ("footnoteReference", "endnoteReference"):
-                        out.append((kind.removesuffix("Reference"), part.get(W + "id"), "note"))
+                        out.append(("note", kind.removesuffix("Reference"), part.get(W + "id")))
                     elif kind == "commentReference":
                         out.append(("comment", part.get(W + "id")))
             elif tag in TRANSPARENT:
-                self._runs(child, out)
+                self._runs(child, inherited, out)
 
     @staticmethod
-    def _collapsed(pieces: list[tuple[str, bool]]) -> tuple[str, list[dict]]:
-        """Text with single spaces, and its bold spans."""
-        chars = [(c, bold) for text, bold in pieces for c in text]
-        kept: list[tuple[str, bool]] = []
-        for c, bold in chars:
-            if not py_is_blank(c):
-                kept.append((c, bold))
-            elif kept and kept[-1][0] != " ":
-                kept.append((" ", bold))
-            elif kept and bold:  # a swallowed space lends its bold to the one that stays
-                kept[-1] = (" ", True)
-        text = "".join(c for c, _ in kept)
-        lead = len(text) - len(text.lstrip())
-        text = text.strip()
-        spans: list[dict] = []
-        for i, (_, bold) in enumerate(kept[lead : lead + len(text)]):
-            if bold and spans and spans[-1]["e"] == i:
-                spans[-1]["e"] = i + 1
-            elif bold:
-                spans.append({"s": i, "e": i + 1})
-        return text, spans
+    def _collapsed(runs: list) -> tuple[str, list[dict], list[dict]]:
+        """Text with single spaces, its bold spans and its spans of one format."""
+        kept: list[tuple[str, tuple]] = []
+        for _, piece, fmt in (r for r in runs if r[0] == "text"):
+            for c in piece:
+                if not py_is_blank(c):
+                    kept.append((c, fmt))
+                elif kept and kept[-1][0] != " ":
+                    kept.append((" ", fmt))
+                elif kept and fmt[0]:  # a swallowed space lends its bold to the one that stays
+                    kept[-1] = (" ", (True, *kept[-1][1][1:]))
+        if kept and kept[-1][0] == " ":
+            kept.pop()
+        formats, at = [], 0
+        for fmt, group in groupby(kept, key=lambda x: x[1]):
+            n = len(list(group))
+            formats.append(dict(zip(("s", "e", "b", "i", "u", "f", "z", "clr"), (at, at + n, *fmt), strict=True)))
+            at += n
+        bold, at = [], 0
+        for flag, group in groupby(kept, key=lambda x: x[1][0]):
+            n = len(list(group))
+            bold += [{"s": at, "e": at + n}] * flag
+            at += n
+        return "".join(c for c, _ in kept), bold, formats
+
+    def _properties(self, ppr: ET.Element | None, style: str | None) -> tuple[dict, dict, str | None, int]:
+        """A paragraph's properties, the run properties of its style, and its list and level."""
+        run, styled = self.styles.resolved(style)
+        own = paragraph_properties(ppr)
+        num, level = (styled | own).get("num"), int((styled | own).get("level") or 0)
+        if num is None and style in self.lists.of_style:
+            num, level = self.lists.of_style[style]
+        listed = (self.lists.level(num, level) or {"props": {}})["props"] if num else {}
+        props = styled | own
+        for key in ("ind_left", "ind_hanging"):
+            if key not in props and key in listed:
+                props[key] = listed[key]
+        for key in ("space_before", "space_after", "line"):  # own, then the list level's, the style's, the document's
+            props[key] = next((source[key] for source in (own, listed, styled, self.styles.paragraph) if key in source), None)
+        return props, run, num, level
 
     def paragraph(self, p: ET.Element, where: dict) -> None:
         ppr = p.find(W + "pPr")
         style = _attr(ppr.find(W + "pStyle")) if ppr is not None else None
-        numpr = self.styles.lookup(style, ppr, W + "numPr")
-        num = _attr(numpr.find(W + "numId")) if numpr is not None else None
-        level = _attr(numpr.find(W + "ilvl")) if numpr is not None else None
-        if num is None and style in self.lists.of_style:
-            num, level = self.lists.of_style[style]
-        marker = self.lists.next(num, int(level or 0)) if num and num != "0" else ""
-        align = _attr(self.styles.lookup(style, ppr, W + "jc"))
+        props, styled, num, level = self._properties(ppr, style)
+        numbered = bool(num) and num != "0" and self.lists.level(num, level) is not None
+        marker = self.lists.next(num, level) if numbered else ""
         runs: list = []
-        self._runs(p, runs)
-        text, bold = self._collapsed([(r[0], r[1]) for r in runs if len(r) == 2 and isinstance(r[1], bool)])
+        self._runs(p, styled, runs)
+        text, bold, formats = self._collapsed(runs)
+        # A page break goes to the next paragraph with text: this one if it comes before its text.
+        first = next((k for k, r in enumerate(runs) if r[0] == "text" and r[1].strip()), len(runs))
+        early, late = any(r[0] == "break" for r in runs[:first]), any(r[0] == "break" for r in runs[first:])
+        broken = self.pending_break or early
+        self.pending_break = late if text else broken or late
         if text:
-            self.units.append({"text": text, "marker": marker, "style": style, "align": {"both": "justify", "start": "left", "end": "right"}.get(align, align), "bold": bold, **where})
-        for r in runs:
-            if r[0] == "comment" and len(r) == 2 and not isinstance(r[1], bool):
-                self.anchors.setdefault(r[1], max(0, len(self.units) - 1))
-        for r in runs:
-            if len(r) == 3 and r[:2] not in self.seen_notes:
-                self.seen_notes.add(r[:2])
-                body = self.notes[r[0]].get(r[1])
+            spacing, exact = props.get("line") or (None, None)
+            shape = {"ind_left": 0.0, "ind_hanging": 0.0, "ind_first": 0.0} | {k: props[k] for k in ("ind_left", "ind_hanging", "ind_first", "space_before", "space_after") if k in props}
+            flags = {k: bool(props.get(k)) for k in ("keep_next", "keep_lines", "page_break", "contextual")}
+            flags["page_break"] |= broken
+            self.units.append(
+                {
+                    "text": text, "marker": marker, "ilvl": level if numbered else None, "style": style, "heading": self.styles.heading(style), "align": props.get("align", "left"),
+                    "props": {**shape, "line_spacing": spacing, "line_exact": exact, **flags}, "bold": bold, "formats": formats, **where,
+                }
+            )
+        section = ppr.find(W + "sectPr") if ppr is not None else None
+        if section is not None and where["stream"] == "body" and _attr(section.find(W + "type")) not in ("continuous", "nextColumn"):
+            self.pending_break = True
+        for _, comment in (r for r in runs if r[0] == "comment"):
+            self.anchors.setdefault(comment, max(0, len(self.units) - 1))
+        for note in (r[1:] for r in runs if r[0] == "note"):
+            if note not in self.seen_notes:
+                self.seen_notes.add(note)
+                body = self.notes[note[0]].get(note[1])
                 if body is not None:
-                    self.blocks(body, {"stream": r[0], "note": int(r[1])})
+                    before, self.pending_break = self.pending_break, False
+                    self.blocks(body, {"stream": note[0], "note": int(note[1])})
+                    self.pending_break = before
 
     def blocks(self, parent: ET.Element, where: dict, in_cell: bool = False) -> None:
         """Paragraphs under an element; those of a nested table keep the outer cell's place."""
@@ -253,11 +380,12 @@ class _Reader:
             if tag == "p":
                 self.paragraph(el, where)
             elif tag == "tbl":
-                place = where
+                place, grid = where, el.find(W + "tblGrid")
+                cols = len(grid) if grid is not None and len(grid) else max((len(r.findall(W + "tc")) for r in el.findall(W + "tr")), default=0)
                 for ri, row in enumerate(el.iter(W + "tr") if in_cell else el.findall(W + "tr")):
                     for ci, cell in enumerate(row.findall(W + "tc")):
                         if not in_cell:
-                            place = {**where, "ti": self.tables, "ri": ri, "ci": ci}
+                            place = {**where, "ti": self.tables, "ri": ri, "ci": ci, "cols": cols}
                         self.blocks(cell, place, in_cell=True)
                 self.tables += not in_cell
             elif tag in TRANSPARENT:
@@ -305,8 +433,8 @@ class _Reader:
             texts = []
             for p in paras:
                 runs: list = []
-                self._runs(p, runs)
-                texts.append(self._collapsed([(r[0], r[1]) for r in runs if len(r) == 2 and isinstance(r[1], bool)])[0])
+                self._runs(p, {}, runs)
+                texts.append(self._collapsed(runs)[0])
             own = el.get(W + "id")
             by_para |= {i: own for i in ids if i}
             first = extra.get(ids[0]) if ids else None
@@ -367,6 +495,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.format("binaryFile").load(path))
 
 
+def flat_records(files: DataFrame) -> DataFrame:
+    """path, idx and the flat record of each body paragraph: twenty fields, as JSON too."""
+    body = files.select("path", F.filter("units", lambda u: u["stream"] == "body").alias("units")).select("path", F.posexplode("units").alias("idx", "u"))
+    tbl = F.when(F.col("u.ti").isNotNull(), F.struct("u.ti", "u.ri", "u.ci", "u.cols"))
+    fields = [
+        F.col("u.text"), F.col("u.marker"), F.col("u.ilvl").isNotNull().alias("isNumbered"), F.coalesce("u.ilvl", F.lit(0)).alias("ilvl"), F.col("u.style").alias("styleId"), F.col("u.align"),
+        F.col("u.props.ind_left").alias("indLeftPt"), F.col("u.props.ind_hanging").alias("indHangingPt"), F.col("u.props.ind_first").alias("indFirstLinePt"),
+        F.col("u.props.space_before").alias("spaceBeforePt"), F.col("u.props.space_after").alias("spaceAfterPt"), F.col("u.props.line_spacing").alias("lineSpacing"),
+        F.col("u.props.line_exact").alias("lineExactPt"), F.col("u.props.keep_next").alias("keepNext"), F.col("u.props.keep_lines").alias("keepLines"),
+        F.col("u.props.page_break").alias("pageBreakBefore"), F.col("u.props.contextual").alias("contextualSpacing"), F.col("u.heading"), F.col("u.bold").alias("boldRuns"), tbl.alias("tbl"),
+    ]
+    flat = body.select("path", "idx", *fields)
+    return flat.withColumn("json", F.to_json(F.struct(*[c for c in flat.columns if c not in ("path", "idx")])))
+
+
 def ordered_pairs(files: DataFrame, key: str) -> DataFrame:
     """key, a, b: the two files of a key, the older one (by saved date, else by file date) as the original."""
     when = F.coalesce("saved", "modificationTime")

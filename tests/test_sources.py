@@ -61,11 +61,40 @@ def test_headers_styles_comments_and_facts():
     core = '<c xmlns:dcterms="http://purl.org/dc/terms/"><dcterms:modified>2024-05-01T10:00:00Z</dcterms:modified></c>'
     body = p("first", '<w:pStyle w:val="Sub"/>') + '<w:p><w:commentRangeStart w:id="0"/><w:r><w:t>second</w:t></w:r></w:p>' + section
     got = docx.read_bytes(package(body, rels=rels, styles=styles, comments=comments, commentsExtended=extended, core=core, header1=f"<w:hdr {NS}>{p('top')}</w:hdr>", footer1=f"<w:ftr {NS}>{p(' ')}</w:ftr>"))
-    assert [(u["text"], u["stream"], u["align"]) for u in got["units"]] == [("first", "body", "justify"), ("second", "body", None), ("top", "header", None)]
+    assert [(u["text"], u["stream"], u["align"]) for u in got["units"]] == [("first", "body", "justify"), ("second", "body", "left"), ("top", "header", "left")]
     assert [(c["id"], c["text"], c["parent"], c["done"], c["row"]) for c in got["comments"]] == [("0", "why?", None, False, 1), ("1", "so", "0", True, None)]
     assert got["saved"] == dt.datetime(2024, 5, 1, 10, tzinfo=dt.timezone.utc)
 
 
+def run(text, rpr=""):
+    return f"<w:r><w:rPr>{rpr}</w:rPr><w:t>{text}</w:t></w:r>"
+
+
+def test_formats_and_properties():
+    styles = f'''<w:styles {NS}><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Calibri"/><w:sz w:val="24"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:after="160" w:line="259" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults>
+    <w:style w:styleId="Heading2" w:type="paragraph"><w:name w:val="heading 2"/><w:pPr><w:spacing w:before="240" w:line="300" w:lineRule="exact"/><w:keepNext/></w:pPr><w:rPr><w:i/></w:rPr></w:style></w:styles>'''
+    body = f'<w:p><w:pPr><w:pStyle w:val="Heading2"/><w:ind w:left="720"/></w:pPr>{run("plain ")}{run(" bold", "<w:b/>")}{run(" red", "<w:color w:val=&quot;FF0000&quot;/>".replace("&quot;", chr(34)))}</w:p>'
+    body += '<w:p><w:r><w:br w:type="page"/></w:r></w:p>' + p("after") + f'<w:p>{run("end")}<w:r><w:br w:type="page"/></w:r></w:p>' + p("next")
+    units = docx.read_bytes(package(body, styles=styles))["units"]
+    first = units[0]
+    assert (first["text"], first["heading"], first["bold"]) == ("plain bold red", 2, [{"s": 5, "e": 10}])
+    assert [(f["s"], f["e"], f["b"], f["i"], f["f"], f["z"], f["clr"]) for f in first["formats"]] == [(0, 5, False, True, "Calibri", 12.0, None), (5, 10, True, True, "Calibri", 12.0, None), (10, 14, False, True, "Calibri", 12.0, "ff0000")]
+    got = first["props"]
+    assert (got["ind_left"], got["space_before"], got["space_after"], got["line_spacing"], got["line_exact"], got["keep_next"]) == (36.0, 12.0, 8.0, None, 15.0, True)
+    assert [u["props"]["page_break"] for u in units] == [False, True, False, True]
+
+
+def test_flat_records_and_format_rows(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(package(f"<w:p>{run('same words')}</w:p>"))
+    (tmp_path / "b.docx").write_bytes(package(f"<w:p>{run('same ')}{run('words', '<w:b/>')}</w:p>"))
+    files = docx.read(spark, str(tmp_path))
+    flat = docx.flat_records(files).orderBy("path").first()
+    assert len(flat) == 23 and flat.text == "same words" and flat.lineSpacing is None and '"isNumbered":false' in flat.json
+    side = lambda s: files.filter(F.col("path").endswith(f"{s}.docx")).select(F.lit(1).alias("k"), F.col("path").alias(s), F.col("units").alias(f"units_{s}"))
+    row = C.compare(side("a").join(side("b"), "k")).first()
+    assert row.type == "equal" and [tuple(f) for f in row.fmt] == [(5, 10, "bold added")] and [(s.t, s.b) for s in row.segments] == [("same ", False), ("words", True)]
+
+
 def test_damaged_files(spark, tmp_path):
     (tmp_path / "good.docx").write_bytes(package(p("fine")))
     (tmp_path / "bad.docx").write_bytes(b"PK\x03\x04 rest is missing")
