@@ -14,7 +14,8 @@ of the model's fixed size, by broadcast.
 
 Defined cases: a null text has no paragraph; an empty text neither; rows that share an id are one
 document with the paragraphs of all its texts; a null id is such an id; a paragraph is a line, and
-words are runs of letters and digits in lower case; an empty table gives an empty table.
+words are runs of letters and digits, in lower case but for the
+acronyms of licences, which only count in capitals; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -83,9 +84,9 @@ OTHER = [
     "Attribution of the painting is not certain.", "Terms of the agreement were not disclosed.", "All members reserved their seats.", "The unauthorized biography sold well.", "Version 2.0 of the engine is faster.",
 ]
 FILLER = ["the river ran past the old mill", "prices rose again in the second quarter", "no one had seen the letter before", "we walked home in the rain"]
-#: Word beginnings that a licence statement cannot do without.
-CUES = ["licen", "copyright", "permi", "redistribut", "public", "rights", "spdx", "unlicense", "creative", "cc", "cc0", "mit", "bsd", "gpl", "gnu", "apache", "mozilla", "mpl", "lgpl", "agpl", "gplv", "commons", "proprietary", "unauthorized"]
-LONG_CUES = [c for c in CUES if len(c) > 4]
+#: Word beginnings that a licence statement cannot do without, and acronyms that count in capitals only.
+CUES = ("licen", "copyright", "permi", "redistribut", "public", "rights", "unlicense", "creative", "apache", "mozilla", "commons", "proprietary", "unauthorized")
+ACRONYMS = ("AGPL", "AGPLv3", "BSD", "CC", "CC0", "GNU", "GPL", "GPLv2", "GPLv3", "LGPL", "MIT", "MPL", "SPDX")
 
 GRAMS = 3
 PENALTY = 5e-5
@@ -99,17 +100,16 @@ SIMILAR = 0.6
 WORD = r"[\p{L}\p{N}]+"
 
 
-def _cue_pattern() -> str:
-    short = [c for c in CUES if c not in LONG_CUES]
-    return rf"(?i)(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(LONG_CUES)})[\p{{L}}\p{{N}}]*|(?:{'|'.join(short)})\d?)(?![\p{{L}}\p{{N}}])"
+CUE_WORD = rf"^(?:{'|'.join(ACRONYMS)}|(?:{'|'.join(CUES)}).*)$"
+CUE_LINE = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(ACRONYMS)})(?![\p{{L}}\p{{N}}])|(?i:{'|'.join(CUES)}))"
 
 
 def _is_cue(word: str) -> bool:
-    return any(word.startswith(c) for c in LONG_CUES) or any(re.fullmatch(re.escape(c) + r"\d?", word) for c in CUES)
+    return word in ACRONYMS or word.startswith(CUES)
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+    return [w if w in ACRONYMS else w.lower() for w in re.findall(r"[^\W_]+", text)]
 
 
 def _grams(words: list[str]) -> set[str]:
@@ -235,14 +235,21 @@ def resembles(text: str, family: str) -> float:
     return max((len(own & other) / min(len(own), len(other)) for name, _, t in _templates() if name == family for other in [_pairs(_words(t))] if own), default=0.0)
 
 
-def _ngrams(words: Column, sizes: range) -> Column:
-    """The distinct n-grams of an array of words."""
+def _cued_grams(words: str) -> Column:
+    """The distinct n-grams of an array of words that hold a cue word: those around its cue words."""
+    at = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(CUE_WORD), i)), lambda i: i.isNotNull())
 
-    def of(n: int) -> Column:
-        last = F.size(words) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<string>"))
+    def around(p: Column) -> Column:
+        spans = [(start, n) for n in range(1, GRAMS + 1) for start in range(-n + 1, 1)]
+        gram = lambda start, n: F.when((p + start >= 0) & (p + start + n <= F.size(words)), F.array_join(F.array(*[F.get(words, p + start + k) for k in range(n)]), " "))
+        return F.filter(F.array(*[gram(*x) for x in spans]), lambda g: g.isNotNull())
 
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+    return F.array_distinct(F.flatten(F.transform(at, around)))
+
+
+def _word_pairs(words: str) -> Column:
+    """The distinct pairs of neighbouring words."""
+    return F.array_distinct(F.filter(F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))), lambda g: g.isNotNull()))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -253,18 +260,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
     """
     model = model or trained()
     spark = df.sparkSession
-    cue = _cue_pattern()
+    cue = CUE_LINE
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     cued = F.when(F.col("_text").rlike(cue), F.filter("_lines", lambda x: x.rlike(cue))).otherwise(F.array().cast("array<string>"))
     docs = df.select(F.col(id_col).alias("_id"), text.alias("_text"), lines.alias("_lines")).select("_id", F.size("_lines").alias("n_paragraphs"), cued.alias("_cued"))
     docs = written(docs, "cued-paragraphs")
-    norm = F.array_join(F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), 1), " ")
+    plain = F.transform(F.regexp_extract_all("line", F.lit(f"({WORD})"), 1), lambda w: F.when(w.isin(*ACRONYMS), w).otherwise(F.lower(w)))
+    norm = F.array_join(plain, " ")
     lines_of = docs.filter(F.size("_cued") > 0).select("_id", F.explode("_cued").alias("line")).select("_id", norm.alias("norm"))
-    distinct = lines_of.select("norm").distinct().withColumn("words", F.split("norm", " "))
+    lines_of = written(lines_of, "cued-lines")
+    # Written with its words, or Spark would split the line anew for every word that a lambda looks at.
+    distinct = written(lines_of.select("norm").distinct().withColumn("words", F.split("norm", " ")), "distinct-lines")
 
     weights = spark.createDataFrame([(g, [float(x) for x in model.weights[i]]) for g, i in model.grams.items()], "gram string, w array<double>")
-    grams = distinct.select("norm", F.explode(_ngrams(F.col("words"), range(1, GRAMS + 1))).alias("gram")).join(F.broadcast(weights), "gram")
+    grams = distinct.select("norm", F.explode(_cued_grams("words")).alias("gram")).join(F.broadcast(weights), "gram")
     sums = grams.groupBy("norm").agg(*[F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(len(model.classes))])
     scores = distinct.select("norm").join(sums, "norm", "left")
     z = [(F.coalesce(f"z{i}", F.lit(0.0)) + float(b)) / model.temperature for i, b in enumerate(model.bias)]
@@ -279,10 +289,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
     for family, i, _ in pairs:
         sizes[family, i] = sizes.get((family, i), 0) + 1
     shapes = spark.createDataFrame([(f, i, g, sizes[f, i]) for f, i, g in pairs], "name string, template int, gram string, size int")
-    own = distinct.select("norm", _ngrams(F.col("words"), range(2, 3)).alias("pairs")).select("norm", F.size("pairs").alias("n"), F.explode("pairs").alias("gram"))
+    claims = written(named, "licence-claims")
+    own = claims.filter(F.col("name") != NONE).join(distinct, "norm").select("norm", _word_pairs("words").alias("pairs")).select("norm", F.size("pairs").alias("n"), F.explode("pairs").alias("gram"))
     shared = own.join(F.broadcast(shapes), "gram").groupBy("norm", "name", "template", "n", "size").agg(F.count(F.lit(1)).alias("both"))
     close = shared.groupBy("norm", "name").agg(F.max(F.col("both") / F.least("n", "size")).alias("similarity"))
-    judged = named.join(close, ["norm", "name"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    judged = claims.join(close, ["norm", "name"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     verdict = F.when((F.col("name") == NONE) & (F.col("p") >= NONE_LEAST), F.lit(NONE)).when((F.col("name") != NONE) & (F.col("p") >= model.least) & (F.col("similarity") >= SIMILAR), F.col("name")).otherwise(F.lit(UNKNOWN))
     judged = judged.select("norm", verdict.alias("family"), F.round("p", 6).alias("confidence"), F.round("similarity", 6).alias("similarity"))
 
