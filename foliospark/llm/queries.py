@@ -52,7 +52,7 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
+    return few_files(read.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32")))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,11 @@ are not stored. Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 from pathlib import Path
 
@@ -34,11 +37,26 @@ from foliospark.llm.common import fresh_path
 BLOCK = 1024
 PERCENTILE = 0.9
 CHUNK_TOKENS = 1 << 19
-#: Words whose ids a worker remembers; beyond it the memory starts anew. Never changes a result.
-MEMO = 400_000
+#: Pieces whose ids a worker remembers; beyond it the memory starts anew. Never changes a result.
+MEMO = 700_000
 #: White space for Python but not for the tokenizers' patterns.
 ODD = re.compile(r"[\x1c-\x1f]")
 BLANKS = re.compile(r"[ \t\n\x0b\x0c\r]+")
+#: Texts that are cut into pieces, and the pieces of a lower-cased one.
+PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r 0-9a-z\xdf-\xf6\xf8-\xff]+")
+#: The steps of a tokenizer (normalizer, pre-tokenizer, post-processor) that words can be encoded apart for.
+SPLIT_SAFE = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+]
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n_exceptions", "<u2"), ("n", "<u2")])
 EXCEPTION = np.dtype([("place", "<u2"), ("delta", "<u4")])
 
@@ -56,13 +74,19 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The first n values of each row of packed bytes: each is cut out of the bytes that it lies in."""
     if not width:
         return np.zeros((len(packed), n), np.uint32)
-    size = 16 if width <= 16 else 32
-    bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : n * width].reshape(-1, width)
-    wide = np.zeros((len(bits), size), np.uint8)
-    wide[:, :width] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view(f"<u{size // 8}").astype(np.uint32).reshape(len(packed), n)
+    at = np.arange(n) * width
+    first, shift = at >> 3, at & 7
+    near = (width + 14) // 8
+    kind = np.uint32 if near <= 4 else np.uint64
+    wide = np.zeros((len(packed), packed.shape[1] + near), np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    out = np.zeros((len(packed), n), kind)
+    for k in range(near):
+        out |= wide[:, first + k].astype(kind) << kind(8 * k)
+    return (out >> shift.astype(kind) & kind((1 << width) - 1)).astype(np.uint32)
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -126,37 +150,59 @@ def read_block(payload: bytes, block_at: list[int], i: int, block: int = BLOCK)
 
 
 class WordEncoder:
-    """Encodes texts word by word, remembering words.
+    """Encodes texts piece by piece, remembering pieces.
 
     The tokenizer maps every run of white space to one space, composes and lower-cases characters and
     cuts at white space, none of which reaches over it; so the ids of a text are those of its words in
-    order. ``split_safe`` is False for a tokenizer without that property: whole texts are then encoded.
+    order. Texts of ASCII and Latin-1 letters alone are cut further, by the tokenizer's own pattern, into
+    pieces that it encodes apart. ``split_safe`` is False for a tokenizer without these properties:
+    whole texts are then encoded.
     """
 
     def __init__(self, definition: str, memo: int = MEMO) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.memo, self.known = memo, {}
-        kinds = str(self.tokenizer.normalizer) + str(self.tokenizer.pre_tokenizer)
-        self.split_safe = "Lowercase" in kinds and "[^\\s" in kinds.replace("\\\\", "\\") and self.tokenizer.post_processor is None
+        parts = json.loads(definition)
+        self.split_safe = [parts.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")] == SPLIT_SAFE
+
+        step = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x100) if PLAIN.fullmatch(chr(c))}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """Pieces need none of the tokenizer's steps before its model but the spelling of bytes as letters."""
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        return [array("I", [t.id for t in merge(p if p.isascii() else p.translate(letters))]).tobytes() for p in pieces]
 
     def encode(self, text: str) -> np.ndarray:
         if not self.split_safe:
             return np.frombuffer(self._ids([text])[0], "<u4")
         if len(self.known) > self.memo:
             self.known = {}
-        known, parts = self.known, BLANKS.split(text) if ODD.search(text) else text.split()
-        new = [w for w in set(parts) if w not in known]
+        known = self.known
+        plain = PLAIN.fullmatch(text)
+        if plain:
+            parts = PIECES.findall(text.lower())
+        else:
+            parts = BLANKS.split(text) if ODD.search(text) else text.split()
+        new = list(set(parts).difference(known))
         if new:
-            known.update(zip(new, self._ids(new), strict=True))
+            known.update(zip(new, self._piece_ids(new) if plain else self._ids(new), strict=True))
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
 
 
+@lru_cache(1)
+def word_encoder(definition: str) -> WordEncoder:
+    """The worker's encoder; what it remembers serves the next task too."""
+    return WordEncoder(definition)
+
+
 def write_tokens(df: DataFrame, tokenizer_path: str, path: str, key_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, block: int = BLOCK, percentile: float = PERCENTILE, chunk_tokens: int = CHUNK_TOKENS) -> None:
     """Encode every text and write the token table at path, in ascending order of the key."""
     spark = df.sparkSession
@@ -169,7 +215,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, key_col: str = "
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(definition)
+        encoder = word_encoder(definition)
         end = np.array([] if end_id is None else [end_id], "<u4")
         keys, counts, ids, size, ahead, chunk, segment = [], [], [], 0, 0, 0, 0
 
