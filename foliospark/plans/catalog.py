@@ -11,7 +11,7 @@ from foliospark.functions import text as T
 from foliospark.operators import compare as C
 from foliospark.operators import ranges as R
 from foliospark.operators import similarity as S
-from foliospark.operators import pages, report, threads, units
+from foliospark.operators import geometry, pages, report, threads, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -637,3 +637,47 @@ def comment_changes(spark, sf_dir):
     listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("id", "author", "text"))).alias("comments"))
     pairs = listed.select(F.col("conv_id").alias("a"), (F.col("conv_id") + 1).alias("b"), F.col("comments").alias("comments_a")).join(listed.select(F.col("conv_id").alias("b"), F.col("comments").alias("comments_b")), "b")
     return threads.compare_comments(pairs)
+
+
+# Geometry and sources.
+@query("tab_stops", "SELECT l_orderkey, l_linenumber, (floor(l_extendedprice / 36.0::DOUBLE + 1e-9::DOUBLE) + 1) * 36.0::DOUBLE AS stop FROM lineitem")
+def tab_stops(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", geometry.next_tab(F.col("l_extendedprice")).alias("stop"))
+
+
+@query(
+    "packed_boxes",
+    """WITH boxes AS (SELECT user_id, event_id, ts, epoch_us(ts) // 1000000 AS want, CAST(1 + floor(abs(value)) AS BIGINT) * 60 AS h FROM events),
+    summed AS (SELECT *, coalesce(sum(h + 30) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM boxes)
+    SELECT event_id, CAST(above + max(want - above) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS top FROM summed""",
+)
+def packed_boxes(spark, sf_dir):
+    seconds = F.expr("unix_micros(cast(ts as timestamp)) div 1000000")
+    boxes = _events(spark, sf_dir).select("user_id", "event_id", "ts", seconds.alias("want"), ((1 + F.floor(F.abs("value"))) * 60).alias("h"))
+    return geometry.pack(boxes, ["user_id"], "want", "h", 30, ["ts", "event_id"]).select("event_id", F.col("top").cast("long").alias("top"))
+
+
+@query("tints", "SELECT p_partkey, string_agg(printf('%02x', CAST(round(255 + (CAST(('0x' || substr(c, i, 2)) AS INT) - 255) * 0.15::DOUBLE) AS INT)), '' ORDER BY i) AS tint FROM (SELECT p_partkey, substr(md5(p_name), 1, 6) AS c, unnest([1, 3, 5]) AS i FROM part) GROUP BY p_partkey")
+def tints(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", geometry.tint(F.substring(F.md5(F.col("p_name").cast("binary")), 1, 6)).alias("tint"))
+
+
+@query("distinct_contents", "SELECT sha256(text) AS content, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def distinct_contents(spark, sf_dir):
+    """Equal contents once, before any parsing."""
+    docs = load(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("content")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("first_paired_rows", f"{_PLACES} SELECT old AS original, min_by(new, (a, b, idx)) AS revised FROM placed GROUP BY old")
+def first_paired_rows(spark, sf_dir):
+    """For each original line the revised line that it first stands beside."""
+    both = _paired(spark, sf_dir).select("a", "b", F.posexplode(F.arrays_zip("units_a", "units_b")).alias("idx", "u")).filter("u.units_a IS NOT NULL AND u.units_b IS NOT NULL")
+    return both.groupBy(F.col("u.units_a").alias("original")).agg(F.min_by(F.col("u.units_b"), F.struct("a", "b", "idx")).alias("revised"))
+
+
+@query("change_marks")
+def change_marks(spark, sf_dir):
+    """The page on which each numbered change begins."""
+    rows = _rows(spark, sf_dir)
+    return C.passages(rows).join(pages.paginate(rows), ["a", "b", "row_idx"]).select("a", "b", "cid", "category", "page")
