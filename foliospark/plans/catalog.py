@@ -11,7 +11,7 @@ from foliospark.functions import text as T
 from foliospark.operators import compare as C
 from foliospark.operators import ranges as R
 from foliospark.operators import similarity as S
-from foliospark.operators import geometry, pages, report, threads, units
+from foliospark.operators import draw, geometry, pages, report, threads, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -681,3 +681,13 @@ def change_marks(spark, sf_dir):
     """The page on which each numbered change begins."""
     rows = _rows(spark, sf_dir)
     return C.passages(rows).join(pages.paginate(rows), ["a", "b", "row_idx"]).select("a", "b", "cid", "category", "page")
+
+
+@query("svg_pages")
+def svg_pages(spark, sf_dir):
+    return draw.svg_pages(draw.layout(_rows(spark, sf_dir)))
+
+
+@query("change_bars")
+def change_bars(spark, sf_dir):
+    return draw.change_bars(draw.layout(_rows(spark, sf_dir)))
