@@ -17,7 +17,7 @@ WS = r"\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 ENDS = WS + r"\x1C-\x1F\x{85}"
 CONNECTIVES = ("a", "an", "the", "and", "or", "nor", "of", "to", "in", "on", "at", "by", "for", "as", "if", "is")
 
-#: Patterns that Java's and RE2's regular expressions read alike.
+# Patterns that decide tokens; Java's and RE2's regular expressions read them alike.
 TOKEN = rf"[0-9][0-9,.\-/:]*[0-9]|[A-Za-z0-9_]+|[^A-Za-z0-9_{WS}]|[{WS}]+"
 WORD = r"[A-Za-z0-9_]+"
 BLANK = rf"^[{WS}]+$"
@@ -73,6 +73,7 @@ def half(x: Column) -> Column:
     return F.bround(x * 2) / 2
 
 
+# Roman numerals.
 ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
 
 
