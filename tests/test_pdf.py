@@ -66,3 +66,24 @@ def test_furniture(spark, tmp_path):
     lines = pdf.page_lines(pdf.read(spark, str(tmp_path)))
     found = pdf.furniture(lines, signature(F.col("text"))).join(lines, ["path", "page", "line"])
     assert sorted({r.text for r in found.collect()}) == ["Contract of sale", "Page 1 of 4", "Page 2 of 4", "Page 3 of 4", "Page 4 of 4"]
+
+
+def line(y, words, x0=50.0, x1=500.0, page=1, size=10.0):
+    return {"page": page, "y": float(y), "x0": x0, "x1": x1, "size": size, "text": words}
+
+
+def test_paragraphs():
+    found = [
+        line(100, "first line of a", x1=499), line(112, "paragraph that is con-"), line(124, "tinued here", x1=200), line(136, "another one", x1=480),
+        line(160, "after a gap", x1=495), line(100, "and over the page", page=2, x1=300), line(112, "• a point", page=2, x1=498), line(124, "big", page=2, size=14.0),
+    ]
+    assert [(p["page"], p["text"]) for p in pdf.paragraphs(found)] == [(1, "first line of a paragraph that is continued here"), (1, "another one"), (1, "after a gap and over the page"), (2, "• a point"), (2, "big")]
+    assert pdf.paragraphs([]) == []
+
+
+def test_units_of_files(spark, tmp_path):
+    pages = [text((50, 780), "Running head") + "".join(text((50, 600 - 12 * k), f"page {i} line {k} " + "x" * 60) for k in range(3)) for i in range(3)]
+    (tmp_path / "x.pdf").write_bytes(make(pages))
+    (tmp_path / "bad.pdf").write_bytes(b"%PDF-1.4")
+    got = {r.path.rpartition("/")[2]: r.units for r in pdf.unit_lists(pdf.read(spark, str(tmp_path)), signature(F.col("text"))).collect()}
+    assert got["bad.pdf"] == [] and len(got["x.pdf"]) == 1 and "Running" not in got["x.pdf"][0] and got["x.pdf"][0].count("line 2") == 3
