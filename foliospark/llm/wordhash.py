@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 BREAK = np.zeros(256, bool)
 BREAK[[0x20, *range(0x09, 0x0E)]] = True
 
