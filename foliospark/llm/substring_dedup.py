@@ -229,7 +229,8 @@ class Index:
 
 def repeats(docs: DataFrame, shared: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """key, part, spans: the word ranges of each text that repeated windows cover, verified on the texts."""
-    context = written(docs.join(shared, ["key", "part"]).select("key", "part", "text", "places").mapInArrow(_contexts(window, anchor), CONTEXT), "contexts")
+    # By merge at every size: a plan that changes with the tables would hide what large ones cost.
+    context = written(docs.join(shared.hint("merge"), ["key", "part"]).select("key", "part", "text", "places").mapInArrow(_contexts(window, anchor), CONTEXT), "contexts")
     span, place = ("key", "part", "lo", "hi"), F.struct("key", "part", "pos")
     firsts = context.filter("is_first").select("fp", "h1", "h2", "pos", *span)
     least = firsts.groupBy("h1", "h2").agg(F.min(place).alias("least"))
@@ -305,5 +306,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index.drop()
     spans = repeats(docs, shared, window, anchor)
     dropped(shared)
-    joined = keyed.join(spans.toDF("_key", "_part", "_spans"), ["_key", "_part"], "left").withColumn("_cut", F.arrow_udf(_cut, "struct<n_words:long,n_removed:long,text:string>")(F.col(text_col), F.col("_spans")))
+    joined = keyed.join(spans.toDF("_key", "_part", "_spans").hint("merge"), ["_key", "_part"], "left").withColumn("_cut", F.arrow_udf(_cut, "struct<n_words:long,n_removed:long,text:string>")(F.col(text_col), F.col("_spans")))
     return joined.withColumns({"n_words": F.col("_cut.n_words"), "n_removed": F.col("_cut.n_removed"), text_col: F.col("_cut.text")}).drop("_key", "_part", "_spans", "_cut")
