@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import written
+from foliospark.llm.common import dropped, written
 from foliospark.llm.wordhash import U, _numbers, mix, powers, slices, windows
 
 K = 5
-SKETCHES = 32
+SKETCHES = 48
 PICKS = 2
 SIMILARITY = 0.8
 PORTION = 128
@@ -179,12 +179,14 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         buckets = each.groupBy(f"k{i}").agg(least, F.count(F.lit(1)).alias("size")).filter("size > 1")
         each = each.drop("leader", "size").join(buckets, f"k{i}")
         if not i:
-            each = written(each.drop("k0"), "bucket-members")
+            each = members = written(each.drop("k0"), "bucket-members")
         found = each.filter("id <> leader.id").select("id", "n_words", "leader")
         pairs = found if pairs is None else pairs.unionByName(found)
         each = each.filter("size > 2").drop("leader", "size")
     near = F.least("n_words", "leader.n_words") >= similarity * F.greatest("n_words", "leader.n_words") - 1e-6
-    return pairs.filter(near).select("id", F.col("leader.id").alias("leader")).distinct()
+    found = written(pairs.filter(near).select("id", F.col("leader.id").alias("leader")).distinct(), "pairs")
+    dropped(members)
+    return found
 
 
 def verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -233,7 +235,9 @@ def components(links: DataFrame, a: str = "id", b: str = "leader") -> DataFrame:
         above = labels.select(F.col("id").alias("new"), F.col("label").alias("top"))
         jumped = near.join(above, "new", "left").select("id", F.least("new", F.coalesce("top", "new")).alias("to"), "label")
         moved = written(jumped, "labels")
+        dropped(labels)
         if not moved.filter("to < label").head(1):
+            dropped(edges)
             return moved.select("id", F.col("to").alias("class"))
         labels = moved.select("id", F.col("to").alias("label"))
 
@@ -243,7 +247,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     table = written(sketches(df, id_col, text_col), "sketches")
     nodes = table.groupBy("text_key").agg(F.min(F.struct("id", "n_words", "sketches")).alias("least")).select("text_key", "least.*")
     nodes = written(nodes, "nodes")
-    links = written(verified(df, candidates(nodes, similarity), id_col, text_col, similarity), "verified")
+    pairs = candidates(nodes, similarity)
+    links = written(verified(df, pairs, id_col, text_col, similarity), "verified")
+    dropped(pairs)
     # Texts of one id are one document.
     same_id = table.join(nodes.select("text_key", F.col("id").alias("leader")), "text_key").filter("id <> leader").select("id", "leader", "text_key")
     shared = same_id.join(table.groupBy("id").agg(F.min("text_key").alias("t0"), F.max("text_key").alias("t1")).filter("t0 <> t1").select("id"), "id", "left_semi").select("id", "leader")
@@ -253,7 +259,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     rows = table.select("id", "text_key").join(of_text, "text_key")
     known = rows.select(F.col("id").alias(id_col), "class_id", "n_links", (F.col("id") == F.col("class_id")).alias("is_kept"))
     lost = df.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_kept"))
-    return known.unionByName(lost)
+    out = written(known.unionByName(lost), "classes")
+    dropped(table, nodes, links, found)
+    return out
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
