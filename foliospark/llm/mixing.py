@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 STEP = 32.0
 #: Terms of a distribution function with a mean up to STEP; the rest is below 2**-53.
 TERMS = 140
-MAX_BROADCAST_SOURCES = 100_000
+MAX_BROADCAST_SOURCES = 20_000
 HEX = 13
 
 

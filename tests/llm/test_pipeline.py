@@ -73,3 +73,24 @@ def test_run(spark, stages):
     _, out, path = stages
     assert corpus_pipeline.run(spark, path).count() == out[4][1].count()
     assert substring_dedup.WINDOW == 20
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_of_empty_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_stages_with_nulls_repeats_and_more_columns(spark):
+    text = " ".join(f"word{i}" for i in range(70))
+    rows = [(1, text, None, None, None, 5, "mine"), (1, text, None, None, None, 5, "mine"), (None, text + " end", None, "s", None, 6, "mine"), (2, None, "en", "s", 0, 7, None)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", n_words int, spans string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert all(r.spans in ("mine", None) for r in out.collect())
+    kept = {name: stage(spark, docs, "").count() for name, stage in corpus_pipeline.STAGES[:3]}
+    assert kept == {"quality_rules": 3, "near_duplicates": 3, "repeated_passages": 4}
