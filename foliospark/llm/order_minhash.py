@@ -12,7 +12,8 @@ at most 3n pairs, never all. A pair is a link where the edit distance over words
 that the threshold leaves, is at most (1 - similarity) of the longer text. The classes are the
 connected components of the links; a class is named by its least id.
 
-Pairs are verified beside the leader's text in portions of ``PORTION`` members, so a leader with very
+Each node is verified first with the leader that it shares most buckets with, and then with those of the
+others that are not in its class by then. Pairs are verified beside the leader's text in portions of ``PORTION`` members, so a leader with very
 many near copies is many tasks' work.
 
 Defined cases: a null text is an empty text; texts without words are equal to each other only if they
@@ -168,7 +169,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
 
 def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs id, leader that share a sketch and whose lengths allow a link."""
+    """Pairs id, leader that share a sketch and whose lengths allow a link, with the number of buckets they share."""
     each = nodes.select("id", "n_words", "sketches", F.posexplode("sketches").alias("at", "_s"))
     after = lambda i: F.get("sketches", F.pmod(F.col("at") + i, F.size("sketches")))
     keys = [F.xxhash64("at", "_s"), F.xxhash64("at", "_s", after(1)), F.xxhash64("at", "_s", after(1), after(2))]
@@ -184,7 +185,7 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         pairs = found if pairs is None else pairs.unionByName(found)
         each = each.filter("size > 2").drop("leader", "size")
     near = F.least("n_words", "leader.n_words") >= similarity * F.greatest("n_words", "leader.n_words") - 1e-6
-    found = written(pairs.filter(near).select("id", F.col("leader.id").alias("leader")).distinct(), "pairs")
+    found = written(pairs.filter(near).groupBy("id", F.col("leader.id").alias("leader")).agg(F.count(F.lit(1)).alias("shared")), "pairs")
     dropped(members)
     return found
 
@@ -196,7 +197,8 @@ def verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, simila
     leaders = heads.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"))
     asked = members.unionByName(leaders)
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    together = asked.join(texts, "id").repartition("leader", "portion").sortWithinPartitions("leader", "portion", "role", "id")
+    # By merge at every size, so that what large tables cost shows on small ones.
+    together = texts.join(asked.hint("merge"), "id").repartition("leader", "portion").sortWithinPartitions("leader", "portion", "role", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, heads = None, []
@@ -242,13 +244,32 @@ def components(links: DataFrame, a: str = "id", b: str = "leader") -> DataFrame:
         labels = moved.select("id", F.col("to").alias("label"))
 
 
+def linked(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Links that hold the classes of all pairs together.
+
+    Each id first meets the leader that it shares most buckets with. Of the other pairs only those are
+    left to verify whose ends these links have not brought into one class yet.
+    """
+    chosen = pairs.groupBy("id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("minus"))).alias("best")).select("id", (-F.col("best.minus")).alias("leader"))
+    first = written(verified(df, chosen, id_col, text_col, similarity), "verified")
+    known = components(first)
+    of = lambda c: known.select(F.col("id").alias(c), F.col("class").alias(f"class_{c}"))
+    apart = pairs.select("id", "leader").join(of("id"), "id", "left").join(of("leader"), "leader", "left")
+    apart = apart.filter(F.coalesce("class_id", "id") != F.coalesce("class_leader", "leader")).select("id", "leader").join(chosen, ["id", "leader"], "left_anti")
+    apart = written(apart, "pairs-apart")
+    second = written(verified(df, apart, id_col, text_col, similarity), "verified")
+    out = written(first.unionByName(second), "links")
+    dropped(first, known, apart, second)
+    return out
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """id_col, class_id, n_links (to other texts) and is_kept (the least id of its class), one row per row of df."""
+    """id_col, class_id, n_links (verified ones to other texts) and is_kept (the least id of its class), one row per row of df."""
     table = written(sketches(df, id_col, text_col), "sketches")
     nodes = table.groupBy("text_key").agg(F.min(F.struct("id", "n_words", "sketches")).alias("least")).select("text_key", "least.*")
     nodes = written(nodes, "nodes")
     pairs = candidates(nodes, similarity)
-    links = written(verified(df, pairs, id_col, text_col, similarity), "verified")
+    links = linked(df, pairs, id_col, text_col, similarity)
     dropped(pairs)
     # Texts of one id are one document.
     same_id = table.join(nodes.select("text_key", F.col("id").alias("leader")), "text_key").filter("id <> leader").select("id", "leader", "text_key")
