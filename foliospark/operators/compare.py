@@ -131,19 +131,35 @@ def passages(rows: DataFrame, count_numbering: bool = True) -> DataFrame:
     return found.withColumn("cid", F.row_number().over(order)).select(*PAIR, "cid", "category", "row_idx", "seg_idx")
 
 
+def passage_counts(segments: str = "segments") -> Column:
+    """struct<ins, del>: the passages of a row, counted inside the row without numbering them."""
+    following = lambda i: F.coalesce(F.left(F.get(segments, i + 1)["t"], F.lit(1)), F.lit(" "))
+    ends = lambda s, i: (s["m"] == "eq") & (s["t"].rlike(LETTER) | F.concat(s["t"], following(i)).rlike(SENTENCE_END))
+    steps = F.transform(segments, lambda s, i: F.struct(s["m"].alias("m"), ends(s, i).alias("ends")))
+    start = F.struct(F.lit(False).alias("in_ins"), F.lit(False).alias("in_del"), F.lit(0).alias("ins"), F.lit(0).alias("del"))
+
+    def step(acc: Column, x: Column) -> Column:
+        side = lambda m: (
+            F.when(x["ends"], F.lit(False)).otherwise(acc[f"in_{m}"] | (x["m"] == m)).alias(f"in_{m}"),
+            (acc[m] + ((x["m"] == m) & ~acc[f"in_{m}"]).cast("int")).alias(m),
+        )
+        (in_ins, ins), (in_del, gone) = side("ins"), side("del")
+        return F.struct(in_ins, in_del, ins, gone)
+
+    return F.aggregate(steps, start, step, lambda acc: F.struct(acc["ins"].alias("ins"), acc["del"].alias("del")))
+
+
 def summary(rows: DataFrame, count_numbering: bool = True) -> DataFrame:
-    """One row per pair: passages by kind and in all, and rows by kind."""
+    """One row per pair: passages by kind and in all, and rows by kind, in one aggregation over the rows."""
     n = lambda when: F.count_if(when).cast("long")
-    by_pair = passages(rows, count_numbering).groupBy(*PAIR).agg(
-        *[n(F.col("category") == c).alias(name) for c, name in (("insertion", "insertions"), ("deletion", "deletions"), ("numbering", "numbering_changes"))], F.count(F.lit(1)).alias("total")
-    )
     changed = F.col("type") != "equal"
-    by_row = rows.groupBy(*PAIR).agg(
+    counted = rows.withColumn("_n", passage_counts())
+    out = counted.groupBy(*PAIR).agg(
         n(changed & ~F.col("cat").eqNullSafe("punctuation")).alias("content"), n(changed & F.col("cat").eqNullSafe("punctuation")).alias("punctuation"),
         n(F.col("num_changed")).alias("numbering"), n(~changed & (F.size("fmt") > 0)).alias("formatting"),
+        F.sum("_n.ins").alias("insertions"), F.sum("_n.del").alias("deletions"), n(F.col("num_changed") & F.lit(count_numbering)).alias("numbering_changes"),
     )
-    zero = {c: 0 for c in ("insertions", "deletions", "numbering_changes", "total")}
-    out = by_row.join(by_pair, list(PAIR), "left").fillna(zero)
+    out = out.withColumn("total", F.col("insertions") + F.col("deletions") + F.col("numbering_changes"))
     return out.withColumns({c: F.lit(0).cast("long") for c in ("moves", "splits", "merges")})
 
 

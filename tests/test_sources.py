@@ -163,6 +163,8 @@ def test_passages_against_brute_force(spark):
     for r in C.passages(df).orderBy("a", "cid").collect():
         got.setdefault(r.a, []).append(({"insertion": "ins", "deletion": "del"}[r.category], r.seg_idx))
     assert [got.get(i, []) for i in range(len(cases))] == [brute_passages(c) for c in cases]
+    counts = {r.a: (r.n["ins"], r.n["del"]) for r in df.select("a", C.passage_counts().alias("n")).collect()}
+    assert counts == {i: tuple(sum(m == side for m, _ in brute_passages(c)) for side in ("ins", "del")) for i, c in enumerate(cases)}
 
 
 def test_merged_order(spark):
