@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(places, pa.binary())], names=["id", "y", "places"])
 
     got = sorted(texts.select("_id", "_y", "_text").mapInArrow(featured, "id long, y int, places binary").collect(), key=lambda r: r.id)
-    return train([np.frombuffer(r.places, "<i4").astype(np.int64) for r in got], [r.y for r in got])
+    return train([np.frombuffer(r.places, "<i4") for r in got], [r.y for r in got])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
