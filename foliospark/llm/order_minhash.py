@@ -7,8 +7,11 @@ more of both their content and its order they share.
 
 Equal texts are one node. Nodes that share a sketch form a bucket; each meets the least node of its
 bucket, and, as a bucket may hold many unlike texts (a passage that many documents quote), also the
-least node of the finer buckets that two and three sketches in a row make. So a bucket of n nodes gives
-at most 3n pairs, never all. A pair is a link where the edit distance over words, aligned in the band
+least node of the finer buckets that two and three sketches in a row make. That links most copies with at
+most 3n pairs of a bucket of n nodes. What is left are buckets whose nodes are in several classes by then:
+there every two nodes of different classes whose lengths allow a link meet, too, if they share ``LEAST`` of
+their rarest words. Texts that are alike always do (see ``rare``), so no link of two nodes that share a
+sketch is lost, and unlike texts around one passage seldom meet. A pair is a link where the edit distance over words, aligned in the band
 that the threshold leaves, is at most (1 - similarity) of the longer text. The classes are the
 connected components of the links; a class is named by its least id.
 
@@ -25,6 +28,7 @@ an empty table; the output columns replace input columns of the same name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,9 @@ SIMILARITY = 0.8
 PORTION = 128
 #: Numbers that a sketch makes at once.
 CELLS = 1 << 20
+#: Slots that count how often words stand in the texts that are left, and rare words that two of them must share.
+SLOTS = 1 << 18
+LEAST = 4
 
 
 def _occurrences(kmers: np.ndarray) -> np.ndarray:
@@ -168,8 +175,8 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("text_key"), run(text).alias("s")).select("id", "text_key", "s.n_words", "s.sketches")
 
 
-def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs id, leader that share a sketch and whose lengths allow a link, with the number of buckets they share."""
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Pairs id, leader that share a sketch and whose lengths allow a link, with the number of buckets they share; and k0, id, n_words of the members of all buckets."""
     each = nodes.select("id", "n_words", "sketches", F.posexplode("sketches").alias("at", "_s"))
     after = lambda i: F.get("sketches", F.pmod(F.col("at") + i, F.size("sketches")))
     keys = [F.xxhash64("at", "_s"), F.xxhash64("at", "_s", after(1)), F.xxhash64("at", "_s", after(1), after(2))]
@@ -180,14 +187,72 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         buckets = each.groupBy(f"k{i}").agg(least, F.count(F.lit(1)).alias("size")).filter("size > 1")
         each = each.drop("leader", "size").join(buckets, f"k{i}")
         if not i:
-            each = members = written(each.drop("k0"), "bucket-members")
+            each = members = written(each, "bucket-members")
         found = each.filter("id <> leader.id").select("id", "n_words", "leader")
         pairs = found if pairs is None else pairs.unionByName(found)
         each = each.filter("size > 2").drop("leader", "size")
     near = F.least("n_words", "leader.n_words") >= similarity * F.greatest("n_words", "leader.n_words") - 1e-6
     found = written(pairs.filter(near).groupBy("id", F.col("leader.id").alias("leader")).agg(F.count(F.lit(1)).alias("shared")), "pairs")
-    dropped(members)
-    return found
+    return found, members
+
+
+def rare(texts: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """id, word: the rarest words of each text (hashes; repeats count), of which texts that are alike share ``least``.
+
+    Of two texts the longer keeps n - limit of its words, so in any one order of all words the first
+    limit + least of both have that many in common. How rare a word is, is read from counts in ``SLOTS``
+    slots, a table of fixed size; words that share a slot only cost selectivity.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, words in slices(batch.column("text")):
+                total += np.bincount((words.hashes() % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column("id"))
+            for first, end, words in slices(batch.column("text")):
+                hashes = words.hashes()
+                own, out = [np.empty(0, np.int64)], [np.empty(0, U)]
+                for i in range(end - first):
+                    mine = hashes[words.first[i] : words.first[i + 1]]
+                    labelled = mix(mine + _occurrences(mine) * U(0x9E3779B97F4A7C15))
+                    order = np.lexsort((labelled, often[(mine % U(SLOTS)).astype(np.int64)]))
+                    out.append(labelled[order[: int((1 - similarity) * len(mine) + 1e-9) + least]])
+                    own.append(np.full(len(out[-1]), ids[first + i], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(out).view(np.int64))], names=["id", "word"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, word long")
+
+
+def strangers(df: DataFrame, members: DataFrame, known: DataFrame, met: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs id, leader in different classes that may be alike and have not met, with the rare words that they share, among the nodes of buckets with several classes."""
+    # By merge at every size, as in verified.
+    classed = members.select("k0", "id", "n_words").join(known.hint("merge"), "id", "left").select("k0", "id", "n_words", F.coalesce("class", "id").alias("class"))
+    several = classed.groupBy("k0").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("k0")
+    left = written(classed.join(several.hint("merge"), "k0").select("id", "n_words", "class").distinct(), "strangers")
+    texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = written(texts.join(left.select("id").distinct().hint("merge"), "id"), "strangers-texts")
+    # Texts under K words share a sketch with equal ones only; others keep at least so many words.
+    least = max(1, min(LEAST, int(similarity * K + 1e-9)))
+    held = written(left.join(rare(texts, similarity, least).distinct().hint("merge"), "id"), "rare-words")
+    mixed = held.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("word")
+    held = held.join(mixed.hint("merge"), "word")
+    others = held.select("word", F.col("id").alias("leader"), F.col("n_words").alias("other"), F.col("class").alias("class_leader"))
+    near = F.least("n_words", "other") >= similarity * F.greatest("n_words", "other") - 1e-6
+    both = held.join(others.hint("merge"), "word").filter((F.col("id") > F.col("leader")) & (F.col("class") != F.col("class_leader")) & near)
+    pairs = both.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    out = written(pairs.join(met.select("id", "leader"), ["id", "leader"], "left_anti"), "pairs-strangers")
+    dropped(left, texts)
+    return out
 
 
 def verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -244,22 +309,32 @@ def components(links: DataFrame, a: str = "id", b: str = "leader") -> DataFrame:
         labels = moved.select("id", F.col("to").alias("label"))
 
 
-def linked(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Links that hold the classes of all pairs together.
+def waves(df: DataFrame, pairs: DataFrame, before: list[DataFrame], id_col: str, text_col: str, similarity: float = SIMILARITY) -> list[DataFrame]:
+    """Links that, with those before, hold the classes of all pairs together.
 
-    Each id first meets the leader that it shares most buckets with. Of the other pairs only those are
-    left to verify whose ends these links have not brought into one class yet.
+    Each id first meets the leader that it shares most with. Of the other pairs only those are left to
+    verify whose ends the links have not brought into one class yet.
     """
     chosen = pairs.groupBy("id").agg(F.max(F.struct("shared", (-F.col("leader")).alias("minus"))).alias("best")).select("id", (-F.col("best.minus")).alias("leader"))
     first = written(verified(df, chosen, id_col, text_col, similarity), "verified")
-    known = components(first)
+    known = components(reduce(DataFrame.unionByName, before, first))
     of = lambda c: known.select(F.col("id").alias(c), F.col("class").alias(f"class_{c}"))
     apart = pairs.select("id", "leader").join(of("id"), "id", "left").join(of("leader"), "leader", "left")
     apart = apart.filter(F.coalesce("class_id", "id") != F.coalesce("class_leader", "leader")).select("id", "leader").join(chosen, ["id", "leader"], "left_anti")
     apart = written(apart, "pairs-apart")
     second = written(verified(df, apart, id_col, text_col, similarity), "verified")
-    out = written(first.unionByName(second), "links")
-    dropped(first, known, apart, second)
+    dropped(known, apart)
+    return [first, second]
+
+
+def linked(df: DataFrame, pairs: DataFrame, members: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Links that hold the classes of all nodes that share a sketch together: of the pairs with leaders, then of the strangers that these leave."""
+    links = waves(df, pairs, [], id_col, text_col, similarity)
+    known = components(reduce(DataFrame.unionByName, links))
+    more = strangers(df, members, known, pairs, id_col, text_col, similarity)
+    links += waves(df, more, links, id_col, text_col, similarity)
+    out = written(reduce(DataFrame.unionByName, links), "links")
+    dropped(*links, known, more)
     return out
 
 
@@ -268,9 +343,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     table = written(sketches(df, id_col, text_col), "sketches")
     nodes = table.groupBy("text_key").agg(F.min(F.struct("id", "n_words", "sketches")).alias("least")).select("text_key", "least.*")
     nodes = written(nodes, "nodes")
-    pairs = candidates(nodes, similarity)
-    links = linked(df, pairs, id_col, text_col, similarity)
-    dropped(pairs)
+    pairs, members = candidates(nodes, similarity)
+    links = linked(df, pairs, members, id_col, text_col, similarity)
+    dropped(pairs, members)
     # Texts of one id are one document.
     same_id = table.join(nodes.select("text_key", F.col("id").alias("leader")), "text_key").filter("id <> leader").select("id", "leader", "text_key")
     shared = same_id.join(table.groupBy("id").agg(F.min("text_key").alias("t0"), F.max("text_key").alias("t1")).filter("t0 <> t1").select("id"), "id", "left_semi").select("id", "leader")

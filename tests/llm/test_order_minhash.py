@@ -88,3 +88,22 @@ def test_repeated_and_missing_ids(spark):
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "id long, leader long")
     assert {r.id: r["class"] for r in O.components(links).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_copies_around_a_template_of_older_texts(spark, docs):
+    rng = random.Random(11)
+    texts, pairs = [], []
+    edited = lambda words, n: [f"n{rng.randrange(10**9)}" if i in at else w for at in [set(rng.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    for g in range(24):
+        template = [f"t{g}x{i}" for i in range(150)]
+        own = lambda: template + [f"u{rng.randrange(10**9)}" for _ in range(50)]
+        texts += [" ".join(own()) for _ in range(20)]
+        b = own()
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(b), " ".join(edited(b, 30))]
+    df = docs(texts)
+    sketches = {r.id: set(enumerate(r.sketches)) for r in O.sketches(df).collect()}
+    got = {r.doc_id: r.class_id for r in O.classes(df).collect()}
+    sharing = [(b, c) for b, c in pairs if sketches[b] & sketches[c]]
+    assert len(sharing) >= 20
+    assert [(b, c) for b, c in sharing if got[b] != got[c]] == []
