@@ -23,8 +23,12 @@ WORD = r"[A-Za-z0-9_]+"
 BLANK = rf"^[{WS}]+$"
 RUN = rf"[{WS}]+"
 TRIM = rf"^[{ENDS}]+|[{ENDS}]+$"
-#: Page-number shapes: "page 3 of 10", "3/10", "- 3 -".
-PAGE_SHAPE = r"^(?:page\s*)?[-–(\[]?\s*#+\s*(?:(?:/|of)\s*#+)?\s*[-–)\]]?$"
+# Fixed value: a page number is a number or a well-formed roman numeral between dashes, after "page", before "of" or "/" and another.
+_TENS, _UNITS = "(?:xc|xl|l?x{0,3})", "(?:ix|iv|v?i{0,3})"
+_NUMERAL = f"(?:#|m{{1,3}}(?:cm|cd|d?c{{0,3}}){_TENS}{_UNITS}|(?:cm|cd|dc{{0,3}}|c{{1,3}}){_TENS}{_UNITS}|(?:xc|xl|lx{{0,3}}|x{{1,3}}){_UNITS}|ix|iv|vi{{0,3}}|i{{1,3}})"
+PAGE_SHAPE = f"^(?:page ?)?[-–— ]*{_NUMERAL}[-–— ]*(?:(?:of|/) ?{_NUMERAL})?$"
+#: A run of digits, of which a signature keeps that it is there.
+DIGITS = r"\p{Nd}+"
 
 
 def _python(pattern: str) -> re.Pattern:
@@ -62,10 +66,13 @@ def escape_html(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def signature(text: Column) -> Column:
-    """What repeated lines are told by: digits as #, lower case; a bare page number is #."""
-    out = F.lower(F.regexp_replace(norm(text), "[0-9]", "#"))
-    return F.when(out.rlike(PAGE_SHAPE), F.lit("#")).otherwise(out)
+def signature(text: Column, normalized: bool = False) -> Column:
+    """What repeated lines are told by: each number as #, lower case; a bare page number is #.
+
+    ``normalized`` says that the text went through ``norm`` already.
+    """
+    out = F.lower(F.regexp_replace(text if normalized else norm(text), DIGITS, "#"))
+    return F.regexp_replace(out, PAGE_SHAPE, "#")
 
 
 def half(x: Column) -> Column:

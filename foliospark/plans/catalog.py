@@ -175,11 +175,11 @@ def half_points(spark, sf_dir):
     "line_signatures",
     f"""WITH {UNITS}, signed AS (
       SELECT doc_id, CASE WHEN regexp_matches(s, '{T.PAGE_SHAPE}') THEN '#' ELSE s END AS signature
-      FROM (SELECT doc_id, lower(regexp_replace(text, '[0-9]', '#', 'g')) AS s FROM units))
+      FROM (SELECT doc_id, lower(regexp_replace(text, '{T.DIGITS}', '#', 'g')) AS s FROM units))
     SELECT signature, count(DISTINCT doc_id) AS n_documents, count(*) AS n_lines FROM signed GROUP BY signature HAVING count(DISTINCT doc_id) >= 3""",
 )
 def line_signatures(spark, sf_dir):
-    lines = units.units(load(spark, sf_dir, "documents")).select("doc_id", T.signature(F.col("text")).alias("signature"))
+    lines = units.units(load(spark, sf_dir, "documents")).select("doc_id", T.signature(F.col("text"), normalized=True).alias("signature"))
     per_doc = lines.groupBy("signature", "doc_id").agg(F.count(F.lit(1)).alias("n"))  # a hot line counts per document first
     return per_doc.groupBy("signature").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_lines")).filter("n_documents >= 3")
 

@@ -37,9 +37,12 @@ def test_similarity():
 
 
 def test_scripts():
-    assert align("ab", "ba") == [("delete", 0, 0), ("equal", 1, 0), ("insert", 2, 1)]
-    assert align("abc", "axc") == [("equal", 0, 0), ("delete", 1, 1), ("insert", 2, 1), ("equal", 2, 2)]
-    assert [op[0] for op in align("xxx", "yy", cells=1)] == ["delete"] * 3 + ["insert"] * 2
+    assert align("xyz", "yzx") == [("delete", 0, 0), ("equal", 1, 0), ("equal", 2, 1), ("insert", 3, 2)]
+    assert align("pqrs", "pzrs") == [("equal", 0, 0), ("delete", 1, 1), ("insert", 2, 1), ("equal", 2, 2), ("equal", 3, 3)]
+    assert [op[0] for op in align("mmmm", "nnn", cells=1)] == ["delete"] * 4 + ["insert"] * 3
+    assert align("", "") == [] and align("uv", "") == [("delete", 0, 0), ("delete", 1, 0)]
+    # Too large for a table: equal ends first, then the elements that are unique on both sides.
+    assert [op for op in align("aXbbYa", "aYbbXa", cells=3) if op[0] == "equal"] == [("equal", 0, 0), ("equal", 4, 1), ("equal", 5, 5)]
 
 
 def plain_lcs(a, b):
@@ -113,6 +116,12 @@ def test_inline_expectations():
     assert [s.mode for s in segments(long, long + "y")] == ["del", "ins"]
 
 
+def test_insertions_end_on_sentences():
+    old = "We sell. We buy. They go."
+    assert modes(old, "We sell. We rent. We buy. They go.") == [("eq", "We sell."), ("ins", " We rent."), ("eq", " We buy. They go.")]
+    assert modes("We sell. We rent. We buy. They go.", old) == [("eq", "We sell."), ("del", " We rent."), ("eq", " We buy. They go.")]
+
+
 @settings(max_examples=300, deadline=None)
 @given(a=st.lists(st.sampled_from(["red", "and", "big", ".", ",", " ", " ", "x1"]), max_size=14), b=st.lists(st.sampled_from(["red", "and", "big", ".", ",", " ", " ", "x1"]), max_size=14))
 def test_segments_hold_both_texts(a, b):

@@ -55,11 +55,24 @@ def test_refusals():
     assert pdf.read_bytes(b"%PDF-1.4 nothing")["error"] == "ValueError: no catalog"
 
 
-@pytest.mark.parametrize(("name", "font"), [("ABCDEF+TimesNewRomanPS-BoldItalicMT", ("Times New Roman", True, True)), ("SegoeUI", ("Segoe UI", False, False)), ("Calibri,Bold", ("Calibri", True, False)), ("", ("Unknown", False, False))])
+@pytest.mark.parametrize(("name", "font"), [("ABCDEF+TimesNewRomanPS-BoldItalicMT", ("Times New Roman", True, True)), ("SegoeUI", ("Segoe UI", False, False)), ("Calibri,Bold", ("Calibri", True, False)), ("", ("Unknown", False, False)), ("Courier_New2Oblique", ("Courier New 2", False, True)), ("Bold", ("Bold", False, False)), ("Foo-SemiBoldCond", ("Foo Semi Cond", True, False)), ("Univers-LTStd", ("Univers LT Std", False, False))])
 def test_font_names(name, font):
     assert pdf.split_font(name) == font
 
 
+def test_predictors():
+    rows = [[10, 20, 30], [12, 25, 28], [200, 3, 90], [7, 7, 7], [250, 1, 128]]
+    raw, last = b"", [0, 0, 0]
+    for kind, row in enumerate(rows):
+        corner = lambda k: last[k - 1] if k else 0
+        left = lambda k: row[k - 1] if k else 0
+        near = lambda k: min((left(k), last[k], corner(k)), key=lambda x: abs(left(k) + last[k] - corner(k) - x))
+        guess = [lambda k: 0, left, lambda k: last[k], lambda k: (left(k) + last[k]) // 2, near][kind]
+        raw += bytes([kind, *((row[k] - guess(k)) % 256 for k in range(3))])
+        last = row
+    assert pdf._unpredicted(raw, 3) == bytes(sum(rows, []))
+
+
 def test_furniture(spark, tmp_path):
     pages = [text((50, 780), "Contract of sale") + text((50, 400), f"body {chr(97 + i)} text") + text((300, 15), f"Page {i + 1} of 4") + text((50, 750), f"opening {chr(97 + i)} words") for i in range(4)]
     (tmp_path / "x.pdf").write_bytes(make(pages))
