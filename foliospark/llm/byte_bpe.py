@@ -6,8 +6,9 @@ split pattern must end a match whatever surrounds it, so that no regex or merge
 string; the ids are those of the whole text.
 
 Defined cases: a null text is an empty text and has no ids; special tokens are ordinary text; repeated
-rows are encoded alike, each by itself; an empty table gives an empty table; the output columns replace
-input columns of the same name.
+rows are encoded alike, each by itself; a very long text is encoded piece by piece, and only one without
+a space after a character is one piece; an empty table gives an empty table; the output columns replace
+input columns of the same name, and no other column is touched, whatever its name.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import column, packed, unpacked
+
 #: Characters in a piece of a long text, before the search for the next safe boundary.
 PIECE = 50_000
 #: A space after a character that is no white space begins a match of the pattern, or a run of white
@@ -78,5 +81,5 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
             yield pa.StructArray.from_arrays([lists, pa.array(raw, pa.binary())], names=["ids", "decoded"])
 
-    made = df.withColumn("_bpe", run(F.col(text_col)))
-    return made.withColumns({ids_col: F.col("_bpe.ids"), decoded_col: F.col("_bpe.decoded")}).drop("_bpe")
+    made = packed(df, text=column(text_col)).select("row", run("text").alias("made"))
+    return unpacked(made, df.columns, **{ids_col: F.col("made.ids"), decoded_col: F.col("made.decoded")})

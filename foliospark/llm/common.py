@@ -2,70 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of other characters than these.
-WORD_BREAK = r"[\x20\x09-\x0D]+"
-
+from foliospark.tables import discard, dropped, fresh_path, passing, shared_dir, tidy, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="foliospark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["WORD_BREAK", "column", "discard", "dropped", "fresh_path", "hot_join", "packed", "passing", "shared_dir", "table", "tidy", "unpacked", "words", "written"]
 
+#: A word is a maximal run of other characters than these.
+WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: A key with more than one in so many rows is hot: there are at most so many hot keys, whatever the size.
+HOT = 500
+#: Rows up to which a key is not hot.
+COLD = 256
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 32
 
-#: Whether a finished query's shuffle files go at its end, not when the driver happens to collect garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries inside leave no shuffle files."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
 
+def packed(df: DataFrame, **beside: Column) -> DataFrame:
+    """All columns of df as one, ``row``, and the operator's own beside it: no name of df can clash with one of these."""
+    return df.select(F.struct(*map(column, df.columns)).alias("row"), *[c.alias(name) for name, c in beside.items()])
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, outlives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    with tidy(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def unpacked(df: DataFrame, names: list[str], **made: Column) -> DataFrame:
+    """The columns (names) in ``row`` again, with those made in place of others of the same name, else after them."""
+    same = {n.lower(): n for n in made}
+    kept = [made[same[n.lower()]].alias(n) if n.lower() in same else F.col("row").getField(n).alias(n) for n in names]
+    return df.select(*kept, *[c.alias(n) for n, c in made.items() if n.lower() not in {x.lower() for x in names}])
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete the files of written tables that nothing reads any more."""
-    for df in tables:
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            discard(df.sparkSession, path)
 
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread: Column, total: int) -> DataFrame:
+    """rows joined with keyed (one row a key; ``count``: rows of the key), where hot keys are dealt to many tasks.
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder in the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    ``total`` is the sum of all counts, so at most ``HOT`` keys are hot: their list is the only broadcast. A hot
+    key's row in keyed is repeated for each part, and rows choose theirs by ``spread``. By merge at every size.
+    """
+    least = max(COLD, total // HOT)
+    hot = keyed.filter(F.col(count) > least).select(key, F.lit(True).alias("_hot"))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_hot")
+    parts = F.when(F.col(count) > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(keyed.withColumn("_part", F.explode(parts)).hint("merge"), [key, "_part"]).drop("_part")
 
 
 def words(text: Column) -> Column:

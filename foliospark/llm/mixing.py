@@ -11,8 +11,9 @@ are broadcast only up to ``MAX_BROADCAST_SOURCES``; beyond it Spark joins by key
 
 Defined cases: a null source is a source of its own; a source without a weight has weight 0 when
 weights are given; a source without any character gets rate 0; a null text has no characters; rows
-that repeat an id get equal copies; an empty table gives an empty table; the columns n_copies, copy,
-rate and shuffle_key replace input columns of the same name.
+that repeat an id get equal copies; a very long text is one row like any other, and weighs by its length;
+an empty table gives an empty table; the columns n_copies, copy, rate and shuffle_key replace input columns
+of the same name, and no other column is touched, whatever its name.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import column, packed, unpacked, written
+
 STEP = 32.0
 #: Terms of a distribution function with a mean up to STEP; the rest is below 2**-53.
 TERMS = 140
@@ -36,39 +39,39 @@ def uniform(*parts: Column) -> Column:
 
 
 def rates(df: DataFrame, weights: Mapping[str, float] | None = None, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per source: source, n_chars, rate, and the steps and distribution function that copies are drawn by."""
+    """One row per source: source, chars, rate, and the steps and distribution function (cdf) that copies are drawn by."""
     spark = df.sparkSession
-    sizes = df.groupBy(F.col(source_col).alias("_source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).cast("long").alias("_chars"))
+    sizes = df.select(column(source_col).alias("source"), F.length(column(text_col)).alias("n")).groupBy("source").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("chars"))
     if weights is None:
-        weighed = sizes.withColumn("_weight", F.when(F.col("_chars") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        weighed = sizes.withColumn("weight", F.when(F.col("chars") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     else:
-        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "_name string, _given double")
-        weighed = sizes.join(given, F.col("_source").eqNullSafe(F.col("_name")), "left").select("_source", "_chars", F.when(F.col("_chars") > 0, F.coalesce("_given", F.lit(0.0))).otherwise(F.lit(0.0)).alias("_weight"))
-    whole = weighed.agg(F.sum("_chars").alias("_all_chars"), F.sum("_weight").alias("_all_weight"))  # one row
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, given double")
+        weighed = sizes.join(given, F.col("source").cast("string").eqNullSafe(F.col("name")), "left").select("source", "chars", F.when(F.col("chars") > 0, F.coalesce("given", F.lit(0.0))).otherwise(F.lit(0.0)).alias("weight"))
+    whole = weighed.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))  # one row
     out = weighed.join(F.broadcast(whole), F.lit(True)).withColumn(
-        "_rate", F.when((F.col("_chars") > 0) & (F.col("_all_weight") > 0), F.col("_weight") / F.col("_all_weight") * F.col("_all_chars") / F.col("_chars")).otherwise(F.lit(0.0))
+        "rate", F.when((F.col("chars") > 0) & (F.col("all_weight") > 0), F.col("weight") / F.col("all_weight") * F.col("all_chars") / F.col("chars")).otherwise(F.lit(0.0))
     )
-    out = out.withColumn("_steps", F.greatest(F.lit(1), F.ceil(F.col("_rate") / STEP)).cast("int")).withColumn("_mean", F.col("_rate") / F.col("_steps"))
-    start = F.struct(F.exp(-F.col("_mean")).alias("p"), F.array(F.exp(-F.col("_mean"))).alias("cdf"))
+    out = out.withColumn("steps", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int")).withColumn("mean", F.col("rate") / F.col("steps"))
+    start = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf"))
 
     def term(a: Column, k: Column) -> Column:
-        p = a["p"] * F.col("_mean") / k
+        p = a["p"] * F.col("mean") / k
         return F.struct(p.alias("p"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + p)).alias("cdf"))
 
     cdf = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, term, lambda a: a["cdf"])
-    return out.select("_source", "_chars", "_rate", "_steps", cdf.alias("_cdf"))
+    return out.select("source", "chars", "rate", "steps", cdf.alias("cdf"))
 
 
 def replicate(df: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """df's rows as often as drawn (columns rate, n_copies, copy from 1, shuffle_key added), in a global random order."""
-    by_source = rates(df, weights, text_col, source_col)
-    if by_source.select("_source").count() <= MAX_BROADCAST_SOURCES:
+    by_source = written(rates(df, weights, text_col, source_col).withColumnRenamed("source", "of"), "rates")
+    if by_source.count() <= MAX_BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
-    joined = df.join(by_source, F.col(source_col).eqNullSafe(F.col("_source")))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_steps")), lambda s: uniform(F.lit(seed), F.col(id_col), s))
-    joined = joined.withColumn("_u", drawn)
-    n = F.aggregate("_u", F.lit(0), lambda a, u: a + F.size(F.filter("_cdf", lambda c: c <= u)))
-    out = joined.withColumns({"rate": F.col("_rate"), "n_copies": n}).filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy"), F.lit("order")).cast("binary"))
-    out = out.drop("_source", "_chars", "_rate", "_steps", "_cdf", "_u").withColumn("shuffle_key", key)
-    return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    rows = packed(df, id=column(id_col), source=column(source_col))
+    joined = rows.join(by_source, F.col("source").eqNullSafe(F.col("of")))
+    joined = joined.withColumn("drawn", F.transform(F.sequence(F.lit(1), F.col("steps")), lambda s: uniform(F.lit(seed), F.col("id"), s)))
+    n = F.aggregate("drawn", F.lit(0), lambda a, u: a + F.size(F.filter("cdf", lambda c: c <= u)))
+    out = joined.select("row", "id", "rate", n.alias("n")).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("copy"), F.lit("order")).cast("binary"))
+    out = out.withColumn("key", key).repartition(F.col("key")).sortWithinPartitions("key")
+    return unpacked(out, df.columns, rate=F.col("rate"), n_copies=F.col("n"), copy=F.col("copy"), shuffle_key=F.col("key"))

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.wordhash import U, Texts, mix, slices, windows
+from foliospark.llm.common import column
+from foliospark.llm.wordhash import U, mix, slices, windows
 
 PLACES = 1 << 20
 SAMPLE = 3_000
@@ -146,24 +147,25 @@ def train(rows: list[np.ndarray], labels: list[int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on the sample of labelled documents."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_max")).filter("_y = _max")
+    """Fit on the sample of labelled documents. Ids may be of any type; the two tables' are compared as strings."""
+    named = labels.select(column(id_col).cast("string").alias("id"), column(label_col).alias("y")).filter("y IN (0, 1) AND id IS NOT NULL")
+    known = named.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most")
     chosen = []
     for y in (0, 1):
-        chosen += known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_id", "_y").collect()
+        chosen += known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "y").collect()
     if not chosen:
         return train([], [])
     # At most 2 * sample ids.
-    small = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in chosen], "_id long, _y int")
-    texts = docs.join(F.broadcast(small), F.col(id_col) == F.col("_id")).groupBy("_id", "_y").agg(F.min(text_col).alias("_text"))
+    small = docs.sparkSession.createDataFrame([(r.id, int(r.y)) for r in chosen], "id string, y int")
+    texts = docs.select(column(id_col).cast("string").alias("id"), column(text_col).alias("text")).join(F.broadcast(small), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            places = [p.astype("<i4").tobytes() for p in features.of(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(places, pa.binary())], names=["id", "y", "places"])
+            places = [p.astype("<i4").tobytes() for p in features.of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(places, pa.binary())], names=["id", "y", "places"])
 
-    got = sorted(texts.select("_id", "_y", "_text").mapInArrow(featured, "id long, y int, places binary").collect(), key=lambda r: r.id)
+    got = sorted(texts.select("id", "y", "text").mapInArrow(featured, "id string, y int, places binary").collect(), key=lambda r: r.id)
     return train([np.frombuffer(r.places, "<i4") for r in got], [r.y for r in got])
 
 
@@ -180,4 +182,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score
             margins = np.array([own.margin(p) for p in features.of(texts)])
             yield pa.array(1 / (1 + np.exp(-np.clip(own.a * margins + own.b, -30, 30))), pa.float64())
 
-    return df.withColumn(out, run(F.col(text_col)))
+    return df.withColumn(out, run(column(text_col)))

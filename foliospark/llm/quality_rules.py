@@ -6,8 +6,9 @@ arithmetic on the ledger and reads no text again.
 
 DataFrame functions only. Defined cases: a null text is an empty text; an empty text has no words and
 fails ``few_words``; repeated rows are judged alike, each by itself; an empty table gives an empty
-ledger; input columns with the name of a ledger column are replaced. Three-word windows are compared
-by a 64-bit hash within one text.
+ledger; input columns with the name of a ledger column are replaced and no other is touched, whatever its
+name; a very long text is measured as a whole, in memory in proportion to its words. Three-word windows are
+compared by a 64-bit hash within one text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import words
+from foliospark.llm.common import column, packed, unpacked, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -49,40 +50,36 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
+def measured(words: str, lines: str, text: str) -> dict[str, Column]:
+    """The measurements that need no window, over columns of words, lines with a word, and the text."""
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": _without(F.col(text), BLANKS).cast("long"),
+        "n_symbols": (F.length(text) - _without(F.col(text), SYMBOLS)).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_upper": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long"),
+    }
+
+
 def ledger(df: DataFrame, text_col: str = "text", rules: Mapping[str, str] = RULES) -> DataFrame:
     """df with the measurements (long) and ``fail_bits`` (long, bit i set where rule i fails)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    out = df.withColumns({"_words": words(F.col(text_col)), "_lines": lines})
-    out = out.withColumn("_n", F.size("_words")).withColumn(
-        "_windows",
-        F.when(
-            F.col("_n") >= 3,
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.col("_n") - 3, F.lit(0))),
-                lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
-            ),
-        ),
-    )
+    out = packed(df, text=text, words=words(column(text_col)), lines=lines)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    out = out.withColumn("windows", F.when(F.size("words") >= 3, hashes))
     # Only texts with some repeated window pay for the sort.
-    some = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    out = out.withColumn("_sorted", F.when(some, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, i: (F.get("_sorted", i - 1)["h"].eqNullSafe(x["h"])) | (F.get("_sorted", i + 1)["h"].eqNullSafe(x["h"]))
-    out = out.withColumn("_at", F.sort_array(F.transform(F.filter("_sorted", same), lambda x: x["i"])))
-    reach = F.transform("_at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_at", i + 1) - p, F.lit(3))))
-    out = out.withColumns(
-        {
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": _without(text, BLANKS).cast("long"),
-            "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(F.aggregate(reach, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"),
-            "n_upper": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long"),
-        }
-    ).drop("_words", "_lines", "_n", "_windows", "_sorted", "_at")
+    some = F.size(F.array_distinct("windows")) < F.size("windows")
+    out = out.withColumn("sorted", F.when(some, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda x, i: (F.get("sorted", i - 1)["h"].eqNullSafe(x["h"])) | (F.get("sorted", i + 1)["h"].eqNullSafe(x["h"]))
+    out = out.withColumn("at", F.sort_array(F.transform(F.filter("sorted", same), lambda x: x["i"])))
+    reach = F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3))))
+    repeated = F.coalesce(F.aggregate(reach, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
+    out = out.select("row", *[c.alias(n) for n, c in (measured("words", "lines", "text") | {"n_repeat_words": repeated}).items()])
     bits = sum((F.when(F.expr(sql), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, sql in enumerate(rules.values())), F.lit(0).cast("long"))
-    return out.withColumn("fail_bits", bits)
+    return unpacked(out, df.columns, **{m: F.col(m) for m in MEASURES}, fail_bits=bits)
 
 
 def apply_policy(judged: DataFrame, policy: str = "v1", rules: Mapping[str, str] = RULES, policies: Mapping[str, Sequence[str]] = POLICIES, out: str = "kept") -> DataFrame:
@@ -90,31 +87,34 @@ def apply_policy(judged: DataFrame, policy: str = "v1", rules: Mapping[str, str]
     return judged.withColumn(out, F.col("fail_bits").bitwiseAND(F.lit(rule_mask(policies[policy], rules))) == 0)
 
 
-def ablations(judged: DataFrame, policy: str = "v1", rules: Mapping[str, str] = RULES, policies: Mapping[str, Sequence[str]] = POLICIES) -> DataFrame:
-    """For each rule of a policy: documents that fail it, that fail it alone, and that the policy keeps without it."""
+def ablations(judged: DataFrame, policy: str = "v1", by: Sequence[str] = (), rules: Mapping[str, str] = RULES, policies: Mapping[str, Sequence[str]] = POLICIES) -> DataFrame:
+    """For each rule of a policy (and each value of ``by``): n_failed, n_failed_alone (that the policy would keep without it), n_kept_without.
+
+    One aggregation over the ledger's bits, combined in the tasks: a document that the rest of the policy
+    passes has no bit but the rule's own; ``together`` gathers the bits that ever fail beside the rule's.
+    """
     names = list(policies[policy])
     hit = F.col("fail_bits").bitwiseAND(F.lit(rule_mask(names, rules)))
-    counts = judged.groupBy(hit.alias("bits")).agg(F.count(F.lit(1)).alias("n"))  # at most two to the number of rules
     cells = []
     for name in names:
-        bit = rule_mask([name], rules)
-        own = F.col("bits").bitwiseAND(F.lit(bit)) != 0
-        rest = F.col("bits").bitwiseAND(F.lit(~bit)) == 0
+        bit = F.lit(rule_mask([name], rules))
+        own, rest = hit.bitwiseAND(bit), hit.bitwiseAND(F.bitwise_not(bit))
         cells.append(
             F.struct(
                 F.lit(name).alias("rule"),
-                F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("n_failed"),
-                F.coalesce(F.sum(F.when(own & rest, F.col("n"))), F.lit(0)).alias("n_failed_alone"),
-                F.coalesce(F.sum(F.when(rest, F.col("n"))), F.lit(0)).alias("n_kept_without"),
+                F.count_if(own != 0).alias("n_failed"),
+                F.count_if((own != 0) & (rest == 0)).alias("n_failed_alone"),
+                F.count_if(rest == 0).alias("n_kept_without"),
+                F.coalesce(F.bit_or(F.when(own != 0, rest)), F.lit(0)).cast("long").alias("together"),
             )
         )
-    return counts.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return judged.groupBy(*by).agg(F.array(*cells).alias("cells")).select(*by, F.inline("cells"))
 
 
-def filter_documents(df: DataFrame, policy: str = "v1") -> DataFrame:
+def filter_documents(df: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The rows of df that a policy keeps, with df's columns."""
-    judged = ledger(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col("text").alias("_text")), "_text")
+    judged = apply_policy(ledger(packed(df, text=column(text_col))), policy)
     # Without a column that depends on the place of a row, the optimizer would push the filter below the
     # measurements and spell each of them out as often as the rules mention it.
-    judged = apply_policy(judged, policy, out="_kept").withColumn("_place", F.monotonically_increasing_id())
-    return judged.filter("_kept AND _place >= 0").select("_row.*")
+    judged = judged.withColumn("place", F.monotonically_increasing_id())
+    return unpacked(judged.filter("kept AND place >= 0"), df.columns)

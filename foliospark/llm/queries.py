@@ -52,7 +52,7 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return few_files(read.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32")))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,19 +65,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """Narrow rows dealt to a few partitions a core, whatever number of splits they were read in."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
-    out = judged.select(
+    return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(quality_rules.rule_mask(quality_rules.POLICIES["base"]))) != 0).alias("base_failed"),
         "kept", "n_lines", "n_upper", "fail_bits",
     )
-    return few_files(out)
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy costs, by source."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), by=["source"])
 
 
 QUERIES = {
@@ -91,9 +90,10 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "quality_ablations": quality_ablations,
 }
 
-OP9_SQL = r"""
+_LEDGER_SQL = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
@@ -126,10 +126,20 @@ WITH base AS (
     + (CASE WHEN 2 * n_upper > word_chars THEN 64 ELSE 0 END) AS BIGINT) AS fail_bits
   FROM measured
 )
+"""
+OP9_SQL = _LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
        fail_bits = 0 AS kept, n_lines, n_upper, fail_bits
 FROM ledger
 """
+ABLATIONS_SQL = _LEDGER_SQL + f"""
+SELECT source, rule, CAST(count(*) FILTER (own <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (own <> 0 AND rest = 0) AS BIGINT) AS n_failed_alone,
+       CAST(count(*) FILTER (rest = 0) AS BIGINT) AS n_kept_without, CAST(coalesce(bit_or(rest) FILTER (own <> 0), 0) AS BIGINT) AS together
+FROM (SELECT source, rule, fail_bits & b AS own, fail_bits & (127 - b) AS rest
+      FROM ledger JOIN (SELECT doc_id, source FROM documents) USING (doc_id),
+           (VALUES {", ".join(f"('{name}', {1 << i})" for i, name in enumerate(quality_rules.RULES))}) AS r(rule, b))
+GROUP BY source, rule
+"""
 
 OP8_SQL = f"""
 WITH RECURSIVE sizes AS (
@@ -173,4 +183,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_topk_search": OP3_SQL,
     "op8_source_mixing": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
+    "quality_ablations": ABLATIONS_SQL,
 }

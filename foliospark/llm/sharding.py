@@ -12,8 +12,9 @@ makes a shard heavier. Buckets split each shard by a hash of the row, not by the
 never puts a hot text in one task.
 
 Defined cases: a null text has no bytes (its size is 1); a null id sorts first; rows equal in text and
-id cannot be told apart and are kept on one side of a splitter; an empty table gives an empty table;
-the output columns replace input columns of the same name.
+id cannot be told apart and are kept on one side of a splitter; a text longer than a shard's part fills its
+shard alone; an empty table gives an empty table; the output columns replace input columns of the same name,
+and no other column is touched, whatever its name.
 """
 
 from __future__ import annotations
@@ -24,18 +25,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import written
+from foliospark.llm.common import column, dropped, packed, unpacked, written
 
 SHARDS = 16
 #: Largest distance of a splitter from its target, as a part of a shard's bytes.
 TOLERANCE = 0.0005
 DIGIT = 12
 ROWS_PER_BUCKET = 2_000
-#: Buckets in all shards together: the table of their offsets is broadcast and has no more rows.
-MAX_BUCKETS = 65_536
 LOWEST = -(2**63)
 #: (key column, bits below the digit) of each level: the hash of the text, then the id.
-LEVELS = [(c, max(0, 64 - DIGIT * i)) for c in ("_k", "_id") for i in range(1, math.ceil(64 / DIGIT) + 1)]
+LEVELS = [(c, max(0, 64 - DIGIT * i)) for c in ("k", "id") for i in range(1, math.ceil(64 / DIGIT) + 1)]
 
 
 @dataclass
@@ -56,10 +55,10 @@ def _cells(narrow: DataFrame, probes: list[Probe], level: int) -> dict[int, list
     which: Column = F.lit(None).cast("int")
     for i, p in enumerate(probes):
         under = F.lit(True) if first else F.shiftright(column, LEVELS[level - 1][1]) == F.lit(p.prefix)
-        if column == "_id":
-            under &= F.col("_k") == F.lit(p.text_key)
+        if column == "id":
+            under &= F.col("k") == F.lit(p.text_key)
         which = F.when(under, F.lit(i)).otherwise(which)
-    rows = narrow.select(which.alias("i"), value.alias("v"), "_size").filter("i IS NOT NULL").groupBy("i", "v").agg(F.sum("_size").alias("n")).collect()
+    rows = narrow.select(which.alias("i"), value.alias("v"), "size").filter("i IS NOT NULL").groupBy("i", "v").agg(F.sum("size").alias("n")).collect()
     out: dict[int, list[tuple[int, int]]] = {}
     for r in sorted(rows, key=lambda r: (r.i, r.v)):
         out.setdefault(r.i, []).append((r.v, r.n))
@@ -67,8 +66,8 @@ def _cells(narrow: DataFrame, probes: list[Probe], level: int) -> dict[int, list
 
 
 def splitters(narrow: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """The least keys (hash, id) of shards 1 and on, over a table of _k, _id and _size."""
-    total = narrow.agg(F.sum("_size")).first()[0] or 0
+    """The least keys (hash, id) of shards 1 and on, over a table of k, id and size."""
+    total = narrow.agg(F.sum("size")).first()[0] or 0
     allowed = tolerance * total / shards
     open_probes = {j: Probe(total * j / shards) for j in range(1, shards)} if total else {}
     found: dict[int, tuple[int, int]] = {}
@@ -91,7 +90,7 @@ def splitters(narrow: DataFrame, shards: int, tolerance: float = TOLERANCE) -> l
                 last = level == len(LEVELS) - 1
                 if min(start_off, end_off) <= allowed or last:
                     bound = (value + (end_off < start_off)) << shift
-                    found[j] = (bound, LOWEST) if column == "_k" else (p.text_key, bound)
+                    found[j] = (bound, LOWEST) if column == "k" else (p.text_key, bound)
                     del open_probes[j]
                 elif shift:
                     open_probes[j] = Probe(p.target, p.text_key, value, below)
@@ -102,26 +101,19 @@ def splitters(narrow: DataFrame, shards: int, tolerance: float = TOLERANCE) -> l
 
 def shard(df: DataFrame, shards: int = SHARDS, text_col: str = "text", id_col: str = "doc_id", tolerance: float = TOLERANCE) -> DataFrame:
     """df with size (bytes and 1), law, shard, slot (gapless from 0 in each shard) and grown_shard (null)."""
-    sized = df.withColumns(
-        {
-            "_k": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-            "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)),
-            "_size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1,
-        }
-    )
-    narrow = written(sized.select("_k", "_id", "_size"), "shard-keys")
+    text, key = F.coalesce(column(text_col), F.lit("")), F.coalesce(column(id_col).cast("long"), F.lit(LOWEST))
+    sized = packed(df, k=F.xxhash64(text), id=key, size=F.octet_length(text).cast("long") + 1)
+    narrow = written(sized.select("k", "id", "size"), "shard-keys")
     bounds = splitters(narrow, shards, tolerance)
-    after = [(F.col("_k") > k) | ((F.col("_k") == k) & (F.col("_id") >= i)) if k < 2**63 else F.lit(False) for k, i in bounds]
+    after = [(F.col("k") > k) | ((F.col("k") == k) & (F.col("id") >= i)) if k < 2**63 else F.lit(False) for k, i in bounds]
     place = sum((x.cast("int") for x in after), F.lit(0))
-    buckets = max(1, min(MAX_BUCKETS // shards, math.ceil(narrow.count() / shards / ROWS_PER_BUCKET)))
-    bucket = F.pmod(F.xxhash64("_id", "_k", F.lit(7)), F.lit(buckets)).cast("int")
-    counts = narrow.select(place.alias("_shard"), bucket.alias("_bucket")).groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_shard", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_shard", "_bucket").orderBy("_k", "_id")
-    dealt = sized.withColumns({"_shard": place, "_bucket": bucket}).withColumn("_row", F.row_number().over(inside))
-    return (
-        dealt.join(F.broadcast(offsets), ["_shard", "_bucket"])
-        .withColumns({"size": F.col("_size"), "law": F.lit("bytes"), "shard": F.col("_shard"), "slot": F.col("_offset") + F.col("_row") - 1, "grown_shard": F.lit(None).cast("int")})
-        .drop("_k", "_id", "_size", "_shard", "_bucket", "_row", "_offset")
-    )
+    buckets = max(1, math.ceil(narrow.count() / shards / ROWS_PER_BUCKET))
+    bucket = F.pmod(F.xxhash64("id", "k", F.lit(7)), F.lit(buckets)).cast("int")
+    counts = narrow.select(place.alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead")), "shard-offsets")
+    dropped(narrow)
+    inside = Window.partitionBy("shard", "bucket").orderBy("k", "id")
+    # The rows lie by shard and bucket for the window already; the offsets come to them.
+    dealt = sized.withColumns({"shard": place, "bucket": bucket}).withColumn("at", F.row_number().over(inside)).join(offsets.hint("merge"), ["shard", "bucket"])
+    return unpacked(dealt, df.columns, size=F.col("size"), law=F.lit("bytes"), shard=F.col("shard"), slot=F.col("ahead") + F.col("at") - 1, grown_shard=F.lit(None).cast("int"))

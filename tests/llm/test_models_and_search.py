@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -75,6 +76,48 @@ def test_quality_without_two_labels(labelled):
     assert N.score(docs.limit(0), N.train([], [])).count() == 0
 
 
+def test_quality_with_clashing_columns_and_ids_of_text(labelled):
+    docs, labels = labelled
+    plain = N.fit(docs, labels, sample=40)
+    odd = N.fit(docs.selectExpr("cast(doc_id as string) AS doc_id", "text", "1 AS _id", "2 AS id", "3 AS y", "4 AS _y"), labels.selectExpr("*", "5 AS id", "6 AS y"), sample=40)
+    assert (odd.weight == plain.weight).all()
+
+
+def test_quality_query(spark, labelled, tmp_path):
+    from foliospark.llm.queries import QUERIES
+
+    docs, labels = labelled
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op2_quality_classifier"](spark, str(tmp_path)).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    assert len(got) == 303 and all(r.held_out == held(r.doc_id) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
+    unseen = [r for r in got if r.held_out and r.doc_id < 300]
+    assert len(unseen) > 30 and np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 1) for r in unseen]) > 0.95
+
+
+def test_descent_solves_the_hinge_loss():
+    """The weights are those that projected gradient steps on the dual of the same problem arrive at."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(30)]
+    y = np.where(np.arange(30) % 3 > 0, 1, -1)
+    rows = [np.unique(np.append(r, 50 if s > 0 else 51)) if i % 4 else r for i, (r, s) in enumerate(zip(rows, y, strict=True))]
+    model = N._descend(rows, y)
+    x = np.zeros((30, 61))
+    for i, r in enumerate(rows):
+        x[i, r] = model.scale[r] / np.linalg.norm(model.scale[r])
+    x[:, 60] = 1  # the bias
+    z = x * y[:, None]
+    cost = np.where(y > 0, 30 / (2 * (y > 0).sum()), 30 / (2 * (y < 0).sum())) * N.COST
+    alpha, step = np.zeros(30), 1 / np.linalg.norm(z @ z.T, 2)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (z @ (z.T @ alpha) - 1), 0, cost)
+    primal = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - z @ w)).sum()
+    best = primal(z.T @ alpha)
+    own = primal(np.append(model.weight[:60], model.bias))
+    assert best - 1e-9 <= own <= 1.01 * best
+
+
 def test_scaling_and_descent():
     rows = [np.array([1, 2]), np.array([2, 3]), np.array([4, 2]), np.array([4, 5])]
     model = N.train(rows, [1, 1, 0, 0])
