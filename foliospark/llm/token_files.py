@@ -12,16 +12,17 @@ chunk (the order), ahead (ids of the segment before the chunk), n_tokens, keys a
 that a reader can seek), payload. Chunks are rows, so a chunk is whole or absent, and Spark's commit
 protocol decides which files count when an executor is lost.
 
-Defined cases: a null text is an empty text, whose ids are the end id alone; equal keys are ordered by
-text and each row counts; an empty table gives no chunk and reads back as no row; extra input columns
-are not stored. Strings of special tokens in a text are ordinary text.
+Every text is encoded whole, by the tokenizers library, with the tokenizer as its file defines it: strings
+of special tokens in a text become those tokens if the file says so.
+
+Defined cases: a null text is an empty text, whose ids are the end id alone; rows with equal keys follow a
+hash of their texts and then the texts, and each row counts; null keys come first; an empty table gives no chunk and reads
+back as no row; extra input columns, whatever their names, are not stored. A very long text is encoded alone; what the library
+needs for it is in proportion to it (about 50 bytes a byte of text), and its ids may fill more than a chunk.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -32,31 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import fresh_path
+from foliospark.llm.common import column, fresh_path, passing, tidy
 
 BLOCK = 1024
 PERCENTILE = 0.9
 CHUNK_TOKENS = 1 << 19
-#: Pieces whose ids a worker remembers; beyond it the memory starts anew. Never changes a result.
-MEMO = 700_000
-#: White space for Python but not for the tokenizers' patterns.
-ODD = re.compile(r"[\x1c-\x1f]")
-BLANKS = re.compile(r"[ \t\n\x0b\x0c\r]+")
-#: Texts that are cut into pieces, and the pieces of a lower-cased one.
-PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r 0-9a-z\xdf-\xf6\xf8-\xff]+")
-#: The steps of a tokenizer (normalizer, pre-tokenizer, post-processor) that words can be encoded apart for.
-SPLIT_SAFE = [
-    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
-    {
-        "type": "Sequence",
-        "pretokenizers": [
-            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
-            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-        ],
-    },
-    None,
-]
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 18
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n_exceptions", "<u2"), ("n", "<u2")])
 EXCEPTION = np.dtype([("place", "<u2"), ("delta", "<u4")])
 
@@ -149,58 +132,27 @@ def read_block(payload: bytes, block_at: list[int], i: int, block: int = BLOCK)
     return unpack_blocks(payload[block_at[i] : end], [0], block)
 
 
-class WordEncoder:
-    """Encodes texts piece by piece, remembering pieces.
-
-    The tokenizer maps every run of white space to one space, composes and lower-cases characters and
-    cuts at white space, none of which reaches over it; so the ids of a text are those of its words in
-    order. Texts of ASCII and Latin-1 letters alone are cut further, by the tokenizer's own pattern, into
-    pieces that it encodes apart. ``split_safe`` is False for a tokenizer without these properties:
-    whole texts are then encoded.
-    """
-
-    def __init__(self, definition: str, memo: int = MEMO) -> None:
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.memo, self.known = memo, {}
-        parts = json.loads(definition)
-        self.split_safe = [parts.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")] == SPLIT_SAFE
-
-        step = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x100) if PLAIN.fullmatch(chr(c))}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """Pieces need none of the tokenizer's steps before its model but the spelling of bytes as letters."""
-        merge, letters = self.tokenizer.model.tokenize, self.letters
-        return [array("I", [t.id for t in merge(p if p.isascii() else p.translate(letters))]).tobytes() for p in pieces]
-
-    def encode(self, text: str) -> np.ndarray:
-        if not self.split_safe:
-            return np.frombuffer(self._ids([text])[0], "<u4")
-        if len(self.known) > self.memo:
-            self.known = {}
-        known = self.known
-        plain = PLAIN.fullmatch(text)
-        if plain:
-            parts = PIECES.findall(text.lower())
-        else:
-            parts = BLANKS.split(text) if ODD.search(text) else text.split()
-        new = list(set(parts).difference(known))
-        if new:
-            known.update(zip(new, self._piece_ids(new) if plain else self._ids(new), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
+@lru_cache(1)
+def tokenizer_of(definition: str):
+    """The worker's tokenizer."""
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
 
-@lru_cache(1)
-def word_encoder(definition: str) -> WordEncoder:
-    """The worker's encoder; what it remembers serves the next task too."""
-    return WordEncoder(definition)
+    return Tokenizer.from_str(definition)
+
+
+def encoded(tokenizer, texts: list[str], together: int = TOGETHER) -> Iterator[np.ndarray]:
+    """The ids of each text, in order, a few texts at a time."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= together):
+            size, j = size + len(texts[j]), j + 1
+        for e in tokenizer.encode_batch(texts[i:j], add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+        i = j
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, path: str, key_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, block: int = BLOCK, percentile: float = PERCENTILE, chunk_tokens: int = CHUNK_TOKENS) -> None:
@@ -208,14 +160,11 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, key_col: str = "
     spark = df.sparkSession
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, "key", F.xxhash64("text")).sortWithinPartitions("key", "text").withColumn("segment", F.spark_partition_id())
+    rows = df.select(column(key_col).cast("long").alias("key"), F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, "key", "h").sortWithinPartitions("key", "h", "text").select("key", "text", F.spark_partition_id().alias("segment"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = word_encoder(definition)
+        tokenizer = tokenizer_of(definition)
         end = np.array([] if end_id is None else [end_id], "<u4")
         keys, counts, ids, size, ahead, chunk, segment = [], [], [], 0, 0, 0, 0
 
@@ -227,8 +176,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, key_col: str = "
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=list(names))
 
         for batch in batches:
-            for key, text, segment in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "segment")), strict=True):
-                got = encoder.encode(text)
+            texts = batch.column("text").to_pylist()
+            for key, segment, got in zip(batch.column("key").to_pylist(), batch.column("segment").to_pylist(), encoded(tokenizer, texts), strict=True):
                 ids += [got, end]
                 keys.append(key)
                 counts.append(len(got) + len(end))
@@ -239,7 +188,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, key_col: str = "
         if keys:
             yield flush()
 
-    ordered.mapInArrow(pack, CHUNK).write.option("compression", "uncompressed").parquet(path)
+    with tidy(spark):
+        ordered.mapInArrow(pack, CHUNK).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
@@ -276,4 +226,5 @@ def tokens(df: DataFrame, tokenizer_path: str, key_col: str = "doc_id", **option
     """Write the token table of df into the shared folder and read it back: key_col, start, n_tokens, ids_le."""
     path = fresh_path(df.sparkSession, "tokens")
     write_tokens(df, tokenizer_path, path, key_col, **options)
+    passing(df.sparkSession, path)
     return read_tokens(df.sparkSession, path).withColumnRenamed("key", key_col)

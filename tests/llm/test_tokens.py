@@ -27,9 +27,9 @@ def test_cut_texts_have_the_ids_of_the_whole(encoding, text, size):
 
 
 def test_encode_decode(spark, docs, encoding):
-    df = docs([*ODD_TEXTS, "word. " * 30_000]).selectExpr("*", "'mine' AS ids")
+    df = docs([*ODD_TEXTS, "word. " * 30_000]).selectExpr("*", "'mine' AS ids", "1 AS _bpe", "2 AS row", "3 AS made")
     got = byte_bpe.encode_decode(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
-    assert len(got) == len(ODD_TEXTS) + 1
+    assert len(got) == len(ODD_TEXTS) + 1 and {(r._bpe, r.row, r.made) for r in got} == {(1, 2, 3)}
     for r in got:
         assert r.ids == encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert byte_bpe.encode_decode(df.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
@@ -44,24 +44,13 @@ def test_blocks_round_trip(ids, block, percentile):
         assert token_files.read_block(payload, at, i, block).tolist() == ids[i * block : (i + 1) * block]
 
 
-@settings(max_examples=200, deadline=None)
-@given(text=TEXT)
-def test_words_have_the_ids_of_the_text(word_encoder, text):
-    assert word_encoder.split_safe
-    assert word_encoder.encode(text).tolist() == word_encoder.tokenizer.encode(text, add_special_tokens=False).ids
-
-
-@pytest.fixture(scope="module")
-def word_encoder():
-    return token_files.WordEncoder(open(P.path("word_bpe_49k.json"), encoding="utf-8").read(), memo=5)
-
-
 def test_token_table(spark, docs):
+    """Whole texts, by the tokenizer as its file defines it: strings of special tokens are those tokens."""
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = [*ODD_TEXTS, "many words here " * 50, "many words here " * 50]
-    df = docs(texts).orderBy("text").withColumnRenamed("lang", "start")
+    texts = [*ODD_TEXTS, "many words here " * 50, "many words here " * 50, "a <|startoftext|> b", "x<|endoftext|>", "word " * 60_000, "z" * 100_000]
+    assert 49406 in tokenizer.encode(texts[-4], add_special_tokens=False).ids
+    df = docs(texts).orderBy("text").withColumnRenamed("lang", "start").withColumnsRenamed({"source": "h", "n_chars": "segment"})
     got = {r.doc_id: r for r in token_files.tokens(df, path, chunk_tokens=40).collect()}
     before = 0
     for i, text in enumerate(texts):
@@ -72,6 +61,14 @@ def test_token_table(spark, docs):
     assert token_files.tokens(df.limit(0), path).count() == 0
 
 
+def test_rows_with_equal_keys(spark):
+    path = P.path("word_bpe_49k.json")
+    rows = [(None, "first"), (5, "b"), (5, "a"), (5, "a"), (5, None), (4, "x y")]
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.tokens(spark.createDataFrame(rows, "doc_id long, text string"), path).collect())
+    assert [x[1] for x in got] == [None, 4, 5, 5, 5, 5] and sorted(x[2] for x in got[2:]) == [1, 2, 2, 2]
+    assert [x[0] for x in got] == [sum(y[2] for y in got[:i]) for i in range(6)]
+
+
 def test_queries_digest_the_real_outputs(spark, tmp_path, docs, encoding):
     from foliospark.llm.queries import QUERIES
 
