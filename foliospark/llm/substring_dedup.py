@@ -9,26 +9,31 @@ share theirs, so about one word in eight is an entry and no repeat is lost. Docu
 ascending ids. A batch becomes one immutable run: a table that is bucketed and sorted by fingerprint.
 The new run is merge-joined with every earlier run (same buckets, no exchange); fingerprints on both
 sides, or twice in the new run, make their entries shared. When there are more than ``FANOUT`` runs they
-are compacted into one.
+are compacted into one, which keeps the first entry of each fingerprint; the others are known to be
+shared and stay in the index's list of shared entries. An index can be saved, opened again, and take
+further batches: ``remove_later_repeats`` judges a new batch against all that came before.
 
-Verification. The texts that hold shared anchors are read again. An anchor's context is all words of the
-windows that can hold it; contexts are compared by two independent 64-bit hashes of their words. An
-anchor whose context occurred earlier has all its windows repeated. For anchors with several contexts
-the windows of the first anchor of each context are compared one by one.
+Verification, on the words. The texts that hold shared anchors are read again. An anchor's context is all
+words of the windows that can hold it. Contexts are compared as strings: an anchor whose context occurred
+earlier has all its windows repeated. For anchors with several contexts the windows of the first anchor of
+each context are compared one by one, as strings too. So fingerprints only choose what is compared.
 
 Copies are combined where they are made: a fingerprint or context that repeats within a task sends on
 one entry, the others are known to be shared or repeated. So a passage that a third of all documents
-hold adds at most a row per task to any group. Nothing is joined with itself without an aggregate
+hold adds at most a row per task to any group of equal fingerprints or contexts; different contexts around
+one such passage are dealt to many tasks by a salt. Nothing is joined with itself without an aggregate
 between, and no group is collected but the places within one document.
 
-Defined cases: a null text has no words; a text under ``WINDOW`` words keeps all; null ids come first;
-rows that share an id are parts of one document, in the order of their texts, and equal rows are the
-same part (none removes the other); an empty table gives an empty table; the output columns replace
-input columns of the same name.
+Defined cases: a null text has no words; a text under ``WINDOW`` words keeps all; a very long text is
+hashed as a whole, in memory in proportion to it; null ids come first; rows that share an id are parts of
+one document, in the order of a 64-bit hash of their texts, and equal rows are the same part (none removes
+the other); an empty table gives an empty table; the output columns replace input columns of the same
+name, and no other column is touched, whatever its name.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -37,22 +42,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import discard, dropped, fresh_path, tidy, written
-from foliospark.llm.wordhash import U, Texts, _base, _spans, mix, slices, windows
+from foliospark.llm.common import column, discard, dropped, fresh_path, hot_join, packed, passing, tidy, unpacked, written
+from foliospark.llm.wordhash import BREAK, U, Texts, mix, slices, windows
 
 WINDOW = 20
 ANCHOR = 6
-BATCHES = 2
-FANOUT = 4
-#: Entries that a task holds to combine copies; beyond it it sends them on and starts anew.
+BATCHES = 3
+FANOUT = 2
+#: Entries, and contexts, that a task holds to combine copies; beyond it it sends them on and starts anew.
 HELD = 1 << 19
+HELD_CONTEXTS = 1 << 17
 LOWEST = -(2**63)
-ENTRY = "route long, key long, part int, pos int, shared boolean, direct boolean"
-CONTEXT = "is_first boolean, fp long, h1 long, h2 long, key long, part int, pos int, lo int, hi int, begin int, windows array<long>"
+ENTRY = "route long, of long, key long, part long, pos int, shared boolean, direct boolean"
+SHARED = "fp long, key long, part long, pos int"
+CONTEXT = "is_first boolean, fp long, skip int, words string, key long, part long, pos int, lo int, hi int, begin int, n int"
 
 
 def sliding_argmin(values: np.ndarray, n: int) -> np.ndarray:
     """For each i the first place of the least of values[i : i + n]."""
+    if len(values) < n:
+        return np.empty(0, np.int64)
     at, width = np.arange(len(values)), 1
     while 2 * width <= n:
         a, b = at[:-width], at[width:]
@@ -88,7 +97,8 @@ def _entries(window: int, anchor: int):
         direct[first] = False
         # What is known to be shared goes anywhere; what must meet its like goes by its fingerprint.
         route = np.where(direct, mix(key.view(U) * U(31) + pos.astype(U)), fp).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, key, part, pos.astype(np.int32), count[which] > 1, direct)], names=["route", "key", "part", "pos", "shared", "direct"])
+        columns = [pa.array(route), pa.array(fp.view(np.int64), mask=~direct)] + [pa.array(x) for x in (key, part, pos.astype(np.int32), count[which] > 1, direct)]
+        yield pa.RecordBatch.from_arrays(columns, names=["route", "of", "key", "part", "pos", "shared", "direct"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -106,31 +116,42 @@ def _entries(window: int, anchor: int):
     return run
 
 
+def _spelled(words: Texts) -> tuple[bytes, np.ndarray]:
+    """The words with one space after each, and the place of each word (and the end) in that."""
+    size = words.end - words.start
+    at = np.append(0, np.cumsum(size + 1))
+    out = np.full(at[-1], 0x20, np.uint8)
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    out[inside] = words.raw[~BREAK[words.raw]]
+    return out.tobytes(), at
+
+
 def _contexts(window: int, anchor: int):
     reach = window - anchor
+    names = ("is_first", "fp", "skip", "words", "key", "part", "pos", "lo", "hi", "begin", "n")
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple], spelled: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        fp, h1, h2, key, part, pos, lo, hi, begin, size = (np.concatenate([x[i] for x in held]) for i in range(10))
-        flat = np.concatenate([x[10] for x in held])
-        at = np.cumsum(size) - size
-        order = np.lexsort((pos, part, key, h2, h1))
-        same = np.zeros(len(order), bool)
-        same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-        is_first = np.empty(len(order), bool)
-        is_first[order] = ~same
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        least = order[head]  # the first entry of each group, in the order of order
-        equal = (key[order] == key[least]) & (part[order] == part[least]) & (pos[order] == pos[least])
-        keep = np.sort(order[~(same & equal)])  # rows that equal the first are neither first nor repeats
-        n = np.where(is_first, size, 0)[keep]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat[_places(at[keep], n)].view(np.int64)))
-        columns = [is_first[keep], *(x[keep].view(np.int64) for x in (fp, h1, h2)), key[keep], part[keep], *(x[keep].astype(np.int32) for x in (pos, lo, hi, begin))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=["is_first", "fp", "h1", "h2", "key", "part", "pos", "lo", "hi", "begin", "windows"])
+        fp, skip, key, part, pos, lo, hi, begin, n = (np.concatenate([x[i] for x in held]) for i in range(9))
+        is_first, keep = np.zeros(len(fp), bool), np.ones(len(fp), bool)
+        first: dict[tuple[int, bytes], int] = {}
+        places = list(zip(key.tolist(), part.tolist(), pos.tolist(), strict=True))
+        skips = skip.tolist()
+        for i in np.lexsort((pos, part, key)).tolist():
+            head = first.setdefault((skips[i], spelled[i]), i)
+            if head == i:
+                is_first[i] = True
+            else:
+                keep[i] = places[i] != places[head]  # an equal row is neither first nor repeated
+        kept = np.nonzero(keep)[0]
+        text = pa.array([spelled[i] if is_first[i] else None for i in kept.tolist()], pa.binary()).cast(pa.string())
+        small = [x[kept].astype(np.int32) for x in (pos, lo, hi, begin, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (is_first[kept], fp[kept].view(np.int64), skip[kept].astype(np.int32))] + [text] + [pa.array(x) for x in (key[kept], part[kept], *small)], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, spelled = [], []
         for batch in batches:
             keys, parts, places = np.asarray(batch.column("key")), np.asarray(batch.column("part")), batch.column("places")
             offsets, flat = np.asarray(places.offsets), np.asarray(places.values).astype(np.int64)
@@ -142,109 +163,147 @@ def _contexts(window: int, anchor: int):
                 start, stop = words.first[text], words.first[text + 1]
                 at = start + pos
                 lo, hi = np.maximum(start, at - reach), np.minimum(stop, at + window)
-                hashes = words.hashes()
-                h = []
-                for seed, values in ((0, hashes), (1, words.hashes(1))):
-                    base, inverse, _ = _base(seed + 70)
-                    h.append(mix(_spans(values, base, inverse, lo, hi) + (((at - lo) << 8) + hi - lo).astype(U)))
-                grams = windows(hashes, anchor)
+                grams = windows(words.hashes(), anchor)
                 # The windows that have this anchor: a range, as the place of the least never moves back.
                 least = sliding_argmin(grams, reach + 1)
                 begin = np.maximum(lo, np.searchsorted(least, at, "left"))
-                size = np.maximum(0, np.minimum(hi - window + 1, np.searchsorted(least, at, "right")) - begin)
-                held.append((grams[at], *h, keys[first + text], parts[first + text], pos, lo - start, hi - start, begin - start, size, windows(hashes, window)[_places(begin, size)]))
-                n += len(pos)
-                if n > HELD:
-                    yield from flush(held)
-                    held, n = [], 0
-        yield from flush(held)
+                n = np.maximum(0, np.minimum(hi - window + 1, np.searchsorted(least, at, "right")) - begin)
+                held.append((grams[at], at - lo, keys[first + text], parts[first + text], pos, lo - start, hi - start, begin - start, n))
+                raw, place = _spelled(words)
+                spelled += [raw[a:b] for a, b in zip(place[lo].tolist(), (place[hi] - 1).tolist(), strict=True)]
+                if len(spelled) > HELD_CONTEXTS:
+                    yield from flush(held, spelled)
+                    held, spelled = [], []
+        yield from flush(held, spelled)
 
     return run
 
 
-def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... for size places, of each in turn."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Index:
-    """Immutable runs of fingerprints, each a table bucketed and sorted by fingerprint; ``shared`` are the entries met twice."""
+    """Immutable runs of fingerprints, each a table bucketed and sorted by fingerprint, and the entries that were found shared."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT) -> None:
+    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, fanout: int = FANOUT, path: str | None = None) -> None:
         self.spark, self.window, self.anchor, self.fanout = spark, window, anchor, fanout
+        self.path = path or fresh_path(spark, "fingerprints")
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.runs: list[tuple[str, str]] = []
-        self.found: list[DataFrame] = []
-
-    def _run(self, entries: DataFrame) -> tuple[str, str]:
-        name, path = f"fingerprints_{uuid.uuid4().hex}", fresh_path(self.spark, "run")
+        self.runs: list[str] = []  # paths
+        self.tables: dict[str, str] = {}  # path -> name in the catalog
+        self.found: list[str] = []
+        self.last: int | None = None
+        self.compactions = 0
+
+    def _run(self, entries: DataFrame) -> str:
+        path, name = f"{self.path}/run-{uuid.uuid4().hex}", f"fingerprints_{uuid.uuid4().hex}"
         with tidy(self.spark):
             entries.repartition("route").write.bucketBy(self.buckets, "route").sortBy("route").option("path", path).saveAsTable(name)
-        return name, path
-
-    def _read(self, run: tuple[str, str]) -> DataFrame:
-        return self.spark.table(run[0])
-
-    def add(self, docs: DataFrame) -> None:
-        """Index a batch (key, part, text) and collect the entries that it shares with itself and earlier runs."""
-        new = self._run(docs.select("key", "part", "text").mapInArrow(_entries(self.window, self.anchor), ENTRY))
-        rows = self._read(new)
+        self.tables[path] = name
+        return path
+
+    def _read(self, path: str) -> DataFrame:
+        if path not in self.tables:
+            name = f"fingerprints_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} ({ENTRY}) USING parquet CLUSTERED BY (route) SORTED BY (route) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.tables[path] = name
+        return self.spark.table(self.tables[path])
+
+    def _forget(self, path: str) -> None:
+        name = self.tables.pop(path, None)
+        if name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, path)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Index a batch (key, part, text); the entries (fp, key, part, pos) that it shares with itself and what came before.
+
+        Ids of the batch must be above all earlier ones, for what came first is known by its id.
+        """
+        least, most = docs.agg(F.min("key"), F.max("key")).first()
+        if self.last is not None and least is not None and least <= self.last:
+            raise ValueError(f"ids of a batch must be above those before it: {least} is not above {self.last}")
+        entries = self._run(docs.select("key", "part", "text").mapInArrow(_entries(self.window, self.anchor), ENTRY))
+        rows = self._read(entries)
+        place = [F.coalesce("of", "route").alias("fp"), "key", "part", "pos"]
         keyed = rows.filter("NOT direct")
         twice = keyed.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("route")
-        found = rows.filter("shared").select("key", "part", "pos").unionByName(keyed.filter("NOT shared").join(twice, "route", "left_semi").select("key", "part", "pos"))
+        found = rows.filter("shared").select(*place).unionByName(keyed.filter("NOT shared").join(twice, "route", "left_semi").select(*place))
         for run in self.runs:
             old = self._read(run).filter("NOT direct")
-            found = found.unionByName(keyed.join(old, "route", "left_semi").select("key", "part", "pos")).unionByName(old.join(keyed, "route", "left_semi").select("key", "part", "pos"))
-        self.found.append(written(found, "shared-entries"))
-        self.runs.append(new)
+            found = found.unionByName(keyed.join(old, "route", "left_semi").select(*place)).unionByName(old.join(keyed, "route", "left_semi").select(*place))
+        path = f"{self.path}/shared-{uuid.uuid4().hex}"
+        with tidy(self.spark):
+            found.write.parquet(path)
+        self.found.append(path)
+        self.runs.append(entries)
+        self.last = self.last if most is None else most
         if len(self.runs) > self.fanout:
             self.compact()
+        return self.spark.read.schema(SHARED).parquet(path)
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one that has the first entry of each fingerprint."""
         merged = None
         for run in self.runs:
-            merged = self._read(run) if merged is None else merged.unionByName(self._read(run))
-        new = self._run(merged.filter("NOT direct"))
-        self.drop()
+            rows = self._read(run).filter("NOT direct").select("route", F.struct("key", "part", "pos").alias("at"))
+            merged = rows if merged is None else merged.unionByName(rows)
+        first = merged.groupBy("route").agg(F.min("at").alias("at"))
+        new = self._run(first.select("route", F.lit(None).cast("long").alias("of"), "at.*", F.lit(False).alias("shared"), F.lit(False).alias("direct")))
+        for run in self.runs:
+            self._forget(run)
         self.runs = [new]
+        self.compactions += 1
 
     def drop(self) -> None:
-        for name, path in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            discard(self.spark, path)
-        self.runs = []
-
-    def shared(self) -> DataFrame:
-        """key, part, places: the shared anchors of each text, of all batches so far."""
-        found = self.found[0]
-        for more in self.found[1:]:
-            found = found.unionByName(more)
-        places = written(found.groupBy("key", "part").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
-        dropped(*self.found)
-        self.found = []
-        return places
+        """Forget and delete all of the index."""
+        for path in self.runs:
+            self._forget(path)
+        discard(self.spark, self.path)
+        self.runs, self.found = [], []
+
+    def shared(self, fingerprints: DataFrame | None = None) -> DataFrame:
+        """key, part, places: the shared anchors of each text so far, all or those of some fingerprints (fp)."""
+        found = self.spark.read.schema(SHARED).parquet(*self.found) if self.found else self.spark.createDataFrame([], SHARED)
+        if fingerprints is not None:
+            found = found.join(fingerprints.select("fp").distinct().hint("merge"), "fp", "left_semi")
+        return written(found.groupBy("key", "part").agg(F.sort_array(F.collect_set("pos")).alias("places")), "places")
+
+    def save(self) -> str:
+        """Write what ``opened`` needs beside the runs; the folder."""
+        state = {"window": self.window, "anchor": self.anchor, "fanout": self.fanout, "buckets": self.buckets, "last": self.last, "runs": [p.rpartition("/")[2] for p in self.runs], "found": [p.rpartition("/")[2] for p in self.found]}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/state")
+        return self.path
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """A saved index."""
+    state = json.loads(spark.read.text(f"{path}/state").first()[0])
+    index = Index(spark, state["window"], state["anchor"], state["fanout"], path)
+    index.buckets, index.last = state["buckets"], state["last"]
+    index.runs, index.found = ([f"{path}/{name}" for name in state[k]] for k in ("runs", "found"))
+    return index
 
 
 def repeats(docs: DataFrame, shared: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """key, part, spans: the word ranges of each text that repeated windows cover, verified on the texts."""
+    """key, part, spans: the word ranges of each text that repeated windows cover, verified on the words of the texts."""
     # By merge at every size: a plan that changes with the tables would hide what large ones cost.
     context = written(docs.join(shared.hint("merge"), ["key", "part"]).select("key", "part", "text", "places").mapInArrow(_contexts(window, anchor), CONTEXT), "contexts")
     span, place = ("key", "part", "lo", "hi"), F.struct("key", "part", "pos")
-    firsts = context.filter("is_first").select("fp", "h1", "h2", "pos", *span)
-    least = firsts.groupBy("h1", "h2").agg(F.min(place).alias("least"))
-    judged = written(firsts.join(least, ["h1", "h2"]).select("fp", "pos", *span, F.when(place == F.col("least"), 0).when(place > F.col("least"), 1).alias("order")), "judged")
+    # A context comes at most once a flush of a task, so its group is small; its hash only shortens the sort.
+    equal = Window.partitionBy("h", "skip", "words")
+    firsts = context.filter("is_first").withColumn("h", F.xxhash64("words")).withColumn("least", F.min(place).over(equal))
+    order = F.when(place == F.col("least"), 0).when(place > F.col("least"), 1)
+    judged = written(firsts.withColumn("order", order).select("fp", "order", "begin", "n", F.when(F.col("order") == 0, F.col("words")).alias("words"), "pos", *span), "judged")
     heads = judged.filter("order = 0")
-    several = heads.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
-    edge = heads.join(several, "fp").select("key", "part", "pos")
-    each = context.filter("is_first").select("key", "part", "pos", "begin", "windows").join(edge, ["key", "part", "pos"], "left_semi")
-    each = written(each.select("key", "part", "begin", F.posexplode("windows").alias("i", "w")).select("key", "part", (F.col("begin") + F.col("i")).alias("start"), "w"), "windows")
+    several = written(heads.groupBy("fp").agg(F.count(F.lit(1)).alias("heads")).filter("heads > 1"), "several")
+    total = several.agg(F.coalesce(F.sum("heads"), F.lit(0))).first()[0]
+    edge = hot_join(heads.filter("n > 0"), several, "fp", "heads", F.col("key"), total)
+    own = F.transform(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1), lambda start: F.struct(start.alias("start"), F.array_join(F.slice("list", start - F.col("lo") + 1, window), " ").alias("w")))
+    each = edge.select("key", "part", "lo", "begin", "n", F.split("words", " ").alias("list")).select("key", "part", F.inline(own))
+    each = written(each, "windows")
     earliest = each.groupBy("w").agg(F.min(F.struct("key", "part", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = each.join(earliest, "w").filter(F.struct("key", "part", "start") > F.col("least")).select("key", "part", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
     marks = context.filter("NOT is_first").select(*span).unionByName(judged.filter("order = 1").select(*span)).unionByName(again)
     spans = written(marks.groupBy("key", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    dropped(context, judged, each)
+    dropped(context, judged, several, each)
     return spans
 
 
@@ -279,32 +338,54 @@ def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text], names=["n_words", "n_removed", "text"])
 
 
-def _parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with key and part: parts number the different texts of an id."""
-    keyed = df.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)))
-    ids = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
-    if not ids.head(1):
-        return keyed.withColumn("_part", F.lit(0))
-    texts = keyed.join(ids, "_key", "left_semi").select("_key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_md5"), F.substring(text_col, 1, 200).alias("_head")).distinct()
-    parts = texts.select("_key", "_md5", (F.row_number().over(Window.partitionBy("_key").orderBy("_head", "_md5")) - 1).alias("_part"))
-    known = keyed.withColumn("_md5", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).join(parts, ["_key", "_md5"], "left")
-    return known.withColumn("_part", F.coalesce("_part", F.lit(0))).drop("_md5")
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """df with the text without its repeated words, and n_words and n_removed of the text that was."""
-    spark = df.sparkSession
-    keyed = _parts(df, id_col, text_col)
-    docs = keyed.select(F.col("_key").alias("key"), F.col("_part").alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    index = Index(spark, window, anchor, fanout)
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, key (the id; null is the lowest), part (tells texts of one id apart) and text of each row."""
+    text = column(text_col)
+    return packed(df, key=F.coalesce(column(id_col).cast("long"), F.lit(LOWEST)), part=F.xxhash64(F.coalesce(text, F.lit(""))), text=text)
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    return keyed.select("key", "part", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _without(keyed: DataFrame, spans: DataFrame, names: list[str], text_col: str) -> DataFrame:
+    joined = keyed.join(spans.hint("merge"), ["key", "part"], "left").withColumn("cut", F.arrow_udf(_cut, "struct<n_words:long,n_removed:long,text:string>")(F.col("text"), F.col("spans")))
+    return unpacked(joined, names, **{text_col: F.col("cut.text"), "n_words": F.col("cut.n_words"), "n_removed": F.col("cut.n_removed")})
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, fanout: int = FANOUT, index: Index | None = None) -> DataFrame:
+    """df with the text without its repeated words, and n_words and n_removed of the text that was.
+
+    ``index``: an empty one that is to hold df's windows afterwards; else one is made and goes.
+    """
+    keyed = _keyed(df, id_col, text_col)
+    docs = _texts(keyed)
+    own = index or Index(df.sparkSession, window, anchor, fanout)
     bounds = docs.agg(F.percentile_approx("key", F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(10_000))).first()[0] if batches > 1 else []
     edges = [None, *sorted(set(bounds or [])), None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = docs if low is None else docs.filter(F.col("key") > low)
-        index.add(batch if high is None else batch.filter(F.col("key") <= high))
-    shared = index.shared()
-    index.drop()
-    spans = repeats(docs, shared, window, anchor)
+    try:
+        for low, high in zip(edges, edges[1:], strict=False):
+            batch = docs if low is None else docs.filter(F.col("key") > low)
+            own.add(batch if high is None else batch.filter(F.col("key") <= high))
+        shared = own.shared()
+    finally:
+        if index is None:
+            own.drop()
+    spans = repeats(docs, shared, own.window, own.anchor)
+    dropped(shared)
+    return _without(keyed, spans, df.columns, text_col)
+
+
+def remove_later_repeats(df: DataFrame, history: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same for a new batch whose ids are above all before: words go whose windows start earlier in history or in df.
+
+    ``index`` holds the windows of history, and of df afterwards. Of history only texts that share
+    fingerprints with df are read.
+    """
+    keyed = _keyed(df, id_col, text_col)
+    found = index.add(_texts(keyed))
+    shared = index.shared(found)
+    docs = _texts(_keyed(history, id_col, text_col)).unionByName(_texts(keyed))
+    spans = repeats(docs, shared, index.window, index.anchor)
     dropped(shared)
-    joined = keyed.join(spans.toDF("_key", "_part", "_spans").hint("merge"), ["_key", "_part"], "left").withColumn("_cut", F.arrow_udf(_cut, "struct<n_words:long,n_removed:long,text:string>")(F.col(text_col), F.col("_spans")))
-    return joined.withColumns({"n_words": F.col("_cut.n_words"), "n_removed": F.col("_cut.n_removed"), text_col: F.col("_cut.text")}).drop("_key", "_part", "_spans", "_cut")
+    return _without(keyed, spans, df.columns, text_col)

@@ -4,9 +4,12 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from foliospark.llm import substring_dedup as S
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -14,7 +17,9 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 def brute(rows, window):
     """{row place: (n_words, kept words)} of (id, text) rows, by the definition."""
-    order = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in rows})
+    part = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest()
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    order = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in rows}, key=lambda d: (*d[:2], signed(part(d[2]))))
     seen, out = {}, {}
     for place, doc in enumerate(order):
         w = WORDS.findall(doc[2])
@@ -27,8 +32,11 @@ def brute(rows, window):
 
 
 def check(spark, rows, window=20, **options):
+    own = ("key", "part", "cut", "spans", "h", "words", "fp", "_key", "a`b")
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'mine' AS n_words", "monotonically_increasing_id() AS row")
+    df = df.select("*", *[F.lit(n).alias(n) for n in own])
     got = sorted(S.remove_repeats(df, window=window, **options).collect(), key=lambda r: r.row)
+    assert all(r[n] == n for r in got for n in own)
     for (_, text), r, (n, kept) in zip(rows, got, brute(rows, window), strict=True):
         assert (r.n_words, r.n_removed, WORDS.findall(r.text or "")) == (n, n - len(kept), kept)
         assert r.n_removed or r.text == text
@@ -63,6 +71,74 @@ def test_against_brute_force(spark, seed, options):
     check(spark, rows, **options)
 
 
+def mixed(seed, n, first=0):
+    """(id, text) rows that quote each other."""
+    rng, quoting = random.Random(seed), random.Random(1)
+    pool = [[f"q{quoting.randrange(10**6)}" for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        t = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(10, 60))]
+        for _ in range(rng.randrange(3)):
+            q, a = rng.choice(pool), rng.randrange(30)
+            t[rng.randrange(len(t)) : 0] = q[a : a + rng.randrange(15, 30)]
+        rows.append((first + i, " ".join(t)))
+    return rows
+
+
+def test_compaction_runs_in_production(spark, monkeypatch):
+    made = []
+    compact = S.Index.compact
+    monkeypatch.setattr(S.Index, "compact", lambda self: (made.append(len(self.runs)), compact(self)))
+    check(spark, mixed(3, 40))
+    assert made == [S.FANOUT + 1]
+
+
+def test_batches_into_a_stored_index(spark):
+    batches = [mixed(k, 25, 100 * k) for k in range(5)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = S.Index(spark, fanout=2)
+    got = S.remove_repeats(frame(batches[0]), index=index).collect()
+    path = index.save()
+    for k in range(1, 5):
+        index = S.opened(spark, path)
+        got += S.remove_later_repeats(frame(batches[k]), frame(sum(batches[:k], [])), index).collect()
+        index.save()
+    assert len(index.runs) <= 2
+    rows = sum(batches, [])
+    assert sum(r.n_removed for r in got) > 300
+    for r, (n, kept) in zip(sorted(got, key=lambda r: r.doc_id), brute(rows, 20), strict=True):
+        assert (r.n_words, WORDS.findall(r.text)) == (n, kept)
+    with pytest.raises(ValueError, match="above"):
+        index.add(frame(batches[0]).selectExpr("doc_id AS key", "0L AS part", "text"))
+    index.drop()
+
+
+def test_equal_hashes_are_told_apart_by_words(spark, monkeypatch):
+    """With fingerprints that all collide, only the words decide."""
+    monkeypatch.setattr(S, "windows", lambda hashes, n, seed=0: np.zeros(max(0, len(hashes) - n + 1), np.uint64))
+    rows = mixed(7, 12)
+    text = lambda r: r[1]
+    import pyarrow as pa
+
+    places = []
+    for words in map(str.split, map(text, rows)):
+        places.append(list(range(max(0, len(words) - S.ANCHOR + 1))))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([0] * len(rows)), pa.array([r[1] for r in rows]), pa.array(places, pa.list_(pa.int32()))], names=["key", "part", "text", "places"])
+    out = next(S._contexts(20, S.ANCHOR)(iter([batch]))).to_pylist()
+    words = {r[0]: r[1].split() for r in rows}
+    seen = set()
+    for r in sorted(out, key=lambda r: (r["key"], r["pos"])):
+        own = (r["pos"] - r["lo"], tuple(words[r["key"]][r["lo"] : r["hi"]]))
+        assert r["is_first"] == (own not in seen) and (r["words"] == " ".join(own[1])) == r["is_first"]
+        seen.add(own)
+
+
+def test_long_text(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**7)}" for _ in range(300_000))
+    check(spark, [(1, long), (2, "start " + long[: len(long) // 2].rpartition(" ")[0] + " end"), (3, "x" * 3_000_000)])
+
+
 def test_small_windows_and_empty_table(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(12)))) for i in range(60)]
