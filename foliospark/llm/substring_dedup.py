@@ -36,10 +36,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import column, discard, dropped, fresh_path, hot_join, packed, passing, tidy, unpacked, written
@@ -53,6 +54,7 @@ FANOUT = 2
 HELD = 1 << 19
 HELD_CONTEXTS = 1 << 17
 LOWEST = -(2**63)
+SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 ENTRY = "route long, of long, key long, part long, pos int, shared boolean, direct boolean"
 SHARED = "fp long, key long, part long, pos int"
 CONTEXT = "is_first boolean, fp long, skip int, words string, key long, part long, pos int, lo int, hi int, begin int, n int"
@@ -179,6 +181,20 @@ def _contexts(window: int, anchor: int):
     return run
 
 
+@contextmanager
+def _sorted_runs(spark: SparkSession) -> Iterator[None]:
+    """Queries planned inside know that each bucket of a run is one sorted file, and merge runs without sorting them."""
+    before = spark.conf.get(SORTED, None)
+    spark.conf.set(SORTED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SORTED)
+        else:
+            spark.conf.set(SORTED, before)
+
+
 class Index:
     """Immutable runs of fingerprints, each a table bucketed and sorted by fingerprint, and the entries that were found shared."""
 
@@ -230,7 +246,7 @@ class Index:
             old = self._read(run).filter("NOT direct")
             found = found.unionByName(keyed.join(old, "route", "left_semi").select(*place)).unionByName(old.join(keyed, "route", "left_semi").select(*place))
         path = f"{self.path}/shared-{uuid.uuid4().hex}"
-        with tidy(self.spark):
+        with tidy(self.spark), _sorted_runs(self.spark):
             found.write.parquet(path)
         self.found.append(path)
         self.runs.append(entries)
@@ -292,21 +308,63 @@ def repeats(docs: DataFrame, shared: DataFrame, window: int = WINDOW, anchor: in
     firsts = context.filter("is_first").withColumn("h", F.xxhash64("words")).withColumn("least", F.min(place).over(equal))
     order = F.when(place == F.col("least"), 0).when(place > F.col("least"), 1)
     judged = written(firsts.withColumn("order", order).select("fp", "order", "begin", "n", F.when(F.col("order") == 0, F.col("words")).alias("words"), "pos", *span), "judged")
+    marks = [written(context.filter("NOT is_first").select(*span).unionByName(judged.filter("order = 1").select(*span)), "marks")]
+    dropped(context)
     heads = judged.filter("order = 0")
     several = written(heads.groupBy("fp").agg(F.count(F.lit(1)).alias("heads")).filter("heads > 1"), "several")
     total = several.agg(F.coalesce(F.sum("heads"), F.lit(0))).first()[0]
-    edge = hot_join(heads.filter("n > 0"), several, "fp", "heads", F.col("key"), total)
-    own = F.transform(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1), lambda start: F.struct(start.alias("start"), F.array_join(F.slice("list", start - F.col("lo") + 1, window), " ").alias("w")))
-    each = edge.select("key", "part", "lo", "begin", "n", F.split("words", " ").alias("list")).select("key", "part", F.inline(own))
-    each = written(each, "windows")
-    earliest = each.groupBy("w").agg(F.min(F.struct("key", "part", "start")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = each.join(earliest, "w").filter(F.struct("key", "part", "start") > F.col("least")).select("key", "part", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
-    marks = context.filter("NOT is_first").select(*span).unionByName(judged.filter("order = 1").select(*span)).unionByName(again)
-    spans = written(marks.groupBy("key", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    dropped(context, judged, several, each)
+    edges = written(hot_join(heads.filter("n > 0"), several, "fp", "heads", F.col("key"), total).select("key", "part", "pos", "lo", "begin", "n", "words"), "edges")
+    dropped(judged, several)
+    marks.append(_again(edges, window))
+    spans = written(marks[0].unionByName(marks[1]).groupBy("key", "part").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    dropped(edges, *marks)
     return spans
 
 
+def _window(words: str, lo: Column, start: Column, window: int) -> Column:
+    """The window from a place on, of the words (an array) of the context that begins at lo."""
+    return F.slice(words, start - lo + 1, window)
+
+
+def _hashed(words: Column) -> Column:
+    return F.xxhash64(words)
+
+
+def _again(edges: DataFrame, window: int) -> DataFrame:
+    """key, part, lo, hi of the windows of contexts (edges) that started earlier in another of them.
+
+    A hash says which windows to compare; the words of both decide. Windows of a hash that stood for
+    different words are grouped by their words in full.
+    """
+    spelled = edges.select("key", "part", "pos", "lo", "begin", "n", F.split("words", " ").alias("list"))
+    starts = F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)
+    own = lambda made: F.transform(starts, lambda at: F.struct(at.alias("start"), made(F.array_join(_window("list", F.col("lo"), at, window), " ")).alias("h")))
+    each = written(spelled.select("key", "part", "pos", F.inline(own(_hashed))), "windows")
+    earliest = each.groupBy("h").agg(F.min(F.struct("key", "part", "start", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = each.join(earliest, "h").filter(F.struct("key", "part", "start") > F.struct("first.key", "first.part", "first.start"))
+    # The windows of one context that first stood in one other context, by the same step, are compared together.
+    head = F.struct("first.key", "first.part", "first.pos").alias("head")
+    pairs = later.groupBy("key", "part", "pos", head, (F.col("start") - F.col("first.start")).alias("step")).agg(F.collect_list("start").alias("starts"))
+    pairs = written(pairs, "window-pairs")
+    counts = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("members"))
+    heads = counts.join(edges.select(F.struct("key", "part", "pos").alias("head"), F.col("lo").alias("head_lo"), F.col("words").alias("head_words")).dropDuplicates(["head"]).hint("merge"), "head")
+    mine = pairs.join(edges.select("key", "part", "pos", "lo", "words").dropDuplicates(["key", "part", "pos"]).hint("merge"), ["key", "part", "pos"])
+    both = hot_join(mine, heads, "head", "members", F.col("key"), pairs.count())
+    both = both.withColumns({"a": F.split("words", " "), "b": F.split("head_words", " ")})
+    same = lambda at: _window("a", F.col("lo"), at, window) == _window("b", F.col("head_lo"), at - F.col("step"), window)
+    compared = written(both.select("key", "part", F.explode(F.transform("starts", lambda at: F.struct(at.alias("start"), same(at).alias("same")))).alias("x")).select("key", "part", "x.*"), "compared")
+    out = compared.filter("same")
+    wrong = compared.filter("NOT same")
+    if wrong.head(1):
+        hashes = each.join(wrong.select("key", "part", "start"), ["key", "part", "start"]).select("h").distinct()
+        unsure = spelled.select("key", "part", F.inline(own(lambda w: w))).withColumnRenamed("h", "w").withColumn("h", _hashed(F.col("w"))).join(hashes, "h")
+        least = unsure.groupBy("w").agg(F.min(F.struct("key", "part", "start")).alias("least"))
+        out = out.select("key", "part", "start").unionByName(unsure.join(least, "w").filter(F.struct("key", "part", "start") > F.col("least")).select("key", "part", "start"))
+    out = written(out.select("key", "part", F.col("start").alias("lo"), (F.col("start") + window).alias("hi")), "marks")
+    dropped(each, pairs, compared)
+    return out
+
+
 def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, marks in batches:
         spans = marks.to_pylist()

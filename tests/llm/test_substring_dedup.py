@@ -154,3 +154,9 @@ def test_query(spark, docs, tmp_path):
     got = [tuple(r) for r in QUERIES["op5_substring_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()]
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got == [(0, 25, 0, sha(text)), (1, 26, 25, sha("b")), (2, 0, 0, sha(""))]
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """Where all windows have one hash the words still decide."""
+    monkeypatch.setattr(S, "_hashed", lambda words: F.lit(5).cast("long"))
+    check(spark, mixed(11, 30))
