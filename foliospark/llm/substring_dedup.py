@@ -9,7 +9,7 @@ share theirs, so about one word in eight is an entry and no repeat is lost. Docu
 ascending ids. A batch becomes one immutable run: a table that is bucketed and sorted by fingerprint.
 The new run is merge-joined with every earlier run (same buckets, no exchange); fingerprints on both
 sides, or twice in the new run, make their entries shared. When there are more than ``FANOUT`` runs they
-are compacted into one, which keeps the first entry of each fingerprint; the others are known to be
+are compacted into one, which keeps an entry of each fingerprint; the others are known to be
 shared and stay in the index's list of shared entries. An index can be saved, opened again, and take
 further batches: ``remove_later_repeats`` judges a new batch against all that came before.
 
@@ -208,10 +208,11 @@ class Index:
         self.last: int | None = None
         self.compactions = 0
 
-    def _run(self, entries: DataFrame) -> str:
+    def _run(self, entries: DataFrame, dealt: bool = False) -> str:
+        """Write entries as a run; ``dealt``: they lie by fingerprint already."""
         path, name = f"{self.path}/run-{uuid.uuid4().hex}", f"fingerprints_{uuid.uuid4().hex}"
         with tidy(self.spark):
-            entries.repartition("route").write.bucketBy(self.buckets, "route").sortBy("route").option("path", path).saveAsTable(name)
+            (entries if dealt else entries.repartition("route")).write.bucketBy(self.buckets, "route").sortBy("route").option("path", path).saveAsTable(name)
         self.tables[path] = name
         return path
 
@@ -256,13 +257,13 @@ class Index:
         return self.spark.read.schema(SHARED).parquet(path)
 
     def compact(self) -> None:
-        """Merge all runs into one that has the first entry of each fingerprint."""
+        """Merge all runs into one that has an entry of each fingerprint; the others have been found shared."""
         merged = None
         for run in self.runs:
-            rows = self._read(run).filter("NOT direct").select("route", F.struct("key", "part", "pos").alias("at"))
+            rows = self._read(run).filter("NOT direct").select("route", "key", "part", "pos")
             merged = rows if merged is None else merged.unionByName(rows)
-        first = merged.groupBy("route").agg(F.min("at").alias("at"))
-        new = self._run(first.select("route", F.lit(None).cast("long").alias("of"), "at.*", F.lit(False).alias("shared"), F.lit(False).alias("direct")))
+        one = merged.groupBy("route").agg(*[F.first(c).alias(c) for c in ("key", "part", "pos")])
+        new = self._run(one.select("route", F.lit(None).cast("long").alias("of"), "key", "part", "pos", F.lit(False).alias("shared"), F.lit(False).alias("direct")), dealt=True)
         for run in self.runs:
             self._forget(run)
         self.runs = [new]
@@ -338,7 +339,7 @@ def _again(edges: DataFrame, window: int) -> DataFrame:
     """
     spelled = edges.select("key", "part", "pos", "lo", "begin", "n", F.split("words", " ").alias("list"))
     starts = F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)
-    own = lambda made: F.transform(starts, lambda at: F.struct(at.alias("start"), made(F.array_join(_window("list", F.col("lo"), at, window), " ")).alias("h")))
+    own = lambda made: F.transform(starts, lambda at: F.struct(at.alias("start"), made(_window("list", F.col("lo"), at, window)).alias("h")))
     each = written(spelled.select("key", "part", "pos", F.inline(own(_hashed))), "windows")
     earliest = each.groupBy("h").agg(F.min(F.struct("key", "part", "start", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = each.join(earliest, "h").filter(F.struct("key", "part", "start") > F.struct("first.key", "first.part", "first.start"))
