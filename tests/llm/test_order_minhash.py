@@ -24,13 +24,23 @@ WORDS = st.lists(st.integers(0, 4), max_size=14)
 @settings(max_examples=500, deadline=None)
 @given(a=WORDS, b=WORDS, limit=st.integers(0, 14))
 def test_banded_alignment(a, b, limit):
-    x, y = (O.Sequence(mix(np.array(v, np.uint64))) for v in (a, b))
+    x, y = (O.Sequence(b" \t".join(b"%d" % w for w in v)) for v in (a, b))
     d = distance(a, b)
-    assert O.aligned(x, y, limit) == (d if d <= limit else None)
+    assert O.aligned(x.words, y.words, limit) == (d if d <= limit else None)
     assert O.shared_words(x, y) >= max(len(a), len(b)) - d
     assert O.alike(x, y, 0.7) == (d <= 0.3 * max(len(a), len(b)) + 1e-9)
 
 
+def test_long_texts_align():
+    rng = random.Random(5)
+    a = [rng.randrange(4000) for _ in range(30_000)]
+    b = list(a)
+    for i in rng.sample(range(30_000), 200):
+        b[i] = 5000 + i
+    assert O.aligned(a, b, 6000) == 200 and O.aligned(a, b, 199) is None
+    assert O.aligned(a, a[7:], 6000) == 7 and O.aligned(a, b[::-1], 6000) is None
+
+
 def test_order_and_repeats_count():
     a = mix(np.arange(40, dtype=np.uint64))
     assert (O.sketch(a) == O.sketch(a)).all() and not (O.sketch(a) == O.sketch(a[::-1].copy())).any()
@@ -65,7 +75,7 @@ def test_classes_against_brute_force(spark, docs):
             texts.append(" ".join(copy))
         texts.append(passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(20)))
     rng.shuffle(texts)
-    df = docs(texts).withColumnRenamed("lang", "class_id")
+    df = docs(texts).withColumnRenamed("lang", "class_id").selectExpr("*", "1 AS _kept_id", "2 AS _place", "3 AS id", "4 AS row", "5 AS place")
     got = {r.doc_id: r for r in O.classes(df).collect()}
     want = brute(texts)
     blank = {i for i, t in enumerate(texts) if t is not None and not t.split() and t != ""}
@@ -107,3 +117,33 @@ def test_copies_around_a_template_of_older_texts(spark, docs):
     sharing = [(b, c) for b, c in pairs if sketches[b] & sketches[c]]
     assert len(sharing) >= 20
     assert [(b, c) for b, c in sharing if got[b] != got[c]] == []
+
+
+def test_recall(spark, docs):
+    """Of all pairs of at least 0.8 edit similarity, found by brute force, at least 0.9 end in one class."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40, 120))]
+        texts.append(base)
+        for part in (0.05, 0.12, 0.18):
+            copy = list(base)
+            for _ in range(int(part * len(base))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(2)] = [f"n{rng.randrange(10**6)}"]
+            texts.append(copy)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if i // 4 == j // 4 and O.aligned(texts[i], texts[j], int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)) is not None]
+    got = {r.doc_id: r.class_id for r in O.classes(docs([" ".join(t) for t in texts])).collect()}
+    hard = [(i, j) for i, j in near if 0 not in (i % 4, j % 4)]  # neither is the base of the other
+    assert len(near) > 150 and len(hard) > 30
+    assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+    assert sum(got[i] == got[j] for i, j in hard) >= 0.9 * len(hard)
+
+
+def test_query(spark, tmp_path, docs):
+    from foliospark.llm.queries import QUERIES
+
+    text = " ".join(f"w{i}" for i in range(40))
+    docs([text, "other words here", text + " x", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op6_order_minhash"](spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 1, True), (1, 1, 0, True), (2, 0, 1, False), (3, 3, 0, True)]
