@@ -1,26 +1,27 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-A vector's score is the sum of its partial scores on m blocks of dimensions; each partition of the
-vectors holds a score list per block.
-
-1. Each partition gathers the k best entries of each of its lists, with their whole scores, and the
-   lowest partial score of each list. The k-th best gathered score t is a lower bound of the k-th best
-   score. Partial scores count from their lowest value l_j, so that none is negative.
-2. The cutoff (t - sum of l) / m is broadcast. An entry below it in every list has a score below t.
-   Partitions collect the others.
-3. What a collected entry can still reach is its collected partial scores plus the cutoff for each
-   list it was not collected from; where that is t or more, its score is resolved exactly. Each
-   partition then gives up its k best, and the k best of those are the answer.
+A vector's score is the sum of its partial scores on m blocks of dimensions. Each partition of the
+vectors holds a score list per query and block: its best ``DEPTH`` entries by partial score, in descending
+order, each with the vector's whole score, and the partial score from which on entries were left out.
+
+1. One pass over the vectors makes the lists and writes them. From the k best whole scores that stand in
+   them comes a lower bound t of the k-th best score, and from t the cutoff t / m, the same for every
+   block, which is broadcast. An entry below it in every list has a score below t, whatever the signs.
+2. The lists are read down to the cutoff, and no further: those entries are the candidates. Vectors are not
+   read again.
+3. What remains are queries with a list that was left out from above the cutoff. Only for these the
+   vectors are scored once more, and entries that reach t are kept. The k best of all are the answer.
 
 Queries are taken in blocks of a fixed number of vectors (and of bytes), so what is broadcast has a
 fixed bound; each block meets all vectors. Nothing holds all pairs: scores are made tile by tile.
-Entries on a tie are all collected, so ties go to the smaller id exactly.
+Whole scores below t are dropped and those equal to it stay, so ties go to the smaller id exactly.
 
 Defined cases: components are floor(1024 * x); a vector that is null, or holds a null or a non-finite
 component, takes no part; a query meets only vectors of its own dimension; a query id in several rows
 asks once, with the least of their vectors, and meets no row of its own id; a candidate id in several
 rows counts as several candidates; a vector without components scores 0; null ids take no part; fewer
-than k candidates are all returned; an empty table gives no row. Scores must fit a long.
+than k candidates are all returned; an empty table gives no row; other columns are ignored, whatever their
+names. A very long vector needs memory for a tile of such. Scores must fit a long.
 """
 
 from __future__ import annotations
@@ -33,10 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import written
+from foliospark.llm.common import column, dropped, written
 
 SCALE = 1024
 LISTS = 4
+#: Entries of a score list. A query that needs more of one is scored again, so it decides work, never results.
+DEPTH = 48
+#: Groups that a query's lists are gathered in first, so that no task gets those of all partitions.
+GROUPS = 64
 QUERY_BLOCK = 4096
 QUERY_BYTES = 32 << 20
 #: Queries and vectors whose scores are held at once.
@@ -51,14 +56,14 @@ def quantized(vector: Column) -> Column:
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(False)), F.transform(vector, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double"))))
 
 
-def _matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, rows of whole numbers) for each dimension in a batch."""
+def _matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, ids, rows of whole numbers, their places) for each dimension in a batch."""
     ids = np.asarray(ids)
     offsets, flat = np.asarray(vectors.offsets), np.asarray(vectors.values)
     lengths = np.diff(offsets)
     for d in np.unique(lengths):
         of = np.nonzero(lengths == d)[0]
-        yield int(d), ids[of], flat[offsets[of][:, None] + np.arange(d)].astype(np.int64)
+        yield int(d), ids[of], flat[offsets[of][:, None] + np.arange(d)].astype(np.int64), of
 
 
 def _numbers(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,108 +86,164 @@ def _tiles(queries: tuple[np.ndarray, np.ndarray, list[int]], ids: np.ndarray, r
             yield q0, x0, parts, q_ids[q0 : q0 + tile[0], None] == ids[None, x0 : x0 + tile[1]]
 
 
-def _best(best: tuple | None, q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
-    """The k best entries of each query, ties to the smaller id, among those of best and the new ones."""
-    if best is not None:
-        q, ids, scores = (np.concatenate(x) for x in zip(best, (q, ids, scores), strict=True))
-    order = np.lexsort((ids, -scores, q))
-    q, ids, scores = q[order], ids[order], scores[order]
-    first = np.searchsorted(q, q)  # q is sorted: the place where each query's entries begin
-    keep = np.arange(len(q)) - first < k
-    return q[keep], ids[keep], scores[keep]
+class _Lists:
+    """The score lists of some queries over the rows of a partition seen so far."""
+
+    def __init__(self, n: int, lists: int, depth: int) -> None:
+        self.depth, self.seen = depth, 0
+        # Of each block: query, partial score, whole score, row and id of the entries, by query and descending partial score.
+        self.held: list[tuple[np.ndarray, ...] | None] = [None] * lists
+        self.least: list[np.ndarray | None] = [None] * lists  # the last partial score of a full list
+        self.cut = np.zeros((lists, n), bool)  # whether entries were left out
+
+    def add(self, parts: list[np.ndarray], own: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        whole = sum(parts)
+        for j, part in enumerate(parts):
+            wanted = ~own
+            if self.least[j] is not None:
+                above = part > self.least[j][:, None]
+                self.cut[j] |= (wanted & ~above).any(axis=1)
+                wanted &= above
+            q, x = np.nonzero(wanted)
+            new = (q, part[q, x], whole[q, x], rows[x], ids[x])
+            if self.held[j] is not None:
+                new = tuple(np.concatenate(pair) for pair in zip(self.held[j], new, strict=True))
+            order = np.lexsort((new[3], -new[1], new[0]))
+            q = new[0][order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = place < self.depth
+            self.cut[j][q[~keep]] = True
+            self.held[j] = new = tuple(c[order][keep] for c in new)
+            full = place[keep] == self.depth - 1
+            least = np.full(len(own), -np.inf) if part.dtype != object else np.full(len(own), -(2**200), object)
+            least[new[0][full]] = new[1][full]
+            self.least[j] = least
+
+    def rows(self, places: list[int], k: int) -> Iterator[tuple]:
+        """place, block, last partial where entries were left out, partials, scores, rows, ids, and with block 0 the k best scores."""
+        for i, place in enumerate(places):
+            best: dict[int, int] = {}
+            for q, _, whole, row, _ in self.held:
+                a, b = np.searchsorted(q, [i, i + 1])
+                best.update(zip(row[a:b].tolist(), whole[a:b].tolist(), strict=True))
+            top = sorted(map(int, best.values()), reverse=True)[:k]
+            for j, (q, part, whole, row, ids) in enumerate(self.held):
+                a, b = np.searchsorted(q, [i, i + 1])
+                # All that was left out is at most the last entry's partial score.
+                last = int(part[b - 1]) if self.cut[j][i] else None
+                yield place, j, last, [int(x) for x in part[a:b]], [int(x) for x in whole[a:b]], row[a:b].tolist(), ids[a:b].tolist(), top if j == 0 else []
+
+
+LIST = "place long, block int, last long, partials array<long>, scores array<long>, rows array<long>, ids array<long>, best array<long>"
+_LONGS = pa.list_(pa.int64())
+_LIST = pa.schema([("place", pa.int64()), ("block", pa.int32()), ("last", pa.int64()), ("partials", _LONGS), ("scores", _LONGS), ("rows", _LONGS), ("ids", _LONGS), ("best", _LONGS)])
+
+
+def _gather(queries: dict[int, tuple], k: int, lists: int, depth: int, tile: tuple[int, int]):
+    """Phase 1 in a partition."""
 
-
-def _gather(queries: dict[int, tuple], k: int, lists: int, tile: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, low = {}, {}
+        made: dict[tuple[int, int], _Lists] = {}
         for batch in batches:
-            for d, ids, rows in _matrices(batch.column(0), batch.column(1)):
+            places = np.asarray(batch.column(2))
+            for d, ids, rows, at in _matrices(batch.column(0), batch.column(1)):
                 if d not in queries:
                     continue
                 for q0, x0, parts, own in _tiles(queries[d], ids, rows, lists, tile):
-                    total = sum(parts)
-                    chosen = np.zeros(own.shape, bool)
-                    n = min(k + 1, own.shape[1])  # one more, as a query's own row may be among them
-                    for j, part in enumerate(parts):
-                        at = (d, q0, j)
-                        least = part.min(axis=1)
-                        low[at] = np.minimum(low[at], least) if at in low else least
-                        np.put_along_axis(chosen, np.argpartition(part, -n, axis=1)[:, -n:] if part.dtype != object else np.argsort(part, axis=1)[:, -n:], True, axis=1)
-                    chosen &= ~own
-                    q, x = np.nonzero(chosen)
-                    best[d, q0] = _best(best.get((d, q0)), q, ids[x0 + x], total[q, x].astype(np.int64), k)
-        for (d, q0), (q, _, scores) in best.items():
-            places = queries[d][2][q0 : q0 + tile[0]]
-            lows = np.stack([low[d, q0, j] for j in range(lists)], axis=1).astype(np.int64)
-            parts = np.split(scores, np.searchsorted(q, np.arange(1, len(places))))
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(lows.tolist(), pa.list_(pa.int64())), pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))], names=["place", "lows", "scores"])
+                    here = slice(x0, x0 + own.shape[1])
+                    made.setdefault((d, q0), _Lists(len(own), lists, depth)).add(parts, own, ids[here], places[at][here])
+        for (d, q0), found in made.items():
+            out = list(found.rows(queries[d][2][q0 : q0 + tile[0]], k))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LIST, strict=True)], schema=_LIST)
 
     return run
 
 
-def _resolve(queries: dict[int, tuple], cutoffs: dict[int, tuple[list[int], int | None]], k: int, lists: int, tile: tuple[int, int]):
+def _rescore(queries: dict[int, tuple], least: dict[int, int | None], k: int, lists: int, tile: tuple[int, int]):
+    """Phase 3 in a partition: the k best of each query, of the entries that reach its lower bound."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {}
+        best: dict[tuple[int, int], tuple] = {}
         for batch in batches:
-            for d, ids, rows in _matrices(batch.column(0), batch.column(1)):
+            for d, ids, rows, _ in _matrices(batch.column(0), batch.column(1)):
                 if d not in queries:
                     continue
                 for q0, x0, parts, own in _tiles(queries[d], ids, rows, lists, tile):
-                    places = queries[d][2][q0 : q0 + tile[0]]
-                    known = [cutoffs[p] for p in places]
-                    lows = np.array([c[0] for c in known], parts[0].dtype)
-                    # t - sum of lows, for each query: m times the cutoff. Without k gathered entries all are collected.
-                    need = np.array([0 if c[1] is None else c[1] - sum(c[0]) for c in known], parts[0].dtype)[:, None]
-                    reach = np.zeros(own.shape, parts[0].dtype)  # m times what an entry can reach, from its lowest
-                    some = np.zeros(own.shape, bool)
-                    for j, part in enumerate(parts):
-                        above = lists * (part - lows[:, j : j + 1])
-                        sent = above >= need
-                        some |= sent
-                        reach += np.where(sent, above, need)
-                    q, x = np.nonzero(some & (reach >= lists * need) & ~own)
-                    scores = sum(part[q, x] for part in parts).astype(np.int64)
-                    best[d, q0] = _best(best.get((d, q0)), q, ids[x0 + x], scores, k)
+                    whole = sum(parts)
+                    bound = np.array([-(2**62) if least[p] is None else least[p] for p in queries[d][2][q0 : q0 + tile[0]]], whole.dtype)
+                    q, x = np.nonzero((whole >= bound[:, None]) & ~own)
+                    new = (q, ids[x0 + x], whole[q, x].astype(np.int64))
+                    if (d, q0) in best:
+                        new = tuple(np.concatenate(pair) for pair in zip(best[d, q0], new, strict=True))
+                    order = np.lexsort((new[1], -new[2], new[0]))
+                    asked = new[0][order]
+                    keep = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+                    best[d, q0] = tuple(c[order][keep] for c in new)
         for (d, q0), (q, ids, scores) in best.items():
-            asked = queries[d][0][q0 : q0 + tile[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(queries[d][2][q0 : q0 + tile[0]], np.int64)[q]), pa.array(ids), pa.array(scores)], names=["place", "vec_id", "score"])
 
     return run
 
 
-def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS, tile: tuple[int, int] = TILE) -> DataFrame:
+def _block(asked: list) -> dict[int, tuple[np.ndarray, np.ndarray, list[int]]]:
+    """Queries by dimension: ids, vectors, places in the block."""
+    by_dim = defaultdict(list)
+    for place, r in asked:
+        by_dim[len(r.v)].append((r.id, r.v, place))
+    return {d: (np.array([x[0] for x in rows]), np.array([x[1] for x in rows], np.int64).reshape(len(rows), d), [x[2] for x in rows]) for d, rows in by_dim.items()}
+
+
+def cutoffs(found: DataFrame, k: int) -> DataFrame:
+    """place, t of each query with lists: its k-th best score is t at least (null: fewer than k entries)."""
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, k).alias("best")
+    few = found.groupBy("place", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g")).agg(best)
+    return few.groupBy("place").agg(best).select("place", F.get("best", F.lit(k - 1)).alias("t"))
+
+
+def collected(found: DataFrame, bounds: DataFrame, lists: int) -> DataFrame:
+    """Phase 2: place, t, enough (whether the list holds all from the cutoff on), taken (its entries down to the cutoff)."""
+    both = found.join(F.broadcast(bounds), "place")  # a row per query of the block
+    above = lambda p: F.col("t").isNull() | (F.lit(lists) * p >= F.col("t"))
+    n = F.size(F.filter("partials", above))  # they descend, so these are the first
+    taken = F.arrays_zip(*[F.slice(c, F.lit(1), n).alias(c) for c in ("rows", "ids", "scores")])
+    return both.select("place", "t", (F.col("last").isNull() | ~above(F.col("last"))).alias("enough"), taken.alias("taken"))
+
+
+def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", lists: int = LISTS, tile: tuple[int, int] = TILE, depth: int = DEPTH) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest scores of each query row against all other rows."""
     spark = df.sparkSession
-    asked = df.filter(is_query)
-    vectors = df.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col)).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    asked = asked.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col)).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
-    asked = written(asked, "queries")  # read once a block
+    depth = max(depth, k)
+    good = lambda rows: rows.select(column(id_col).cast("long").alias("id"), quantized(column(vector_col)).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    vectors = good(df)
+    asked = written(good(df.filter(is_query)).groupBy("id").agg(F.min("v").alias("v")), "queries")  # read once a block
     widest = asked.agg(F.max(F.size("v"))).first()[0] or 1
     size = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, widest))))
-    found, last = None, None
+    answers, last = None, None
     while True:
         rest = asked if last is None else asked.filter(F.col("id") > last)
-        block = rest.orderBy("id").limit(size).collect()  # at most size rows
+        block = list(enumerate(rest.orderBy("id").limit(size).collect()))  # at most size rows
         if not block:
             break
-        last = block[-1].id
-        by_dim = defaultdict(list)
-        for place, r in enumerate(block):
-            by_dim[len(r.v)].append((r.id, r.v, place))
-        queries = {d: (np.array([x[0] for x in rows]), np.array([x[1] for x in rows], np.int64).reshape(len(rows), d), [x[2] for x in rows]) for d, rows in by_dim.items()}
-        lists_seen = vectors.mapInArrow(_gather(queries, k, lists, tile), "place long, lows array<long>, scores array<long>")
-        gathered = lists_seen.groupBy("place").agg(
-            F.array(*[F.min(F.get("lows", F.lit(j))) for j in range(lists)]).alias("lows"),
-            F.get(F.sort_array(F.flatten(F.collect_list("scores")), asc=False), F.lit(k - 1)).alias("kth"),
-        )
-        cutoffs = {r.place: (r.lows, r.kth) for r in gathered.collect()}  # a row per query of the block
-        if cutoffs:
-            part = vectors.mapInArrow(_resolve(queries, cutoffs, k, lists, tile), "query_id long, vec_id long, score long")
-            part = written(part, "resolved")
-            found = part if found is None else found.unionByName(part)
+        last = block[-1][1].id
+        queries = _block(block)
+        found = written(vectors.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_gather(queries, k, lists, depth, tile), LIST), "score-lists")
+        bounds = written(cutoffs(found, k), "cutoffs")
+        read = written(collected(found, bounds, lists), "collected")
+        short = {r.place: r.t for r in read.filter("NOT enough").select("place", "t").distinct().collect()}  # at most size rows
+        ids = spark.createDataFrame([(place, r.id) for place, r in block], "place long, query_id long")
+        entries = read.select("place", "t", F.explode("taken").alias("e")).filter("t IS NULL OR e.scores >= t").select("place", "e.*").distinct()  # an entry may stand in each of its lists
+        entries = entries.select("place", F.col("ids").alias("vec_id"), F.col("scores").alias("score"))
+        if short:
+            again = vectors.mapInArrow(_rescore(_block([x for x in block if x[0] in short]), short, k, lists, tile), "place long, vec_id long, score long")
+            left = spark.createDataFrame([(p,) for p in short], "place long")
+            entries = entries.join(F.broadcast(left), "place", "left_anti").unionByName(again)
+        part = written(entries.join(F.broadcast(ids), "place").select("query_id", "vec_id", "score"), "resolved")
+        dropped(found, bounds, read)
+        answers = part if answers is None else answers.unionByName(part)
         if len(block) < size:
             break
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    dropped(asked)
+    if answers is None:
+        answers = spark.createDataFrame([], "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

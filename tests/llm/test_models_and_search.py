@@ -32,8 +32,28 @@ def test_search_against_brute_force(spark, monkeypatch, dim, n, block):
     rows = [(i, hot if i % 3 == 0 else v) for i, v in rows]
     rows += [(100, rows[7][1]), (9001, None), (9002, [None] + [0.5] * (dim - 1)), (9003, [float("nan")] * dim), (9004, [float("inf")] * dim), (None, hot), (9005, hot[:-1]), (9100, hot[:-1]), (9006, hot), (9006, hot)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("mine")).repartition(5)
-    got = sorted(tuple(r) for r in K.search(df, F.col("vec_id") % 100 == 0, k=10, tile=(3, 50)).collect())
-    assert got == brute(rows, 10)
+    df = df.selectExpr("*", "1 AS id", "2 AS v", "3 AS row", "4 AS place")
+    for depth in (10, 48):
+        got = sorted(tuple(r) for r in K.search(df, F.col("vec_id") % 100 == 0, k=10, tile=(3, 50), depth=depth).collect())
+        assert got == brute(rows, 10)
+
+
+def test_lists_are_read_down_to_the_cutoff(spark):
+    """Phase 2 reads a small part of the lists, and no vector is scored again where the lists are deep enough."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 32))
+    x = centres[rng.integers(0, 20, 2000)] + 0.3 * rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    vectors = df.select(F.col("vec_id").alias("id"), K.quantized(F.col("embedding")).alias("v")).withColumn("row", F.monotonically_increasing_id())
+    block = list(enumerate(df.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), K.quantized(F.col("embedding")).alias("v")).collect()))
+    found = vectors.mapInArrow(K._gather(K._block(block), 10, 4, 200, K.TILE), K.LIST).cache()
+    read = K.collected(found, K.cutoffs(found, 10), 4).select("enough", F.size("taken").alias("n"))
+    rows = read.collect()
+    assert all(r.enough for r in rows) and len(rows) == 20 * 4 * 4
+    assert 20 * 10 <= sum(r.n for r in rows) < 0.1 * 20 * 2000 * 4  # of all partial scores
+    stored = found.select(F.sum(F.size("ids"))).first()[0]
+    assert sum(r.n for r in rows) < 0.5 * stored
 
 
 def test_search_of_empty_and_large_numbers(spark):
