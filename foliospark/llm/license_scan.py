@@ -12,10 +12,15 @@ The model is fitted by the driver from the templates below alone, never from the
 DataFrame functions only: equal paragraphs are classified once, their n-grams meet the weights, a table
 of the model's fixed size, by broadcast.
 
-Defined cases: a null text has no paragraph; an empty text neither; rows that share an id are one
-document with the paragraphs of all its texts; a null id is such an id; a paragraph is a line, and
-words are runs of letters and digits, in lower case but for the
-acronyms of licences, which only count in capitals; an empty table gives an empty table.
+Words are runs of letters and digits in lower case; acronyms lose a version that is written to them
+(GPLv3 is gpl). The one word whose case counts is MIT, which is a common word in lower case.
+
+Defined cases: a paragraph is a line, with the lines after it where it is broken in the middle of a
+sentence (a letter, digit, comma or semicolon before the break, a small letter after it); a null text has no
+paragraph, an empty text neither; a very long line is one paragraph; rows that share an id are one
+document with the paragraphs of all their texts; a null id is such an id; of equally sure families the
+one with the greater similarity, then the later name counts; other columns are ignored, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,19 +33,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import written
+from foliospark.llm.common import column, dropped, hot_join, written
 
 NONE, UNKNOWN = "none", "unknown"
 
 # Names and statements of public licences.
 NAMES: dict[str, list[str]] = {
-    "apache": ["Apache License, Version 2.0", "Apache 2.0 License", "Apache License 2.0", "Apache-2.0 license"],
-    "mit": ["MIT License", "MIT licence", "terms of the MIT License", "MIT/X11 License"],
-    "bsd": ["BSD License", "3-clause BSD License", "2-clause BSD License", "New BSD License", "BSD-style license"],
-    "gpl": ["GNU General Public License", "GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL license v3", "GPLv3 license"],
-    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "LGPL license"],
-    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL license"],
-    "mpl": ["Mozilla Public License", "Mozilla Public License, v. 2.0", "MPL 2.0 license"],
+    "apache": ["Apache License, Version 2.0", "Apache 2.0 License", "Apache License 2.0", "Apache-2.0 license", "Apache Software License"],
+    "mit": ["MIT License", "MIT licence", "terms of the MIT License", "MIT/X11 License", "MIT"],
+    "bsd": ["BSD License", "3-clause BSD License", "2-clause BSD License", "New BSD License", "BSD-style license", "BSD-3-Clause", "BSD-2-Clause", "BSD"],
+    "gpl": ["GNU General Public License", "GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL license v3", "GPLv3 license", "GNU GPL", "GPL", "GPL-3.0-only"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Library General Public License", "LGPL license", "GNU LGPL", "LGPL", "LGPL-2.1-or-later"],
+    "agpl": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "AGPL license", "GNU AGPL", "AGPL", "AGPL-3.0-only"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License, v. 2.0", "MPL 2.0 license", "MPL", "MPL-2.0"],
     "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC-SA 4.0 license", "Creative Commons BY-NC license"],
     "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 3.0 license"],
     "cc-by": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 3.0 license"],
@@ -50,20 +55,27 @@ NAMES: dict[str, list[str]] = {
 STATEMENTS: dict[str, list[str]] = {
     "apache": [
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed to the Software Foundation under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation",
     ],
     "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "This program is distributed in the hope that it will be useful; see the GNU General Public License for more details.",
     ],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "agpl": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
@@ -74,7 +86,7 @@ STATEMENTS: dict[str, list[str]] = {
     "public-domain": ["This is free and unencumbered software released into the public domain.", "has waived all copyright and related rights and dedicated the work to the public domain"],
     "proprietary": ["Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission of the copyright holder", "Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential. All rights reserved"],
 }
-FRAMES = ["{}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "Distributed under the {}, see the file.", "The code is available under the {}.", "License: {}"]
+FRAMES = ["{}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "Distributed under the {}, see the file.", "The code is available under the {}.", "License: {}", "distributed under {}", "SPDX-License-Identifier: {}"]
 #: Sentences with cue words that grant nothing.
 OTHER = [
     "She passed the test and got her driving licence in spring.", "The city issued a license to the taxi driver.", "The fishing license costs ten euros a year.", "A licensed electrician must check the wiring.",
@@ -82,11 +94,14 @@ OTHER = [
     "Public debate about the domain name went on.", "The general public may visit the garden.", "Apache helicopters flew over the valley.", "MIT researchers published a study of the sea.", "Mozilla opened an office in Berlin.",
     "The software was redistributed to schools.", "His creative work was common in those days.", "The gnu is a large antelope.", "The bar lost its liquor license.", "The pilot holds a commercial license.", "License plates were changed in the state.",
     "Attribution of the painting is not certain.", "Terms of the agreement were not disclosed.", "All members reserved their seats.", "The unauthorized biography sold well.", "Version 2.0 of the engine is faster.",
+    "Please answer with a cc to the whole team.", "The permit of the public library was renewed.", "All rights of way were restored in the valley.", "The common creative process took years.", "Copyright law is taught in the third year.",
+    "The MIT campus lies on the river.", "Public rights and duties are set out in the constitution.", "Permission to land was given at noon.", "The proprietary recipe stayed in the family.", "The BSD marathon was cancelled.",
 ]
 FILLER = ["the river ran past the old mill", "prices rose again in the second quarter", "no one had seen the letter before", "we walked home in the rain"]
-#: Word beginnings that a licence statement cannot do without, and acronyms that count in capitals only.
+#: Word beginnings that a licence statement cannot do without, and acronyms, which may carry a version.
 CUES = ("licen", "copyright", "permi", "redistribut", "public", "rights", "unlicense", "creative", "apache", "mozilla", "commons", "proprietary", "unauthorized")
-ACRONYMS = ("AGPL", "AGPLv3", "BSD", "CC", "CC0", "GNU", "GPL", "GPLv2", "GPLv3", "LGPL", "MIT", "MPL", "SPDX")
+VERSIONED = "agpl|lgpl|gpl|mpl|bsd|gnu|spdx"
+PLAIN = "cc0|cc"
 
 GRAMS = 3
 PENALTY = 5e-5
@@ -100,21 +115,26 @@ SIMILAR = 0.6
 WORD = r"[\p{L}\p{N}]+"
 
 
-CUE_WORD = rf"^(?:{'|'.join(ACRONYMS)}|(?:{'|'.join(CUES)}).*)$"
-CUE_LINE = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(ACRONYMS)})(?![\p{{L}}\p{{N}}])|(?i:{'|'.join(CUES)}))"
+#: A cue among prepared words; and in a line as it stands.
+CUE_WORD = rf"^(?:MIT|{VERSIONED}|{PLAIN}|(?:{'|'.join(CUES)}).*)$"
+CUE_LINE = rf"(?<![\p{{L}}\p{{N}}])(?:MIT(?![\p{{L}}\p{{N}}])|(?i:(?:(?:{VERSIONED})(?:v?[0-9]+)?|{PLAIN})(?![\p{{L}}\p{{N}}])|{'|'.join(CUES)}))"
+VERSION = rf"^({VERSIONED})v?[0-9]+$"
+#: A line break in the middle of a sentence.
+WRAP = r"\n(?<=[\p{L}\p{N},;]\n)[ \t]*(?=\p{Ll})"
+_CUE, _VERSION = re.compile(CUE_WORD), re.compile(VERSION)
 
 
 def _is_cue(word: str) -> bool:
-    return word in ACRONYMS or word.startswith(CUES)
+    return _CUE.match(word) is not None
 
 
 def _words(text: str) -> list[str]:
-    return [w if w in ACRONYMS else w.lower() for w in re.findall(r"[^\W_]+", text)]
+    return ["MIT" if w == "MIT" else _VERSION.sub(r"\1", w.lower()) for w in re.findall(r"[^\W_]+", text)]
 
 
 def _grams(words: list[str]) -> set[str]:
-    found = {" ".join(words[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1)}
-    return {g for g in found if any(map(_is_cue, g.split(" ")))}
+    spans = [words[i : i + n] for n in range(1, GRAMS + 1) for i in range(len(words) - n + 1)]
+    return {" ".join(s).lower() for s in spans if any(map(_is_cue, s))}
 
 
 def _samples() -> list[tuple[str, int, str]]:
@@ -123,7 +143,7 @@ def _samples() -> list[tuple[str, int, str]]:
     for family in NAMES:
         for i, name in enumerate(NAMES[family]):
             out += [(family, k, frame.format(name)) for k, frame in enumerate(FRAMES)]
-            out.append((family, i, f"{FILLER[i % 4]}. Licensed under the {name}"))
+            out += [(family, i, f"{FILLER[i % 4]}. Licensed under the {name}"), (family, i + 1, name.lower()), (family, i + 2, f"under the {name.lower()}")]
         for i, text in enumerate(STATEMENTS[family]):
             words = text.split()
             out += [(family, i, text), (family, i + 1, f"{FILLER[i % 4]} {text}")]
@@ -220,19 +240,35 @@ def _templates() -> list[tuple[str, int, str]]:
     """(family, number, text) that predictions are compared with."""
     out = []
     for family in NAMES:
-        texts = [*STATEMENTS[family], *NAMES[family]]
+        texts = [*STATEMENTS[family], *NAMES[family], *(f.format(n) for n in NAMES[family] if len(_words(n)) < 4 for f in ("under the {}", "under {}", "License: {}", "{} license", "SPDX-License-Identifier: {}"))]
         out += [(family, i, t) for i, t in enumerate(texts) if len(_words(t)) > 1]
     return out
 
 
 def _pairs(words: list[str]) -> set[str]:
-    return {" ".join(words[i : i + 2]) for i in range(len(words) - 1)}
+    return {" ".join(words[i : i + 2]).lower() for i in range(len(words) - 1)}
+
+
+@lru_cache(1)
+def _template_pairs() -> list[tuple[str, int, frozenset[str]]]:
+    return [(family, i, frozenset(_pairs(_words(t)))) for family, i, t in _templates()]
 
 
 def resembles(text: str, family: str) -> float:
     """The largest part of word pairs, of the smaller side's, that a text shares with a template of the family."""
     own = _pairs(_words(text))
-    return max((len(own & other) / min(len(own), len(other)) for name, _, t in _templates() if name == family for other in [_pairs(_words(t))] if own), default=0.0)
+    return max((len(own & other) / min(len(own), len(other)) for name, _, other in _template_pairs() if name == family and own), default=0.0)
+
+
+def judge(text: str, model: Model) -> tuple[str, float, float]:
+    """Verdict, probability and similarity of one paragraph, in Python."""
+    p = model.probabilities(text)
+    top = max(range(len(p)), key=lambda i: (p[i], model.classes[i]))
+    name, sure = model.classes[top], float(p[top])
+    close = resembles(text, name) if name != NONE else 0.0
+    if name == NONE:
+        return (NONE if sure >= NONE_LEAST else UNKNOWN), sure, close
+    return (name if sure >= model.least and close >= SIMILAR else UNKNOWN), sure, close
 
 
 def _cued_grams(words: str) -> Column:
@@ -241,7 +277,7 @@ def _cued_grams(words: str) -> Column:
 
     def around(p: Column) -> Column:
         spans = [(start, n) for n in range(1, GRAMS + 1) for start in range(-n + 1, 1)]
-        gram = lambda start, n: F.when((p + start >= 0) & (p + start + n <= F.size(words)), F.array_join(F.array(*[F.get(words, p + start + k) for k in range(n)]), " "))
+        gram = lambda start, n: F.when((p + start >= 0) & (p + start + n <= F.size(words)), F.lower(F.array_join(F.array(*[F.get(words, p + start + k) for k in range(n)]), " ")))
         return F.filter(F.array(*[gram(*x) for x in spans]), lambda g: g.isNotNull())
 
     return F.array_distinct(F.flatten(F.transform(at, around)))
@@ -249,7 +285,7 @@ def _cued_grams(words: str) -> Column:
 
 def _word_pairs(words: str) -> Column:
     """The distinct pairs of neighbouring words."""
-    return F.array_distinct(F.filter(F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))), lambda g: g.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(words, lambda w, i: F.lower(F.concat(w, F.lit(" "), F.get(words, i + 1)))), lambda g: g.isNotNull()))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -261,17 +297,18 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
     model = model or trained()
     spark = df.sparkSession
     cue = CUE_LINE
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    text = F.regexp_replace(F.coalesce(column(text_col), F.lit("")), WRAP, " ")
+    unwrapped = df.select(column(id_col).alias("_id"), text.alias("_text"))
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD))
     cued = F.when(F.col("_text").rlike(cue), F.filter("_lines", lambda x: x.rlike(cue))).otherwise(F.array().cast("array<string>"))
-    docs = df.select(F.col(id_col).alias("_id"), text.alias("_text"), lines.alias("_lines")).select("_id", F.size("_lines").alias("n_paragraphs"), cued.alias("_cued"))
+    docs = unwrapped.select("_id", "_text", lines.alias("_lines")).select("_id", F.size("_lines").alias("n_paragraphs"), cued.alias("_cued"))
     docs = written(docs, "cued-paragraphs")
-    plain = F.transform(F.regexp_extract_all("line", F.lit(f"({WORD})"), 1), lambda w: F.when(w.isin(*ACRONYMS), w).otherwise(F.lower(w)))
+    plain = F.transform(F.regexp_extract_all("line", F.lit(f"({WORD})"), 1), lambda w: F.when(w == "MIT", w).otherwise(F.regexp_replace(F.lower(w), VERSION, "$1")))
     norm = F.array_join(plain, " ")
     lines_of = docs.filter(F.size("_cued") > 0).select("_id", F.explode("_cued").alias("line")).select("_id", norm.alias("norm"))
     lines_of = written(lines_of, "cued-lines")
     # Written with its words, or Spark would split the line anew for every word that a lambda looks at.
-    distinct = written(lines_of.select("norm").distinct().withColumn("words", F.split("norm", " ")), "distinct-lines")
+    distinct = written(lines_of.groupBy("norm").agg(F.count(F.lit(1)).alias("lines")).withColumn("words", F.split("norm", " ")), "distinct-lines")
 
     weights = spark.createDataFrame([(g, [float(x) for x in model.weights[i]]) for g, i in model.grams.items()], "gram string, w array<double>")
     grams = distinct.select("norm", F.explode(_cued_grams("words")).alias("gram")).join(F.broadcast(weights), "gram")
@@ -283,8 +320,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
     total = F.aggregate("e", F.lit(0.0), lambda a, b: a + b)
     named = scores.select("norm", best["name"].alias("name"), (best["e"] / total).alias("p"))
 
-    pairs = [(family, i, " ".join(w[j : j + 2])) for family, i, t in _templates() for w in [_words(t)] for j in range(len(w) - 1)]
-    pairs = sorted(set(pairs))
+    pairs = sorted((family, i, pair) for family, i, found in _template_pairs() for pair in found)
     sizes = {}
     for family, i, _ in pairs:
         sizes[family, i] = sizes.get((family, i), 0) + 1
@@ -295,10 +331,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
     close = shared.groupBy("norm", "name").agg(F.max(F.col("both") / F.least("n", "size")).alias("similarity"))
     judged = claims.join(close, ["norm", "name"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     verdict = F.when((F.col("name") == NONE) & (F.col("p") >= NONE_LEAST), F.lit(NONE)).when((F.col("name") != NONE) & (F.col("p") >= model.least) & (F.col("similarity") >= SIMILAR), F.col("name")).otherwise(F.lit(UNKNOWN))
-    judged = judged.select("norm", verdict.alias("family"), F.round("p", 6).alias("confidence"), F.round("similarity", 6).alias("similarity"))
+    judged = judged.join(distinct.select("norm", "lines"), "norm").select("norm", "lines", verdict.alias("family"), F.round("p", 6).alias("confidence"), F.round("similarity", 6).alias("similarity"))
+    judged = written(judged, "licence-verdicts")
+    dropped(claims, distinct)
 
     sure = F.when(~F.col("family").isin(NONE, UNKNOWN), F.struct("confidence", "similarity", "family"))
-    per_doc = lines_of.join(judged, "norm").groupBy("_id").agg(F.max(sure).alias("top"), F.sort_array(F.collect_set(F.when(~F.col("family").isin(NONE, UNKNOWN), F.col("family")))).alias("families"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"))
+    per_doc = hot_join(lines_of, judged, "norm", "lines", F.col("_id"), lines_of.count()).groupBy("_id").agg(F.max(sure).alias("top"), F.sort_array(F.collect_set(F.when(~F.col("family").isin(NONE, UNKNOWN), F.col("family")))).alias("families"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"))
     counts = docs.groupBy("_id").agg(F.sum("n_paragraphs").alias("n_paragraphs"), F.sum(F.size("_cued")).cast("long").alias("n_cued"))
     out = counts.join(per_doc, counts["_id"].eqNullSafe(per_doc["_id"]), "left").select(counts["_id"].alias(id_col), "n_paragraphs", "n_cued", "top", "families", "n_unknown")
     return out.select(
