@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from foliospark.llm import byte_bpe, license_scan, mixing, order_minhash, quality, quality_rules, sharding, substring_dedup, token_files, topk
-from foliospark.llm.common import table, words
+from foliospark.llm.common import WORD_BREAK, table
 
 MIX_SEED = 20
 
@@ -42,7 +42,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = F.array_join(words(F.col("text")), " ")
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), WORD_BREAK, " "))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -137,17 +137,24 @@ def _contexts(window: int, anchor: int):
         if not held:
             return
         fp, skip, key, part, pos, lo, hi, begin, n = (np.concatenate([x[i] for x in held]) for i in range(9))
-        is_first, keep = np.zeros(len(fp), bool), np.ones(len(fp), bool)
+        is_first, again = np.zeros(len(fp), bool), np.zeros(len(fp), bool)
         first: dict[tuple[int, bytes], int] = {}
         places = list(zip(key.tolist(), part.tolist(), pos.tolist(), strict=True))
         skips = skip.tolist()
-        for i in np.lexsort((pos, part, key)).tolist():
+        order = np.lexsort((pos, part, key))
+        for i in order.tolist():
             head = first.setdefault((skips[i], spelled[i]), i)
             if head == i:
                 is_first[i] = True
             else:
-                keep[i] = places[i] != places[head]  # an equal row is neither first nor repeated
-        kept = np.nonzero(keep)[0]
+                again[i] = places[i] != places[head]  # an equal row is neither first nor repeated
+        # What is repeated already is only a range of words; ranges that meet in a text go as one.
+        r = order[again[order]]
+        new = np.ones(len(r), bool)
+        new[1:] = (key[r][1:] != key[r][:-1]) | (part[r][1:] != part[r][:-1]) | (lo[r][1:] > hi[r][:-1])
+        a = np.nonzero(new)[0]
+        hi[r[a]] = hi[r[np.append(a[1:], len(r))[: len(a)] - 1]] if len(a) else hi[r[a]]
+        kept = np.concatenate([np.nonzero(is_first)[0], r[a]])
         text = pa.array([spelled[i] if is_first[i] else None for i in kept.tolist()], pa.binary()).cast(pa.string())
         small = [x[kept].astype(np.int32) for x in (pos, lo, hi, begin, n)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (is_first[kept], fp[kept].view(np.int64), skip[kept].astype(np.int32))] + [text] + [pa.array(x) for x in (key[kept], part[kept], *small)], names=list(names))
@@ -368,7 +375,7 @@ def _again(edges: DataFrame, window: int) -> DataFrame:
 
 def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, marks in batches:
-        spans = marks.to_pylist()
+        offsets, lo, hi = np.asarray(marks.offsets), *(np.asarray(marks.values.field(c)) for c in ("lo", "hi"))
         n_words, n_removed, kept = [], [], []
         for first, end, words in slices(texts):
             for i in range(end - first):
@@ -376,22 +383,18 @@ def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
                 n_words.append(b - a)
                 begin, stop = int(words.offsets[i]), int(words.offsets[i + 1])
                 raw = words.raw[begin:stop]
-                if not spans[first + i]:
+                own = slice(offsets[first + i], offsets[first + i + 1])
+                if own.start == own.stop:
                     n_removed.append(0)
                     kept.append(raw.tobytes())
                     continue
-                edge = np.zeros(b - a + 1, np.int64)
-                for s in spans[first + i]:
-                    edge[s["lo"]] += 1
-                    edge[s["hi"]] -= 1
+                edge = np.bincount(lo[own], minlength=b - a + 1) - np.bincount(hi[own], minlength=b - a + 1)
                 gone = np.cumsum(edge)[:-1] > 0
                 n_removed.append(int(gone.sum()))
                 # A word that goes takes the white space after it along.
                 starts = np.append(words.start[a:b], stop) - begin
-                drop = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(drop, starts[:-1][gone], 1)
-                np.add.at(drop, starts[1:][gone], -1)
-                kept.append(raw[np.cumsum(drop)[:-1] == 0].tobytes())
+                stays = np.concatenate([np.ones(starts[0], bool), np.repeat(~gone, np.diff(starts))])
+                kept.append(raw[stays].tobytes())
         text = pa.array(kept, pa.binary()).cast(pa.string())
         text = pa.compute.if_else(texts.is_valid(), text, pa.scalar(None, pa.string())) if texts.null_count else text
         yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), text], names=["n_words", "n_removed", "text"])
