@@ -9,8 +9,8 @@ Equal texts are one node. Nodes that share a sketch form a bucket; each meets th
 bucket, and, as a bucket may hold many unlike texts (a passage that many documents quote), also the
 least node of the finer buckets that two and three sketches in a row make. That links most copies with at
 most 3n pairs of a bucket of n nodes. What is left are buckets whose nodes are in several classes by then:
-there every two nodes of different classes whose lengths allow a link meet, too, if they share ``LEAST`` of
-their rarest words. Texts that are alike always do (see ``rare``), so no link of two nodes that share a
+there every two nodes of different classes whose lengths allow a link meet, too, if they share enough of
+their rarest words (``LEAST``). Texts that are alike always do (see ``rare``), so no link of two nodes that share a
 sketch is lost, and unlike texts around one passage seldom meet. A pair is a link where the edit distance over words, aligned in the band
 that the threshold leaves, is at most (1 - similarity) of the longer text. The classes are the
 connected components of the links; a class is named by its least id.
@@ -40,7 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import column, dropped, hot_join, packed, unpacked, written
@@ -53,9 +53,10 @@ SIMILARITY = 0.8
 PORTION = 32
 #: Numbers that a sketch makes at once.
 CELLS = 1 << 20
-#: Slots that count how often words stand in the texts that are left, and rare words that two of them must share.
+#: Slots that count how often words stand in the texts that are left.
 SLOTS = 1 << 18
-LEAST = 4
+#: Rare words that two texts must share to meet: a part of the shorter's, and one at least.
+LEAST = 0.2
 
 
 def _occurrences(kmers: np.ndarray) -> np.ndarray:
@@ -219,12 +220,18 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     return found, members
 
 
-def rare(texts: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
-    """id, word: the rarest words of each text (hashes; repeats count), of which texts that are alike share ``least``.
+def least_shared(n: Column | np.ndarray | int):
+    """Rare words that two texts share if they are alike and the shorter has n."""
+    return F.greatest(F.lit(1), F.floor(LEAST * n)) if isinstance(n, Column) else max(1, int(LEAST * n))
+
+
+def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """id, word: the rarest words of each text (hashes; repeats count), of which texts that are alike share ``least_shared``.
 
     Of two texts the longer keeps n - limit of its words, so in any one order of all words the first
-    limit + least of both have that many in common. How rare a word is, is read from counts in ``SLOTS``
-    slots, a table of fixed size; words that share a slot only cost selectivity.
+    limit + least of both have that many in common; a shorter text's own limit is enough, as it is shorter.
+    How rare a word is, is read from counts in ``SLOTS`` slots, a table of fixed size; words that share a
+    slot only cost selectivity.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +256,7 @@ def rare(texts: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -
                     mine = hashes[words.first[i] : words.first[i + 1]]
                     labelled = mix(mine + _occurrences(mine) * U(0x9E3779B97F4A7C15))
                     order = np.lexsort((labelled, often[(mine % U(SLOTS)).astype(np.int64)]))
-                    out.append(labelled[order[: int((1 - similarity) * len(mine) + 1e-9) + least]])
+                    out.append(labelled[order[: int((1 - similarity) * len(mine) + 1e-9) + least_shared(len(mine)) + 1]])
                     own.append(np.full(len(out[-1]), ids[first + i], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(out).view(np.int64))], names=["id", "word"])
 
@@ -264,15 +271,13 @@ def strangers(df: DataFrame, members: DataFrame, known: DataFrame, met: DataFram
     left = written(classed.join(several.hint("merge"), "k0").select("id", "n_words", "class").distinct(), "strangers")
     texts = texts_of(df, id_col, text_col)
     texts = written(texts.join(left.select("id").distinct().hint("merge"), "id"), "strangers-texts")
-    # Texts under K words share a sketch with equal ones only; others keep at least so many words.
-    least = max(1, min(LEAST, int(similarity * K + 1e-9)))
-    held = held_all = written(left.join(rare(texts, similarity, least).distinct().hint("merge"), "id"), "rare-words")
+    held = held_all = written(left.join(rare(texts, similarity).distinct().hint("merge"), "id"), "rare-words")
     mixed = held.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("word")
     held = held.join(mixed.hint("merge"), "word")
     others = held.select("word", F.col("id").alias("leader"), F.col("n_words").alias("other"), F.col("class").alias("class_leader"))
     near = F.least("n_words", "other") >= similarity * F.greatest("n_words", "other") - 1e-6
     both = held.join(others.hint("merge"), "word").filter((F.col("id") > F.col("leader")) & (F.col("class") != F.col("class_leader")) & near)
-    pairs = both.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    pairs = both.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n_words", "other")).alias("shorter")).filter(F.col("shared") >= least_shared(F.col("shorter"))).drop("shorter")
     out = written(pairs.join(met.select("id", "leader"), ["id", "leader"], "left_anti"), "pairs-strangers")
     dropped(left, texts, held_all)
     return out
