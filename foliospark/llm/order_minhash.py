@@ -9,10 +9,11 @@ Equal texts are one node. Nodes that share a sketch form a bucket; each meets th
 bucket, and, as a bucket may hold many unlike texts (a passage that many documents quote), also the
 least node of the finer buckets that two and three sketches in a row make. That links most copies with at
 most 3n pairs of a bucket of n nodes. What is left are buckets whose nodes are in several classes by then:
-there every two nodes of different classes whose lengths allow a link meet, too, if they share enough of
-their rarest words (``LEAST``). Texts that are alike always do (see ``rare``), so no link of two nodes that share a
-sketch is lost, and unlike texts around one passage seldom meet. A pair is a link where the edit distance over words, aligned in the band
-that the threshold leaves, is at most (1 - similarity) of the longer text. The classes are the
+there the nodes of different classes meet by their rarest word pairs, of which texts that are alike share
+many (see ``rare``); a node meets the first and the last holder of a pair, by id and by two hashes. So no
+number of pairs grows with the square of a group, and a copy is lost only where for nearly all the rare word
+pairs that both texts hold other unlike texts lead. A pair is a link where the edit distance over words, aligned in the
+band that the threshold leaves, is at most (1 - similarity) of the longer text. The classes are the
 connected components of the links; a class is named by its least id.
 
 Each node is verified first with the leader that it shares most buckets with, and then with those of the
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import column, dropped, hot_join, packed, unpacked, written
-from foliospark.llm.wordhash import U, _numbers, mix, slices, windows
+from foliospark.llm.wordhash import U, Texts, _numbers, mix, slices, windows
 
 K = 5
 SKETCHES = 48
@@ -53,10 +54,10 @@ SIMILARITY = 0.8
 PORTION = 32
 #: Numbers that a sketch makes at once.
 CELLS = 1 << 20
-#: Slots that count how often words stand in the texts that are left.
-SLOTS = 1 << 18
-#: Rare words that two texts must share to meet: a part of the shorter's, and one at least.
-LEAST = 0.2
+#: Slots that count how often word pairs stand in the texts that are left: 4 MB that each task gets.
+SLOTS = 1 << 20
+#: Rare word pairs that two texts must share to meet: a part of the shorter's words, and one at least.
+LEAST = 0.05
 
 
 def _occurrences(kmers: np.ndarray) -> np.ndarray:
@@ -220,43 +221,51 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     return found, members
 
 
-def least_shared(n: Column | np.ndarray | int):
-    """Rare words that two texts share if they are alike and the shorter has n."""
+def least_shared(n: Column | int):
+    """Rare word pairs that two texts share if they are alike and the shorter has n words."""
     return F.greatest(F.lit(1), F.floor(LEAST * n)) if isinstance(n, Column) else max(1, int(LEAST * n))
 
 
+def _word_pairs(words: Texts, i: int, pairs: np.ndarray) -> np.ndarray:
+    """The hashes of the pairs of neighbouring words of text i; of a text of one word that word's."""
+    a, b = words.first[i], words.first[i + 1]
+    return pairs[a : b - 1] if b - a > 1 else windows(words.hashes()[a:b], 1)
+
+
 def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """id, word: the rarest words of each text (hashes; repeats count), of which texts that are alike share ``least_shared``.
+    """id, word: the rarest word pairs of each text (hashes; repeats count), of which texts that are alike share ``least_shared``.
 
-    Of two texts the longer keeps n - limit of its words, so in any one order of all words the first
-    limit + least of both have that many in common; a shorter text's own limit is enough, as it is shorter.
-    How rare a word is, is read from counts in ``SLOTS`` slots, a table of fixed size; words that share a
-    slot only cost selectivity.
+    An edit of a word takes two pairs at most, so of two texts the longer keeps n - 1 - 2 * limit of its n - 1
+    pairs: in any one order of all pairs the first 2 * limit + least of both have ``least`` in common; a shorter
+    text's own limit is enough, as it is shorter. How rare a pair is, is read from counts in ``SLOTS`` slots, a
+    table of fixed size; pairs that share a slot only cost selectivity. A passage that many texts quote is frequent,
+    so it counts only in texts that hold little else.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, words in slices(batch.column("text")):
-                total += np.bincount((words.hashes() % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+                total += np.bincount((windows(words.hashes(), 2) % U(SLOTS)).astype(np.int64), minlength=SLOTS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
     found = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(SLOTS, np.int64)
+    often = np.zeros(SLOTS, np.float32)
     often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("id"))
             for first, end, words in slices(batch.column("text")):
-                hashes = words.hashes()
+                pairs = windows(words.hashes(), 2)
                 own, out = [np.empty(0, np.int64)], [np.empty(0, U)]
                 for i in range(end - first):
-                    mine = hashes[words.first[i] : words.first[i + 1]]
+                    n = int(words.first[i + 1] - words.first[i])
+                    mine = _word_pairs(words, i, pairs)
                     labelled = mix(mine + _occurrences(mine) * U(0x9E3779B97F4A7C15))
                     order = np.lexsort((labelled, often[(mine % U(SLOTS)).astype(np.int64)]))
-                    out.append(labelled[order[: int((1 - similarity) * len(mine) + 1e-9) + least_shared(len(mine)) + 1]])
+                    out.append(labelled[order[: 2 * int((1 - similarity) * n + 1e-9) + least_shared(n) + 2]])
                     own.append(np.full(len(out[-1]), ids[first + i], np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(out).view(np.int64))], names=["id", "word"])
 
@@ -264,22 +273,30 @@ def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def strangers(df: DataFrame, members: DataFrame, known: DataFrame, met: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs id, leader in different classes that may be alike and have not met, with the rare words that they share, among the nodes of buckets with several classes."""
+    """Pairs id, leader in different classes that may be alike and have not met, with the rare word pairs that bring them together, among the nodes of buckets with several classes."""
     # By merge at every size, as in verified.
     classed = members.select("k0", "id", "n_words").join(known.hint("merge"), "id", "left").select("k0", "id", "n_words", F.coalesce("class", "id").alias("class"))
     several = classed.groupBy("k0").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("k0")
     left = written(classed.join(several.hint("merge"), "k0").select("id", "n_words", "class").distinct(), "strangers")
     texts = texts_of(df, id_col, text_col)
     texts = written(texts.join(left.select("id").distinct().hint("merge"), "id"), "strangers-texts")
-    held = held_all = written(left.join(rare(texts, similarity).distinct().hint("merge"), "id"), "rare-words")
-    mixed = held.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("word")
-    held = held.join(mixed.hint("merge"), "word")
-    others = held.select("word", F.col("id").alias("leader"), F.col("n_words").alias("other"), F.col("class").alias("class_leader"))
-    near = F.least("n_words", "other") >= similarity * F.greatest("n_words", "other") - 1e-6
-    both = held.join(others.hint("merge"), "word").filter((F.col("id") > F.col("leader")) & (F.col("class") != F.col("class_leader")) & near)
-    pairs = both.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n_words", "other")).alias("shorter")).filter(F.col("shared") >= least_shared(F.col("shorter"))).drop("shorter")
+    held = written(left.join(rare(texts, similarity).distinct().hint("merge"), "id"), "rare-pairs")
+    # Of the holders of a word pair the first and last by id and by two hashes lead: each meets those, never all the others.
+    node = F.struct("id", "n_words", "class")
+    ranked = [(F.lit(0), F.min), (F.lit(0), F.max), (F.xxhash64("id"), F.min), (F.xxhash64("id", F.lit(1)), F.min)]
+    leaders = F.array_distinct(F.array(*[pick(F.struct(rank.cast("long").alias("rank"), node.alias("of")))["of"] for rank, pick in ranked])).alias("leaders")
+    words = held.groupBy("word").agg(leaders, F.count(F.lit(1)).alias("holders"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").drop("low", "high")
+    words = written(words, "leaders")
+    total = words.agg(F.coalesce(F.sum("holders"), F.lit(0))).first()[0]
+    meeting = hot_join(held, words, "word", "holders", F.col("id"), total).select("id", "n_words", "class", F.explode("leaders").alias("l"))
+    near = F.least("n_words", "l.n_words") >= similarity * F.greatest("n_words", "l.n_words") - 1e-6
+    meeting = meeting.filter((F.col("id") != F.col("l.id")) & (F.col("class") != F.col("l.class")) & near)
+    ends = meeting.select(F.greatest("id", "l.id").alias("id"), F.least("id", "l.id").alias("leader"), F.least("n_words", "l.n_words").alias("shorter"))
+    pairs = ends.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min("shorter").alias("shorter"))
+    # Each end may have led some of the word pairs that both hold.
+    pairs = pairs.filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(least_shared(F.col("shorter")) / 2))).drop("shorter")
     out = written(pairs.join(met.select("id", "leader"), ["id", "leader"], "left_anti"), "pairs-strangers")
-    dropped(left, texts, held_all)
+    dropped(left, texts, held, words)
     return out
 
 
