@@ -285,8 +285,7 @@ def strangers(df: DataFrame, members: DataFrame, known: DataFrame, met: DataFram
     node = F.struct("id", "n_words", "class")
     ranked = [(F.lit(0), F.min), (F.lit(0), F.max), (F.xxhash64("id"), F.min), (F.xxhash64("id", F.lit(1)), F.min)]
     leaders = F.array_distinct(F.array(*[pick(F.struct(rank.cast("long").alias("rank"), node.alias("of")))["of"] for rank, pick in ranked])).alias("leaders")
-    words = held.groupBy("word").agg(leaders, F.count(F.lit(1)).alias("holders"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").drop("low", "high")
-    words = written(words, "leaders")
+    words = written(held.groupBy("word").agg(leaders, F.count(F.lit(1)).alias("holders")), "leaders")
     total = words.agg(F.coalesce(F.sum("holders"), F.lit(0))).first()[0]
     meeting = hot_join(held, words, "word", "holders", F.col("id"), total).select("id", "n_words", "class", F.explode("leaders").alias("l"))
     near = F.least("n_words", "l.n_words") >= similarity * F.greatest("n_words", "l.n_words") - 1e-6
