@@ -17,6 +17,7 @@ from foliospark.operators.alignment import align
 from foliospark.operators.formats import Format
 from foliospark.operators.pairing import Unit, compare_units
 from foliospark.operators.units import unit_lists
+from foliospark.tables import spread, written
 
 PAIR = ("a", "b")
 LINE_CHARS = 20
@@ -35,23 +36,33 @@ ROWS_DDL = "array<struct<type:string,oi:int,ni:int,cat:string,num_changed:boolea
 OPS_DDL = "array<struct<tag:string,i:int,j:int>>"
 
 
-def near_copy_pairs(df: DataFrame, min_chars: int = LINE_CHARS, dice: float = DICE) -> DataFrame:
-    """a, b, n_shared, dice: each document b beside the earlier one that it most likely revises.
+def listed(df: DataFrame, min_chars: int = LINE_CHARS) -> DataFrame:
+    """doc_id, units and the distinct hashes of units of at least min_chars, written once for all that is made from them."""
+    units = unit_lists(spread(df))
+    hashes = F.array_distinct(F.transform(F.filter("units", lambda x: F.length(x) >= min_chars), lambda x: F.xxhash64(x)))
+    return written(units.select("doc_id", "units", hashes.alias("lines")), "unit-lists")
+
+
+def near_copies(lists: DataFrame, dice: float = DICE) -> DataFrame:
+    """a, b, n_shared, dice, units_a, units_b: each document b of ``listed`` beside the earlier one that it most likely revises.
 
     A line points to the first document that has it, so a line in very many documents makes one pair
     candidate for each, never all pairs of them. Of the documents that b's lines point to, a is the one
     with the most of them (the least id of equals), where the lines of both overlap by ``dice``.
     """
-    lines = unit_lists(df).select("doc_id", F.explode(F.array_distinct(F.filter("units", lambda x: F.length(x) >= min_chars))).alias("line"))
-    lines = lines.select("doc_id", F.xxhash64("line").alias("line"))
+    lines = lists.select("doc_id", F.explode("lines").alias("line"))
     first = lines.groupBy("line").agg(F.min("doc_id").alias("a"))
-    sizes = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     votes = lines.join(first, "line").filter("a < doc_id").groupBy(F.col("doc_id").alias("b"), "a").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("b").agg(F.max(F.struct("votes", (-F.col("a")).alias("minus_a"))).alias("top")).select("b", (-F.col("top.minus_a")).alias("a"))
-    of_b = best.join(lines.withColumnRenamed("doc_id", "b"), "b")
-    shared = of_b.join(lines.withColumnRenamed("doc_id", "a"), ["a", "line"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
-    sized = shared.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
-    return sized.select("a", "b", "n_shared", F.round(2 * F.col("n_shared") / (F.col("n_a") + F.col("n_b")), 6).alias("dice")).filter(F.col("dice") >= dice)
+    side = lambda s: lists.select(F.col("doc_id").alias(s), F.col("units").alias(f"units_{s}"), F.col("lines").alias(f"lines_{s}"))
+    both = best.join(side("a"), "a").join(side("b"), "b").withColumn("n_shared", F.size(F.array_intersect("lines_a", "lines_b")).cast("long"))
+    scored = both.withColumn("dice", F.round(2 * F.col("n_shared") / (F.size("lines_a") + F.size("lines_b")), 6))
+    return scored.filter(F.col("dice") >= dice).select("a", "b", "n_shared", "dice", "units_a", "units_b")
+
+
+def near_copy_pairs(df: DataFrame, min_chars: int = LINE_CHARS, dice: float = DICE) -> DataFrame:
+    """a, b, n_shared, dice of the near copies in a table of documents."""
+    return near_copies(listed(df, min_chars), dice).select("a", "b", "n_shared", "dice")
 
 
 def with_units(pairs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import py_content, py_norm
-from foliospark.operators.alignment import similarity
+from foliospark.operators.alignment import similarity, similarity_bound
 from foliospark.operators.inline import segments, whole
+from foliospark.tables import dropped, written
 
 SIMILAR = 0.5
 SAME_ROW = 0.5
@@ -20,18 +21,22 @@ CHANGES = "array<struct<state:string,old_id:long,new_id:long,author:string,cid:i
 def depths(df: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
     """df with depth: 0 without a parent, else one below it; rows that no root leads to are left out.
 
-    Each round joins one level, so there are as many rounds as a thread is deep.
+    Each row points at an ancestor, first its parent; a round makes it point at that one's ancestor, so a
+    thread of depth d takes log2(d) rounds, each written to the shared folder. Rows that end in a missing
+    parent drop out, and a round that brings no row to a root leaves only circles, which are left out.
     """
-    level = df.filter(F.col(parent_col).isNull()).withColumn("depth", F.lit(0))
-    found, depth = level, 0
-    below = df.filter(F.col(parent_col).isNotNull())
-    while True:
-        depth += 1
-        heads = level.select(F.col(id_col).alias("_head")).distinct()
-        level = below.join(heads, F.col(parent_col) == F.col("_head"), "left_semi").withColumn("depth", F.lit(depth)).persist()
-        if not level.head(1):
-            return found
-        found = found.unionByName(level)
+    steps = written(df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.when(F.col(parent_col).isNull(), 0).otherwise(1).alias("hops")), "threads")
+    arrived = steps.filter("up IS NULL").count()
+    while steps.filter("up IS NOT NULL").head(1):
+        above = steps.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more")).dropDuplicates(["up"])
+        moved = steps.filter("up IS NOT NULL").join(above, "up").select("id", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops"))
+        new = written(steps.filter("up IS NULL").unionByName(moved), "threads")
+        dropped(steps)
+        steps, before, arrived = new, arrived, new.filter("up IS NULL").count()
+        if arrived == before:
+            break
+    known = steps.filter("up IS NULL").select(F.col("id").alias("_thread_id"), F.col("hops").alias("depth")).dropDuplicates(["_thread_id"])
+    return df.drop("depth").join(known, F.col(id_col) == F.col("_thread_id")).drop("_thread_id")
 
 
 def match(old: list[dict], new: list[dict]) -> dict[int, int]:
@@ -41,19 +46,23 @@ def match(old: list[dict], new: list[dict]) -> dict[int, int]:
     on one row of the comparison (``row``, where known) add to the likeness.
     """
     taken: dict[int, int] = {}
+    used: set[int] = set()
     tokens = [py_content(py_norm(c["text"])) for c in old]
     for j in sorted(range(len(new)), key=lambda j: (new[j]["author"], new[j]["text"], str(new[j]["id"]))):
         own = py_content(py_norm(new[j]["text"]))
         best, score = None, SIMILAR - 1e-9
         for i, c in enumerate(old):
-            if i in taken.values() or c["author"] != new[j]["author"]:
+            if i in used or c["author"] != new[j]["author"]:
                 continue
-            same_row = c.get("row") is not None and c.get("row") == new[j].get("row")
-            found = similarity(tokens[i], own) + (SAME_ROW if same_row else 0)
+            extra = SAME_ROW if c.get("row") is not None and c.get("row") == new[j].get("row") else 0
+            if similarity_bound(tokens[i], own) + extra <= score:
+                continue
+            found = similarity(tokens[i], own) + extra
             if found > score:
                 best, score = i, found
         if best is not None:
             taken[j] = best
+            used.add(best)
     return taken
 
 

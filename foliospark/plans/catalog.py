@@ -12,6 +12,7 @@ from foliospark.operators import compare as C
 from foliospark.operators import ranges as R
 from foliospark.operators import similarity as S
 from foliospark.operators import draw, geometry, pages, report, threads, units
+from foliospark.tables import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,8 +99,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    return C.with_units(C.near_copy_pairs(docs), docs)
+    return C.near_copies(C.listed(load(spark, sf_dir, "documents"))).drop("n_shared", "dice")
 
 
 def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +110,15 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compare(_paired(spark, sf_dir))
 
 
+def _kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows, written once for a plan that reads them several times."""
+    return written(_rows(spark, sf_dir), "rows")
+
+
 # Text functions.
 @query("normalize_text", f"SELECT doc_id, {_norm('text')} AS normalized FROM documents")
 def normalize_text(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.norm(F.col("text")).alias("normalized"))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", T.norm(F.col("text")).alias("normalized"))
 
 
 def _listed(tokens):
@@ -126,17 +131,17 @@ def _listed_sql(tokens: str) -> str:
 
 @query("tokenize", _listed_sql(_tokens("text")))
 def tokenize(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", *_listed(T.tokenize(F.col("text"))))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", *_listed(T.tokenize(F.col("text"))))
 
 
 @query("words_only", _listed_sql(f"regexp_extract_all(lower(coalesce(text, '')), '{T.WORD}')"))
 def words_only(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", *_listed(T.words_only(F.col("text"))))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", *_listed(T.words_only(F.col("text"))))
 
 
 @query("content_tokens", _listed_sql(f"list_filter({_tokens('text')}, lambda t: NOT regexp_matches(t, '{T.BLANK}'))"))
 def content_tokens(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", *_listed(T.content_tokens(F.col("text"))))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", *_listed(T.content_tokens(F.col("text"))))
 
 
 @query("escape_html", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
@@ -179,7 +184,7 @@ def half_points(spark, sf_dir):
     SELECT signature, count(DISTINCT doc_id) AS n_documents, count(*) AS n_lines FROM signed GROUP BY signature HAVING count(DISTINCT doc_id) >= 3""",
 )
 def line_signatures(spark, sf_dir):
-    lines = units.units(load(spark, sf_dir, "documents")).select("doc_id", T.signature(F.col("text"), normalized=True).alias("signature"))
+    lines = units.units(spread(load(spark, sf_dir, "documents"))).select("doc_id", T.signature(F.col("text"), normalized=True).alias("signature"))
     per_doc = lines.groupBy("signature", "doc_id").agg(F.count(F.lit(1)).alias("n"))  # a hot line counts per document first
     return per_doc.groupBy("signature").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_lines")).filter("n_documents >= 3")
 
@@ -187,7 +192,7 @@ def line_signatures(spark, sf_dir):
 # Units and pairs.
 @query("units", f"WITH {UNITS} SELECT * FROM units")
 def unit_stream(spark, sf_dir):
-    return units.units(load(spark, sf_dir, "documents"))
+    return units.units(spread(load(spark, sf_dir, "documents")))
 
 
 _MARKER_SQL = units.MARKER.replace("'", "''")
@@ -195,7 +200,7 @@ _MARKER_SQL = units.MARKER.replace("'", "''")
 
 @query("unit_markers", f"WITH {UNITS} SELECT doc_id, idx, regexp_extract(text, '{_MARKER_SQL}', 1) AS marker FROM units")
 def unit_markers(spark, sf_dir):
-    return units.units(load(spark, sf_dir, "documents")).select("doc_id", "idx", units.marker(F.col("text")).alias("marker"))
+    return units.units(spread(load(spark, sf_dir, "documents"))).select("doc_id", "idx", units.marker(F.col("text")).alias("marker"))
 
 
 @query(
@@ -362,7 +367,7 @@ def page_plan(spark, sf_dir):
 
 @query("changed_pages")
 def changed_pages(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = _kept_rows(spark, sf_dir)
     return report.changed_pages(rows.join(pages.paginate(rows).drop("n_lines"), ["a", "b", "row_idx"]))
 
 
@@ -373,7 +378,7 @@ def report_lines(spark, sf_dir):
 
 @query("change_list")
 def change_list(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = _kept_rows(spark, sf_dir)
     return report.change_list(C.passages(rows), rows)
 
 
@@ -385,7 +390,7 @@ def visible_rows(spark, sf_dir):
 
 @query("comparison_json")
 def comparison_json(spark, sf_dir):
-    return C.to_json(_rows(spark, sf_dir))
+    return C.to_json(_kept_rows(spark, sf_dir))
 
 
 @query("original_text", f"WITH {PAIRS} SELECT a, b, array_to_string(la, chr(10)) AS text FROM paired WHERE len(la) > 0")
@@ -413,7 +418,7 @@ _SEGMENTS = f"""WITH {UNITS}, segs AS (
 def _made_rows(spark, sf_dir):
     mode = lambda i: F.when(i % 4 == 1, F.lit("del")).when(i % 4 == 3, F.lit("ins")).otherwise(F.lit("eq"))
     segments = F.transform("units", lambda t, i: F.struct(mode(i).alias("m"), t.alias("t"), F.lit(False).alias("b")))
-    lists = units.unit_lists(load(spark, sf_dir, "documents"))
+    lists = units.unit_lists(spread(load(spark, sf_dir, "documents")))
     return lists.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("row_idx"), F.lit(False).alias("num_changed"), segments.alias("segments"))
 
 
@@ -679,7 +684,7 @@ def first_paired_rows(spark, sf_dir):
 @query("change_marks")
 def change_marks(spark, sf_dir):
     """The page on which each numbered change begins."""
-    rows = _rows(spark, sf_dir)
+    rows = _kept_rows(spark, sf_dir)
     return C.passages(rows).join(pages.paginate(rows), ["a", "b", "row_idx"]).select("a", "b", "cid", "category", "page")
 
 
