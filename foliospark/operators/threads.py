@@ -15,7 +15,9 @@ from foliospark.tables import dropped, written
 
 SIMILAR = 0.5
 SAME_ROW = 0.5
-CHANGES = "array<struct<state:string,old_id:long,new_id:long,author:string,cid:int,segments:array<struct<m:string,t:string>>>>"
+#: Fields of a comment that a change carries along as they are, and of its anchor.
+CARRIED = {"initials": "string", "date": "string", "done": "boolean", "on_deleted": "boolean", "on_inserted": "boolean"}
+CHANGES = f"array<struct<state:string,old_id:long,new_id:long,author:string,cid:int,depth:int,{','.join(f'{k}:{v}' for k, v in CARRIED.items())},segments:array<struct<m:string,t:string>>>>"
 
 
 def depths(df: DataFrame, id_col: str = "id", parent_col: str = "parent") -> DataFrame:
@@ -66,25 +68,67 @@ def match(old: list[dict], new: list[dict]) -> dict[int, int]:
     return taken
 
 
+def reply_depths(comments: list[dict]) -> dict:
+    """id -> how many replies down a comment is (``parent``: the id that it answers); a circle or a missing parent ends the way."""
+    parent = {c["id"]: c.get("parent") for c in comments}
+    out = {}
+    for c in comments:
+        seen, at = {c["id"]}, parent[c["id"]]
+        while at in parent and at not in seen:
+            seen.add(at)
+            at = parent[at]
+        out[c["id"]] = len(seen) - 1
+    return out
+
+
+def anchored(kind: str, segments: list[dict], side: str, start: int, end: int | None = None) -> bool:
+    """Whether an anchor on a row's original (a) or revised (b) text lies on what the row deletes or inserts.
+
+    The whole of a deleted or inserted row is; of a changed row the characters in segments of that mode are. Without
+    an end the anchor is the one character at start.
+    """
+    mode, whole_row = ("del", "deleted") if side == "a" else ("ins", "inserted")
+    if kind != "changed":
+        return kind == whole_row
+    stop, at = start + 1 if end is None else end, 0
+    for s in segments:
+        if s["m"] in ("eq", mode):
+            if s["m"] == mode and start < at + len(s["t"]) and stop > at:
+                return True
+            at += len(s["t"])
+    return False
+
+
 def changes(old: list[dict], new: list[dict]) -> list[dict]:
-    """Unchanged, edited and added comments in the revised order, then the removed; all but the unchanged are numbered."""
+    """Unchanged, edited, added and removed comments in reading order; all but the unchanged are numbered.
+
+    ``pos`` is the reading place of a comment's anchor in the revised document, where known; comments without
+    one come last. At one place a comment stands before its replies, and revised comments before removed ones.
+    """
     partner = match(old, new)
-    out = []
-    for j, c in enumerate(new):
-        before = old[partner[j]] if j in partner else None
-        if before is None:
+    kept = set(partner.values())
+    depth = reply_depths(new)
+    entries = [(c, old[partner[j]] if j in partner else None, True) for j, c in enumerate(new)]
+    entries += [(c, c, False) for i, c in enumerate(old) if i not in kept]
+    place = lambda e: (e[0].get("pos") is None, e[0].get("pos") or 0, depth[e[0]["id"]] if e[2] else 0)
+    out, flagged = [], 0
+    for c, before, stands in sorted(entries, key=place):
+        if not stands:
+            state, cut = "removed", whole(c["text"], None, "del")
+        elif before is None:
             state, cut = "added", whole(c["text"], None, "ins")
         elif py_norm(before["text"]) == py_norm(c["text"]):
             state, cut = "unchanged", whole(c["text"], None, "eq")
         else:
             state, cut = "edited", segments(before["text"], c["text"])
-        out.append({"state": state, "old_id": before and before["id"], "new_id": c["id"], "author": c["author"], "segments": cut})
-    out += [{"state": "removed", "old_id": c["id"], "new_id": None, "author": c["author"], "segments": whole(c["text"], None, "del")} for i, c in enumerate(old) if i not in partner.values()]
-    flagged = 0
-    for c in out:
-        flagged += c["state"] != "unchanged"
-        c["cid"] = flagged if c["state"] != "unchanged" else None
-        c["segments"] = [{"m": s.mode, "t": s.text} for s in c["segments"]]
+        flagged += state != "unchanged"
+        out.append(
+            {
+                "state": state, "old_id": before and before["id"], "new_id": c["id"] if stands else None, "author": c["author"], "cid": flagged if state != "unchanged" else None,
+                "depth": depth[c["id"]] if stands else 0, "segments": [{"m": s.mode, "t": s.text} for s in cut],
+            }
+            | {k: c.get(k) for k in CARRIED}
+        )
     return out
 
 
@@ -93,7 +137,7 @@ def compare_comments(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         cut = pa.list_(pa.struct([("m", pa.string()), ("t", pa.string())]))
-        kind = pa.list_(pa.struct([("state", pa.string()), ("old_id", pa.int64()), ("new_id", pa.int64()), ("author", pa.string()), ("cid", pa.int32()), ("segments", cut)]))
+        kind = pa.list_(pa.struct([("state", pa.string()), ("old_id", pa.int64()), ("new_id", pa.int64()), ("author", pa.string()), ("cid", pa.int32()), ("depth", pa.int32()), *((k, pa.bool_() if v == "boolean" else pa.string()) for k, v in CARRIED.items()), ("segments", cut)]))
         for a, b in batches:
             yield pa.array([changes(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)
 
