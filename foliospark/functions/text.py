@@ -66,6 +66,11 @@ def escape_html(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def sentinel(kind: Column, number: Column) -> Column:
+    """What stands in a text for a reference to a note: kind and number between two private characters."""
+    return F.concat(F.lit("\ue000"), kind, F.lit(":"), number.cast("string"), F.lit("\ue001"))
+
+
 def signature(text: Column, normalized: bool = False) -> Column:
     """What repeated lines are told by: each number as #, lower case; a bare page number is #.
 

@@ -6,7 +6,7 @@ follows (numbering, counts, projections) is window and aggregate work keyed by p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -207,12 +207,34 @@ def snippets(rows: DataFrame, before: int = 24, after: int = 40, most: int = 200
     return each.select(*PAIR, "row_idx", "seg_idx", F.col("s.m").alias("m"), text.alias("snippet"))
 
 
-def to_json(rows: DataFrame, count_numbering: bool = True) -> DataFrame:
-    """a, b, json: options, summary, passages and changes of each pair as one nested document."""
-    changes = rows.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("row_idx", "type", "oi", "ni", "cat", "num_changed", "old_marker", "fmt", "segments"))).alias("changes"))
-    numbered = passages(rows, count_numbering).groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("cid", "category", F.col("row_idx").alias("row")))).alias("passages"))
+#: What a comparison can be asked for, and what holds if it is not said.
+OPTIONS = {"ignore_case": False, "count_numbering": True}
+
+
+def options(given: Mapping[str, object] | None = None) -> dict[str, bool]:
+    """All options with those given; an unknown name or a value that is not a boolean is refused."""
+    for name, value in (given or {}).items():
+        if name not in OPTIONS:
+            raise ValueError(f"unknown option: {name}")
+        if not isinstance(value, bool):
+            raise ValueError(f"option {name} must be true or false, not {value!r}")
+    return OPTIONS | dict(given or {})
+
+
+def to_json(rows: DataFrame, count_numbering: bool = True, ignore_case: bool = False, comments: DataFrame | None = None) -> DataFrame:
+    """a, b, json: options, summary, passages, changes and comment changes of each pair as one nested document.
+
+    ``comments`` are the rows of ``threads.compare_comments``, with pos.
+    """
+    gathered = lambda df, columns, name: df.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    changes = gathered(rows, ["row_idx", "type", "oi", "ni", "cat", "num_changed", "old_marker", "fmt", "segments"], "changes")
+    numbered = gathered(passages(rows, count_numbering), ["cid", "category", F.col("row_idx").alias("row")], "passages")
     counts = summary(rows, count_numbering)
     counts = counts.select(*PAIR, F.struct(*[c for c in counts.columns if c not in PAIR]).alias("summary"))
     whole = counts.join(changes, list(PAIR)).join(numbered, list(PAIR), "left")
-    options = F.struct(F.lit(count_numbering).alias("count_numbering"))
-    return whole.select(*PAIR, F.to_json(F.struct(options.alias("options"), "summary", F.coalesce("passages", F.array()).alias("passages"), "changes")).alias("json"))
+    chosen = F.struct(F.lit(ignore_case).alias("ignore_case"), F.lit(count_numbering).alias("count_numbering"))
+    noted = F.array().alias("comments")
+    if comments is not None:
+        whole = whole.join(gathered(comments, [c for c in comments.columns if c not in PAIR], "noted"), list(PAIR), "left")
+        noted = F.coalesce("noted", F.array()).alias("comments")
+    return whole.select(*PAIR, F.to_json(F.struct(chosen.alias("options"), "summary", F.coalesce("passages", F.array()).alias("passages"), "changes", noted)).alias("json"))

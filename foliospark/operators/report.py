@@ -47,8 +47,72 @@ def changed_pages(paged_rows: DataFrame) -> DataFrame:
     return total.join(listed, list(PAIR), "left").select(*PAIR, "n_pages", F.coalesce("pages", F.lit("")).alias("pages"))
 
 
-def report_lines(summary: DataFrame) -> DataFrame:
-    """a, b, report: the counts of a comparison as text."""
-    line = lambda label, c: F.format_string(f"{label}: %d", F.col(c))
-    lines = [line("Insertions", "insertions"), line("Deletions", "deletions"), line("Renumbered", "numbering_changes"), line("Formatting only", "formatting"), line("Changes in all", "total")]
-    return summary.select(*PAIR, F.concat_ws("\n", *lines).alias("report"))
+def changed_only(paged_rows: DataFrame) -> DataFrame:
+    """The rows of pages with a change, and of page 1; pages keep their numbers."""
+    changed = paged_rows.filter((F.col("type") != "equal") | F.col("num_changed") | (F.size("fmt") > 0))
+    wanted = changed.select(*PAIR, "page").unionByName(paged_rows.select(*PAIR, F.lit(1).cast(paged_rows.schema["page"].dataType).alias("page"))).distinct()
+    return paged_rows.join(wanted, [*PAIR, "page"], "left_semi")
+
+
+def comment_counts(changes: DataFrame) -> DataFrame:
+    """a, b, added, removed, edited: of pairs with a comment that is not unchanged."""
+    of = lambda state: F.count_if(F.col("state") == state).alias(state)
+    return changes.filter("state <> 'unchanged'").groupBy(*PAIR).agg(of("added"), of("removed"), of("edited"))
+
+
+def body_rows(rows: DataFrame, paired: DataFrame) -> DataFrame:
+    """The rows of body paragraphs, with oi and ni counted among body paragraphs only.
+
+    ``paired`` holds units_a and units_b, arrays of structs with a ``stream``.
+    """
+    joined = rows.join(paired.select(*PAIR, "units_a", "units_b"), list(PAIR))
+    stream = F.coalesce(F.get("units_b", F.col("ni"))["stream"], F.get("units_a", F.col("oi"))["stream"])
+    place = lambda side, at: F.when(F.col(at).isNotNull(), F.size(F.filter(F.slice(side, F.lit(1), F.greatest(F.col(at), F.lit(0))), lambda u: u["stream"] == "body")))
+    body = joined.filter(stream == "body").withColumns({"oi": place("units_a", "oi"), "ni": place("units_b", "ni")})
+    return body.drop("units_a", "units_b")
+
+
+def row_counts(rows: DataFrame) -> DataFrame:
+    """a, b, content, punctuation, numbering, formatting: rows by kind, as a summary has them."""
+    n = lambda when: F.count_if(when).cast("long")
+    changed = F.col("type") != "equal"
+    return rows.groupBy(*PAIR).agg(
+        n(changed & ~F.col("cat").eqNullSafe("punctuation")).alias("content"), n(changed & F.col("cat").eqNullSafe("punctuation")).alias("punctuation"),
+        n(F.col("num_changed")).alias("numbering"), n(~changed & (F.size("fmt") > 0)).alias("formatting"),
+    )
+
+
+#: Columns beside a summary's that a report mentions where they are there and not null (tracked: unless both are 0).
+EXTRAS = ("tracked_a", "tracked_b", "skipped_a", "skipped_b", "added", "removed", "edited", "pages_shown", "n_pages")
+
+
+def report_lines(summary: DataFrame, original: Column | None = None, modified: Column | None = None, when: Column | None = None, rendering: str = "all", ignore_case: bool = False, count_numbering: bool = True) -> DataFrame:
+    """a, b, report: what was compared, how, and the counts, as text.
+
+    ``summary`` may have the columns of ``EXTRAS``: tracked changes of both sources; the pages without text of both
+    as lists of ranges, for PDFs; counts of comment changes; pages shown of all pages.
+    """
+    there = {c: F.col(c) if c in summary.columns else F.lit(None) for c in EXTRAS}
+    switch = lambda on: "on" if on else "off"
+    text = lambda c: c.cast("string")
+    name = lambda given, side: text(given if given is not None else F.col(side))
+    tracked = F.coalesce(there["tracked_a"], F.lit(0)) + F.coalesce(there["tracked_b"], F.lit(0)) > 0
+    pages = lambda c: F.when(there[c] == "", F.lit("none")).otherwise(there[c])
+    is_pdf = there["skipped_a"].isNotNull() & there["skipped_b"].isNotNull()
+    lines = [
+        F.concat(F.lit("Original: "), name(original, "a")),
+        F.concat(F.lit("Modified: "), name(modified, "b")),
+        F.concat(F.lit("Compared: "), F.date_format(when if when is not None else F.current_timestamp(), "yyyy-MM-dd HH:mm")),
+        F.lit(f"Rendering set: {rendering}"),
+        F.lit(f"Options: ignore case {switch(ignore_case)}; count numbering changes {switch(count_numbering)}"),
+        F.when(is_pdf, F.lit("Sources: PDFs, text and tables re-read from the pages (layout approximate, images not shown)")),
+        F.when(is_pdf & ((there["skipped_a"] != "") | (there["skipped_b"] != "")), F.concat(F.lit("Pages with no text, not compared: original "), pages("skipped_a"), F.lit(", modified "), pages("skipped_b"))),
+        F.when(tracked, F.concat(F.lit("Tracked changes in sources: original "), F.coalesce(text(there["tracked_a"]), F.lit("0")), F.lit(", modified "), F.coalesce(text(there["tracked_b"]), F.lit("0")), F.lit(" (compared as accepted)"))),
+        F.concat(
+            F.lit("Changes: "), text(F.col("total")), F.lit(" (insertions "), text(F.col("insertions")), F.lit(", deletions "), text(F.col("deletions")), F.lit(", numbering "),
+            text(F.col("numbering_changes")), F.lit("); formatting "), text(F.col("formatting")), F.lit(" (not counted)"),
+        ),
+        F.concat(F.lit("Comments: "), text(there["added"]), F.lit(" added, "), text(there["removed"]), F.lit(" removed, "), text(there["edited"]), F.lit(" edited (not counted)")),
+        F.concat(F.lit("Changed pages only: "), text(there["pages_shown"]), F.lit(" of "), text(there["n_pages"]), F.lit(" pages")),
+    ]
+    return summary.select(*PAIR, F.concat_ws("\n", *lines).alias("report"))  # a line that does not apply is null and left out

@@ -373,7 +373,18 @@ def changed_pages(spark, sf_dir):
 
 @query("report_lines")
 def report_lines(spark, sf_dir):
-    return report.report_lines(C.summary(_rows(spark, sf_dir)))
+    return report.report_lines(C.summary(_rows(spark, sf_dir)), when=F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
+@query("changed_only_pages")
+def changed_only_pages(spark, sf_dir):
+    rows = _kept_rows(spark, sf_dir)
+    return report.changed_only(rows.join(pages.paginate(rows).drop("n_lines"), ["a", "b", "row_idx"])).select("a", "b", "page", "row_idx", "type")
+
+
+@query("comment_counts")
+def comment_counts(spark, sf_dir):
+    return report.comment_counts(comment_changes(spark, sf_dir))
 
 
 @query("change_list")
