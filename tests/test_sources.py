@@ -124,7 +124,7 @@ def test_compare_files_end_to_end(spark, tmp_path):
     assert (s.insertions, s.deletions, s.numbering_changes, s.total, s.content, s.numbering) == (2, 1, 2, 5, 2, 2)
     assert C.summary(rows, count_numbering=False).first().total == 3
     assert [(x.cid, x.category) for x in C.passages(rows).orderBy("cid").collect()] == [(1, "insertion"), (2, "numbering"), (3, "numbering"), (4, "deletion"), (5, "insertion")]
-    assert "Changes in all: 5" in report.report_lines(C.summary(rows)).first().report
+    assert "Changes: 5 (insertions 2, deletions 1, numbering 2); formatting 0 (not counted)" in report.report_lines(C.summary(rows)).first().report
     assert report.changed_pages(report.paged(rows, lines_a_page=2)).first().pages == "1-2"
     assert rows.filter(report.visible(show_equal=False)).count() == 4 and report.side(rows, "a").count() == 3
     html = {r.row_idx: r.html for r in rows.select("row_idx", C.row_html().alias("html")).collect()}
