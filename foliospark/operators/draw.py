@@ -87,6 +87,15 @@ def svg_pages(lines: DataFrame, style: str = "standard", size: float = 11.0, wid
     return listed.select(*PAIR, "page", F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["t"]), ""), F.lit("</svg>")).alias("svg"))
 
 
+def to_json(lines: DataFrame, size: float = 11.0, width: float = 450.0, height: float = 650.0) -> DataFrame:
+    """a, b, json: the pages of each merged document with their lines and spans, measures to two places."""
+    leading = LEADING * size
+    line = F.struct(F.round(F.col("line") * leading, 2).alias("y"), F.lit(round(leading, 2)).alias("h"), F.col("row_idx").alias("row"), "changed", "spans")
+    placed = lines.groupBy(*PAIR, "page").agg(F.sort_array(F.collect_list(F.struct(F.col("line").alias("k"), line.alias("l")))).alias("ls"))
+    page = F.struct("page", F.lit(round(width, 2)).alias("w"), F.lit(round(height, 2)).alias("h"), F.transform("ls", lambda x: x["l"]).alias("lines"))
+    return placed.groupBy(*PAIR).agg(F.sort_array(F.collect_list(page)).alias("pages")).select(*PAIR, F.to_json(F.struct("pages")).alias("json"))
+
+
 def first_lines(lines: DataFrame, passages: DataFrame) -> DataFrame:
     """a, b, cid, page, line: where each numbered change begins: the first line of its row that is changed, else the row's first."""
     order = Window.partitionBy(*PAIR, "row_idx").orderBy(F.desc("changed"), "page", "line")

@@ -81,6 +81,16 @@ def test_furniture(spark, tmp_path):
     assert sorted({r.text for r in found.collect()}) == ["Contract of sale", "Page 1 of 4", "Page 2 of 4", "Page 3 of 4", "Page 4 of 4"]
 
 
+def test_titles_are_not_furniture(spark, tmp_path):
+    """Numbered titles that start pages of their own, and a line repeated where other pages begin their text."""
+    words = ["one", "two", "three", "four", "five", "six", "seven"]
+    pages = [text((50, 780), f"SCHEDULE {i // 2}.{9 - i}") + text((50, 730), "Signature page" if i < 3 else f"opening {words[i]}") + text((50, 400), f"body {words[i]}") + text((300, 15), f"Part 2, sheet {i + 1}") for i in range(7)]
+    (tmp_path / "x.pdf").write_bytes(make(pages))
+    lines = pdf.page_lines(pdf.read(spark, str(tmp_path)))
+    found = pdf.furniture(lines, signature(F.col("text"))).join(lines, ["path", "page", "line"])
+    assert sorted(r.text for r in found.collect()) == [f"Part 2, sheet {i + 1}" for i in range(7)]
+
+
 def line(y, words, x0=50.0, x1=500.0, page=1, size=10.0):
     return {"page": page, "y": float(y), "x0": x0, "x1": x1, "size": size, "text": words}
 
