@@ -151,7 +151,7 @@ def pieces(start: Column, end: Column, text: Column, spans: Column, ranges: Colu
             F.exists(ranges, covers).alias("changed"), F.coalesce(F.get(F.filter(tabs, lambda t: t["at"] == a), F.lit(0))["n"], F.lit(0)).alias("tab"), refs(a).alias("marks"),
         )
 
-    inner = F.transform(F.slice(cuts, F.lit(1), F.greatest(F.size(cuts) - 1, F.lit(0))), lambda a, i: piece(a, F.get(cuts, i + 1)))
+    inner = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts)), piece)
     last = F.filter(F.array(F.struct(end.alias("s"), end.alias("e"), F.lit("").alias("text"), F.get(F.filter(spans, lambda x: F.lit(False)), F.lit(0))["fmt"].alias("fmt"), F.lit(False).alias("changed"), F.lit(0).alias("tab"), refs(end).alias("marks"))), lambda x: (end == F.length(text)) & (F.size(x["marks"]) > 0))
     return F.concat(inner, last)
 

@@ -10,15 +10,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import draw, flow, units
+from foliospark.operators import compare as C
+from foliospark.operators import draw, flow, report, units
 from foliospark.plans.catalog import ORACLE_SQL, PAIRS, UNITS, WALK, _ops, _paired, _rows, load, query
-from foliospark.tables import spread
+from foliospark.tables import spread, written
 
 _HTML = f"h AS ({ORACLE_SQL['html_units']})"
 
 
 def _html(spark, sf_dir):
-    return units.html_units(load(spark, sf_dir, "pages"))
+    return units.html_units(spread(load(spark, sf_dir, "pages")))
 
 
 _SECTIONED = f"""WITH {_HTML}, items AS (
@@ -267,3 +268,111 @@ def content_bottoms(spark, sf_dir):
 @query("layout_json")
 def layout_json(spark, sf_dir):
     return draw.to_json(draw.layout(_rows(spark, sf_dir)))
+
+
+# Rows made of the edit scripts, one segment each, so that SQL can follow what is made from rows.
+_MADE = f"""{WALK}, made AS (
+  SELECT a, b, seq AS row_idx, CASE tag WHEN 'equal' THEN 'equal' WHEN 'delete' THEN 'deleted' ELSE 'inserted' END AS type,
+         CASE WHEN tag <> 'insert' THEN i END AS oi, CASE WHEN tag <> 'delete' THEN j END AS ni, tag = 'equal' AND seq % 7 = 3 AS num_changed, seq % 5 = 0 AS formatted,
+         CASE WHEN tag = 'insert' THEN lb[j + 1] ELSE la[i + 1] END AS text
+  FROM ops JOIN paired USING (a, b)
+), paged AS (
+  SELECT *, type <> 'equal' OR num_changed OR formatted AS changed, CAST(coalesce(sum(n) OVER (PARTITION BY a, b ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 40 + 1 AS INT) AS page
+  FROM (SELECT *, CAST(greatest(1, ceil(length(text) / 80)) AS BIGINT) AS n FROM made)
+)"""
+
+
+def _made(spark, sf_dir):
+    op = C.edit_scripts(_paired(spark, sf_dir)).select("a", "b", "units_a", "units_b", F.posexplode("ops").alias("row_idx", "op"))
+    is_a, is_b = F.col("op.tag") != "insert", F.col("op.tag") != "delete"
+    kind = F.when(F.col("op.tag") == "equal", "equal").when(F.col("op.tag") == "delete", "deleted").otherwise("inserted")
+    mode = F.when(F.col("op.tag") == "equal", "eq").when(F.col("op.tag") == "delete", "del").otherwise("ins")
+    text = F.when(is_a, F.get("units_a", F.col("op.i"))).otherwise(F.get("units_b", F.col("op.j")))
+    fmt = F.array(F.struct(F.lit(0).alias("s"), F.lit(1).alias("e"), F.lit("bold").alias("desc")))
+    return op.select(
+        "a", "b", "row_idx", kind.alias("type"), F.when(is_a, F.col("op.i")).alias("oi"), F.when(is_b, F.col("op.j")).alias("ni"), F.lit(None).cast("string").alias("cat"),
+        ((F.col("op.tag") == "equal") & (F.col("row_idx") % 7 == 3)).alias("num_changed"), F.slice(fmt, F.lit(1), (F.col("row_idx") % 5 == 0).cast("int")).alias("fmt"),
+        F.array(F.struct(mode.alias("m"), text.alias("t"), F.lit(False).alias("b"))).alias("segments"),
+    )
+
+
+@query(
+    "script_summary",
+    f"""{_MADE}, counted AS (
+      SELECT a, b, count(*) FILTER (type <> 'equal') AS content, CAST(0 AS BIGINT) AS punctuation, count(*) FILTER (num_changed) AS numbering, count(*) FILTER (type = 'equal' AND formatted) AS formatting,
+             count(*) FILTER (type = 'inserted') AS insertions, count(*) FILTER (type = 'deleted') AS deletions FROM made GROUP BY a, b)
+    SELECT *, numbering AS numbering_changes, insertions + deletions + numbering AS total, CAST(0 AS BIGINT) AS moves, CAST(0 AS BIGINT) AS splits, CAST(0 AS BIGINT) AS merges FROM counted""",
+)
+def script_summary(spark, sf_dir):
+    return C.summary(_made(spark, sf_dir))
+
+
+@query(
+    "script_order",
+    f"""{_MADE}, anchored AS (
+      SELECT *, coalesce((SELECT min(x.ni) FROM made x WHERE x.a = m.a AND x.b = m.b AND x.row_idx >= m.row_idx AND x.ni IS NOT NULL), 2147483647) AS anchor FROM made m)
+    SELECT a, b, CAST(row_number() OVER (PARTITION BY a, b ORDER BY anchor, ni IS NOT NULL, row_idx) - 1 AS INT) AS pos, row_idx, type, oi, ni FROM anchored""",
+)
+def script_order(spark, sf_dir):
+    return C.merged_order(_made(spark, sf_dir))
+
+
+@query(
+    "script_changes",
+    f"""{_MADE}, found AS (
+      SELECT a, b, row_idx, type, oi, ni, 0 AS seg_idx, CASE type WHEN 'inserted' THEN 'insertion' ELSE 'deletion' END AS category FROM made WHERE type <> 'equal'
+      UNION ALL SELECT a, b, row_idx, type, oi, ni, -1, 'numbering' FROM made WHERE num_changed)
+    SELECT a, b, CAST(row_number() OVER (PARTITION BY a, b ORDER BY row_idx, seg_idx) AS INT) AS cid, category, row_idx, seg_idx, type, oi, ni FROM found""",
+)
+def script_changes(spark, sf_dir):
+    rows = written(_made(spark, sf_dir), "rows")
+    return report.change_list(C.passages(rows), rows)
+
+
+@query(
+    "script_visible",
+    f"{_MADE} SELECT a, b, row_idx, CASE type WHEN 'inserted' THEN true WHEN 'deleted' THEN false ELSE num_changed OR formatted END AS visible FROM made",
+)
+def script_visible(spark, sf_dir):
+    return _made(spark, sf_dir).select("a", "b", "row_idx", report.visible(show_equal=False, show_deletions=False).alias("visible"))
+
+
+@query(
+    "script_changed_pages",
+    f"""{_MADE}, d AS (SELECT DISTINCT a, b, page FROM paged WHERE changed),
+    g AS (SELECT *, page - row_number() OVER (PARTITION BY a, b ORDER BY page) AS g FROM d),
+    r AS (SELECT a, b, min(page) AS f, max(page) AS l FROM g GROUP BY a, b, g),
+    listed AS (SELECT a, b, string_agg(CASE WHEN f = l THEN CAST(f AS VARCHAR) ELSE f || '-' || l END, ', ' ORDER BY f) AS pages FROM r GROUP BY a, b)
+    SELECT a, b, n_pages, coalesce(pages, '') AS pages FROM (SELECT a, b, max(page) AS n_pages FROM paged GROUP BY a, b) LEFT JOIN listed USING (a, b)""",
+)
+def script_changed_pages(spark, sf_dir):
+    return report.changed_pages(report.paged(written(_made(spark, sf_dir), "rows")))
+
+
+@query(
+    "script_changed_only",
+    f"""{_MADE} SELECT a, b, page, row_idx FROM paged p WHERE page = 1 OR EXISTS (SELECT 1 FROM paged x WHERE x.a = p.a AND x.b = p.b AND x.page = p.page AND x.changed)""",
+)
+def script_changed_only(spark, sf_dir):
+    return report.changed_only(report.paged(written(_made(spark, sf_dir), "rows"))).select("a", "b", "page", "row_idx")
+
+
+@query(
+    "script_body_rows",
+    f"{_MADE} SELECT a, b, row_idx, type, oi - oi // 4 AS oi, ni - ni // 4 AS ni FROM made WHERE coalesce(ni, oi) % 4 <> 3",
+)
+def script_body_rows(spark, sf_dir):
+    """Rows of body units, where every fourth unit of a side is a note's."""
+    paired = _paired(spark, sf_dir)
+    streamed = lambda s: F.transform(f"units_{s}", lambda t, i: F.struct(t.alias("text"), F.when(i % 4 == 3, "footnotes").otherwise("body").alias("stream"))).alias(f"units_{s}")
+    return report.body_rows(_made(spark, sf_dir), paired.select("a", "b", streamed("a"), streamed("b"))).select("a", "b", "row_idx", "type", "oi", "ni")
+
+
+@query(
+    "script_comment_counts",
+    f"""{_MADE} SELECT a, b, count(*) FILTER (type = 'inserted') AS added, count(*) FILTER (type = 'deleted') AS removed, count(*) FILTER (type = 'equal' AND num_changed) AS edited
+    FROM made WHERE type <> 'equal' OR num_changed GROUP BY a, b""",
+)
+def script_comment_counts(spark, sf_dir):
+    state = F.when(F.col("type") == "inserted", "added").when(F.col("type") == "deleted", "removed").when(F.col("num_changed"), "edited").otherwise("unchanged")
+    return report.comment_counts(_made(spark, sf_dir).withColumn("state", state))
