@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import signature
+from foliospark.operators import tables
 from foliospark.sources import pdf
 
 
@@ -110,3 +111,49 @@ def test_units_of_files(spark, tmp_path):
     (tmp_path / "bad.pdf").write_bytes(b"%PDF-1.4")
     got = {r.path.rpartition("/")[2]: r.units for r in pdf.unit_lists(pdf.read(spark, str(tmp_path)), signature(F.col("text"))).collect()}
     assert got["bad.pdf"] == [] and len(got["x.pdf"]) == 1 and "Running" not in got["x.pdf"][0] and got["x.pdf"][0].count("line 2") == 3
+
+
+def tabbed(y, *pieces, size=10.0, page=1):
+    return {"page": page, "y": float(y), "x0": pieces[0][0], "x1": pieces[-1][0] + 40.0, "size": size, "text": "\t".join(t for _, t in pieces), "cols": [{"x0": x, "x1": x + 40.0} for x, _ in pieces]}
+
+
+def plain(y, x, text, page=1):
+    return {"page": page, "y": float(y), "x0": x, "x1": x + 200.0, "size": 10.0, "text": text, "cols": []}
+
+
+ROWS = [tabbed(100, (50.0, "Name"), (150.0, "Amount")), tabbed(115, (50.0, "Rent"), (151.0, "100")), plain(127, 150.0, "per month"), tabbed(142, (49.0, "Fee"), (150.0, "20"))]
+
+
+def test_tables_without_rules():
+    lines = [plain(80, 50.0, "before"), *ROWS, plain(160, 50.0, "after")]
+    (table,) = tables.find(lines)
+    assert [[[x["text"] for x in cell] for cell in row] for row in table.cells()] == [[["Name"], ["Amount"]], [["Rent"], ["100", "per month"]], [["Fee"], ["20"]]]
+    xs, ys = table.edges()
+    assert xs == pytest.approx([149 / 3 - 5.4, 451 / 3 - 5.4, 355.4]) and ys == pytest.approx([90.0, 104.0, 131.0, 145.0])
+    assert len(tables.find([tabbed(100 + 12 * i, (50.0, "A thing"), (180.0, str(i))) for i in range(3)])) == 1
+    assert [p["text"] for p in pdf.paragraphs(tables.with_cells(lines))] == ["before", "Name", "Amount", "Rent", "100 per month", "Fee", "20", "after"]
+
+
+@pytest.mark.parametrize(
+    "lines",
+    [
+        ROWS[:3],
+        [tabbed(100 + 12 * i, (50.0, f"{i}."), (80.0, "item")) for i in range(4)],
+        [tabbed(100 + 12 * i, (50.0, "B"), (80.0, "item")) for i in range(4)],
+        [tabbed(100 + 12 * i, (50.0, "Part ....."), (180.0, str(i))) for i in range(4)],
+        [tabbed(100 + 30 * i, (50.0, "far"), (180.0, "apart")) for i in range(4)],
+        [tabbed(100 + 12 * i, (50.0, "not"), (180.0 + 9 * i, "aligned")) for i in range(4)],
+        [],
+    ],
+)
+def test_no_tables(lines):
+    assert tables.find(lines) == [] and tables.with_cells(lines) == lines
+
+
+def test_table_cells_of_files(spark, tmp_path):
+    rows = "".join(text((50, 600 - 14 * k), f"left{k}") + text((250, 600 - 14 * k), f"right{k}") for k in range(3))
+    (tmp_path / "x.pdf").write_bytes(make([text((50, 700), "A heading of the page") + rows]))
+    files = pdf.read(spark, str(tmp_path))
+    found = tables.table_cells(pdf.page_lines(files), ["path", "page"]).orderBy("row", "col").collect()
+    assert [(r.table, r.row, r.col, r.text) for r in found] == [(0, k, c, f"{side}{k}") for k in range(3) for c, side in enumerate(("left", "right"))]
+    assert pdf.unit_lists(files, signature(F.col("text"))).first().units == ["A heading of the page", "left0", "right0", "left1", "right1", "left2", "right2"]

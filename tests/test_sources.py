@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import compare as C
 from foliospark.operators import ranges, report, similarity, threads
-from foliospark.sources import docx
+from foliospark.sources import docx, files
 from foliospark.streaming import versions
+from test_pdf import make as pdf_file, text as drawn
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" xmlns:w15="http://schemas.microsoft.com/office/word/2012/wordml" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 
@@ -203,3 +204,21 @@ def test_streams(spark, tmp_path):
     q = versions.rows(versions.pairs(spark, src)).select("a", "type").writeStream.format("memory").queryName("seen_rows").option("checkpointLocation", f"{tmp_path}/s2").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("seen_rows").count() == 2
+
+
+def test_files_of_either_kind(spark, tmp_path):
+    for name, words in (("a", "One old line."), ("b", "One new line.")):
+        (tmp_path / f"{name}.docx").write_bytes(package(p(words)))
+        (tmp_path / f"{name}.pdf").write_bytes(pdf_file([drawn((50, 600), words)]))
+    (tmp_path / "x.txt").write_bytes(b"plain")
+    (tmp_path / "y.pdf").write_bytes(b"%PDF-1.4 broken")
+    found = files.read(spark, str(tmp_path)).cache()
+    got = {r.path.rpartition("/")[2]: r for r in found.collect()}
+    assert {n: (r.kind, r.error is None) for n, r in got.items()} == {"a.docx": ("docx", True), "b.docx": ("docx", True), "a.pdf": ("pdf", True), "b.pdf": ("pdf", True), "x.txt": (None, False), "y.pdf": ("pdf", False)}
+    assert got["a.docx"].units[0].text == got["a.pdf"].units[0].text == "One old line."
+    path = {n: r.path for n, r in got.items()}
+    pairs = spark.createDataFrame([(path[x], path[y]) for x, y in (("a.docx", "b.docx"), ("a.pdf", "b.pdf"), ("a.docx", "b.pdf"), ("a.pdf", "x.txt"))] + [(path["a.pdf"], "gone.pdf")], "a string, b string")
+    both = files.paired(pairs, found)
+    assert sorted(str(r.error) for r in both.collect()) == sorted(["None", "None", files.MIXED, files.UNKNOWN, "no such file"])
+    counted = C.summary(C.compare(both.filter("error IS NULL").drop("error"))).collect()
+    assert [(r.insertions, r.deletions, r.total) for r in counted] == [(1, 1, 2)] * 2
