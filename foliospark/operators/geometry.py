@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 1.5
+#: An edge is there where this share of it is drawn.
+DRAWN = 0.8
 DEFAULT_TAB = 36.0
 TINT = 0.15
 
@@ -58,6 +60,39 @@ def grids(rules: Sequence[dict], tolerance: float = TOLERANCE) -> list[dict]:
     return [{"grid": i, **g} for i, g in enumerate(kept)]
 
 
+def _drawn(rules: Sequence[dict], across: str, along: str, at: float, start: float, end: float, tolerance: float) -> bool:
+    """Whether rules at a place draw enough of the stretch from start to end."""
+    near = sorted(sorted((r[f"{along}0"], r[f"{along}1"])) for r in rules if abs(r[f"{across}0"] - at) <= tolerance and abs(r[f"{across}1"] - at) <= tolerance)
+    done, covered = start, 0.0
+    for a, b in near:
+        covered += max(0.0, min(b, end) - max(a, done))
+        done = max(done, b)
+    return covered >= DRAWN * (end - start)
+
+
+def cells(grid: dict, rules: Sequence[dict], tolerance: float = TOLERANCE) -> list[dict]:
+    """row, col, rows, cols, x0, y0, x1, y1 of a grid's cells by row and column; fields with no rule between are one cell."""
+    xs, ys = grid["xs"], grid["ys"]
+    left = {(r, c) for r in range(len(ys) - 1) for c in range(len(xs) - 1)}
+    open_right = lambda r, c: (r, c + 1) in left and not _drawn(rules, "x", "y", xs[c + 1], ys[r], ys[r + 1], tolerance)
+    open_below = lambda r, c: (r + 1, c) in left and not _drawn(rules, "y", "x", ys[r + 1], xs[c], xs[c + 1], tolerance)
+    out = []
+    for field in sorted(left):
+        if field not in left:
+            continue
+        whole, edge = {field}, [field]
+        while edge:
+            r, c = edge.pop()
+            beside = [(r, c + 1)] * open_right(r, c) + [(r + 1, c)] * open_below(r, c)
+            beside += [(r, c - 1)] * ((r, c - 1) in left and open_right(r, c - 1)) + [(r - 1, c)] * ((r - 1, c) in left and open_below(r - 1, c))
+            edge += [f for f in beside if f not in whole]
+            whole |= set(beside)
+        left -= whole
+        (r0, r1), (c0, c1) = ((min(v), max(v)) for v in zip(*whole, strict=True))
+        out.append({"row": r0, "col": c0, "rows": r1 - r0 + 1, "cols": c1 - c0 + 1, "x0": xs[c0], "y0": ys[r0], "x1": xs[c1 + 1], "y1": ys[r1 + 1]})
+    return sorted(out, key=lambda x: (x["row"], x["col"]))
+
+
 def find_grids(pages: DataFrame, keys: Sequence[str], rules: str = "rules", tolerance: float = TOLERANCE) -> DataFrame:
     """keys and the grids of each page; ``rules`` is an array of structs x0, y0, x1, y1."""
 

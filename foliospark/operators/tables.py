@@ -81,7 +81,7 @@ def begins_row(line: dict) -> bool:
 def find(lines: Sequence[dict]) -> list[Table]:
     """The tables among the lines of one page."""
     found: list[Table] = []
-    for line in sorted(lines, key=lambda x: (x["y"], x["x0"])):
+    for line in sorted((x for x in lines if x.get("grid") is None), key=lambda x: (x["y"], x["x0"])):
         table = found[-1] if found and not found[-1].closed else None
         if table is not None:
             if begins_row(line) and table.fits(line):
@@ -98,7 +98,10 @@ def find(lines: Sequence[dict]) -> list[Table]:
 
 
 def with_cells(lines: Sequence[dict]) -> list[dict]:
-    """Lines in order, those of tables cut into pieces with ``cell`` (page, table, row, column), row by row."""
+    """Lines in order, with ``cell`` where they are in a table.
+
+    Lines of tables without rules are cut into pieces, row by row; those of ruled tables (``grid``, ``grid_cell``) stay.
+    """
     out: list[dict] = []
     for page, group in groupby(lines, key=lambda x: x["page"]):
         on_page = list(group)
@@ -108,7 +111,8 @@ def with_cells(lines: Sequence[dict]) -> list[dict]:
                 pieces |= {id(line): [] for _, line in wrapped}
                 pieces[id(first)] = [line | {"cell": (page, t, r, k)} for k, cell in enumerate(row) for line in cell]
         for line in on_page:
-            out += pieces.get(id(line), [line])
+            ruled = line.get("grid") is not None
+            out += [line | {"cell": (page, "ruled", line["grid"], line["grid_cell"])}] if ruled else pieces.get(id(line), [line])
     return out
 
 
@@ -130,5 +134,6 @@ def table_cells(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
         for batch in batches:
             yield pa.array([cells(x) for x in batch.to_pylist()], pa.list_(_CELL))
 
-    pages = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line", "y", "x0", "x1", "size", "text", "cols"))).alias("_lines"))
+    free = lines.filter("grid IS NULL") if "grid" in lines.columns else lines
+    pages = free.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line", "y", "x0", "x1", "size", "text", "cols"))).alias("_lines"))
     return pages.select(*keys, F.arrow_udf(run, CELLS_DDL)(F.col("_lines")).alias("_cells")).select(*keys, F.inline("_cells"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import signature
-from foliospark.operators import tables
+from foliospark.operators import geometry, tables
 from foliospark.sources import pdf
 
 
@@ -157,3 +157,26 @@ def test_table_cells_of_files(spark, tmp_path):
     found = tables.table_cells(pdf.page_lines(files), ["path", "page"]).orderBy("row", "col").collect()
     assert [(r.table, r.row, r.col, r.text) for r in found] == [(0, k, c, f"{side}{k}") for k in range(3) for c, side in enumerate(("left", "right"))]
     assert pdf.unit_lists(files, signature(F.col("text"))).first().units == ["A heading of the page", "left0", "right0", "left1", "right1", "left2", "right2"]
+
+
+def test_ruled_tables(spark, tmp_path):
+    """Two rows of two columns; the first row's fields are one cell, and one border is a thin filled box."""
+    edges = "50 700 200 0.5 re f 50 680 m 250 680 l S 50 660 m 250 660 l S 50 660 m 50 700 l 250 700 m 250 660 l S 150 660 m 150 680 l S 10 10 m 90 90 l S "
+    words = text((60, 686), "both columns") + text((60, 666), "left") + text((160, 666), "right") + text((50, 740), "above") + text((50, 600), "below")
+    (tmp_path / "x.pdf").write_bytes(make([edges + words]))
+    got = pdf.read_bytes((tmp_path / "x.pdf").read_bytes())["pages"][0]
+    assert len(got["rules"]) == 6 and {(r["y0"], r["y1"]) for r in got["rules"] if r["y0"] == r["y1"]} == {(99.75, 99.75), (120.0, 120.0), (140.0, 140.0)}
+    assert [(x["text"], x["grid"], x["grid_cell"]) for x in got["lines"]] == [("above", None, None), ("both columns", 0, 0), ("left", 0, 1), ("right", 0, 2), ("below", None, None)]
+    (grid,) = geometry.grids(got["rules"])
+    assert [(c["row"], c["col"], c["rows"], c["cols"]) for c in geometry.cells(grid, got["rules"])] == [(0, 0, 1, 2), (1, 0, 1, 1), (1, 1, 1, 1)]
+    files = pdf.read(spark, str(tmp_path))
+    assert pdf.unit_lists(files, signature(F.col("text"))).first().units == ["above", "both columns", "left", "right", "below"]
+
+
+def test_forms_are_drawn_in_place():
+    inner = (text((0, 0), "in a form") + "0 0 m 100 0 l S").encode()
+    form = f"60 0 obj << /Type /XObject /Subtype /Form /Matrix [1 0 0 1 40 500] /Length {len(inner)} >>\nstream\n".encode() + inner + b"\nendstream endobj\n"
+    page = make(["q 1 0 0 1 10 0 cm /X1 Do Q " + text((50, 400), "after")], fonts="/F1 5 0 R >> /XObject << /X1 60 0 R", extra=[form])
+    got = pdf.read_bytes(page)["pages"][0]
+    assert [(x["text"], x["x0"], x["y"]) for x in got["lines"]] == [("in a form", 50.0, 300.0), ("after", 50.0, 400.0)]
+    assert got["rules"] == [{"x0": 50.0, "y0": 300.0, "x1": 150.0, "y1": 300.0}]
