@@ -80,6 +80,31 @@ def noted(notes: DataFrame, references: DataFrame, keys: Sequence[str], out: str
     return notes.join(named, [*keys, "note"], "left").withColumn(out, F.coalesce("_named", F.lit(False))).drop("_named")
 
 
+def merged_items(rows: DataFrame, revised: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, pos, row_idx, at, section: the merged document: revised paragraphs in order, empty ones too, and deleted rows.
+
+    ``rows`` holds keys, row_idx, oi and ni; ``revised`` keys, at (the place of a paragraph), ni (null: empty) and ends,
+    whether it ends a section. A deleted row stands before the revised paragraph that it precedes, but after the first end
+    of a section between that and the one before it, in the section that ends there. An empty paragraph has no row_idx.
+    """
+    last = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    paragraphs = revised.withColumn("_gap", F.coalesce(F.max("ni").over(last) + 1, F.lit(0)))
+    ends = paragraphs.filter("ends").groupBy(*keys, F.col("_gap").alias("_next")).agg(F.min("at").alias("_end"))
+    starts = paragraphs.filter("ni IS NOT NULL").select(*keys, F.col("ni").alias("_next"), F.col("at").alias("_start"))
+    past = paragraphs.groupBy(*keys).agg(F.max("_gap").alias("_past"))
+    later = Window.partitionBy(*keys).orderBy("row_idx").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    gone = rows.withColumn("_next", F.min("ni").over(later)).filter("ni IS NULL").join(past, list(keys), "left")
+    gone = gone.withColumn("_next", F.coalesce("_next", "_past", F.lit(0))).join(ends, [*keys, "_next"], "left").join(starts, [*keys, "_next"], "left")
+    # A row before the paragraph at p has the place (p, 0), the paragraph (p, 1), a row after it (p, 2).
+    place = F.when(F.col("_end").isNotNull(), F.struct(F.col("_end").alias("at"), F.lit(2).alias("k"))).otherwise(F.struct(F.coalesce("_start", F.lit(2**31 - 1)).alias("at"), F.lit(0).alias("k")))
+    deleted = gone.select(*keys, "row_idx", F.lit(None).cast(revised.schema["at"].dataType).alias("at"), F.lit(0).alias("_ends"), place.alias("_place"))
+    named = rows.filter("ni IS NOT NULL").select(*keys, "ni", "row_idx")
+    kept = revised.join(named, [*keys, "ni"], "left").select(*keys, "row_idx", "at", F.col("ends").cast("int").alias("_ends"), F.struct("at", F.lit(1).alias("k")).alias("_place"))
+    order = Window.partitionBy(*keys).orderBy("_place.at", "_place.k", "row_idx")
+    before = F.coalesce(F.sum("_ends").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - (F.col("_place.k") == 2).cast("int")
+    return deleted.unionByName(kept).select(*keys, (F.row_number().over(order) - 1).alias("pos"), "row_idx", "at", before.alias("section"))
+
+
 def collapse_spacing(blocks: DataFrame, keys: Sequence[str], order: Sequence[str], before: str = "space_before", after: str = "space_after") -> DataFrame:
     """The gap of two blocks is the larger of the first's space after and the second's space before."""
     taken = F.lag(after).over(Window.partitionBy(*keys).orderBy(*order))
@@ -156,6 +181,20 @@ def pieces(start: Column, end: Column, text: Column, spans: Column, ranges: Colu
     return F.concat(inner, last)
 
 
+def merge_pieces(cut: Column) -> Column:
+    """Pieces of ``pieces`` with neighbours of one format and one changed flag as one; a tab or a mark begins a piece. Empty ones without a mark go."""
+    alike = lambda a, p: a["fmt"].eqNullSafe(p["fmt"]) & (a["changed"] == p["changed"]) & (p["tab"] == 0) & (F.size(p["marks"]) == 0)
+    grown = lambda a, p: F.struct(a["s"].alias("s"), p["e"].alias("e"), F.concat(a["text"], p["text"]).alias("text"), *[a[c].alias(c) for c in ("fmt", "changed", "tab", "marks")])
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown(last, p)))
+        return F.when((F.size(done) > 0) & alike(last, p), joined).otherwise(F.concat(done, F.array(p)))
+
+    kept = F.filter(cut, lambda p: (p["text"] != "") | (p["tab"] > 0) | (F.size(p["marks"]) > 0))
+    return F.aggregate(kept, F.slice(cut, F.lit(1), F.lit(0)), step)
+
+
 _SPACES = f"[{WS.replace(chr(92) + 'x09-', chr(92) + 'x0A-')}]+"
 _TABS = " ?\\t[ \\t]*"
 

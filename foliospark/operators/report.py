@@ -25,12 +25,48 @@ def side(rows: DataFrame, which: str) -> DataFrame:
     return rows.filter(F.col("oi" if which == "a" else "ni").isNotNull())
 
 
-def change_list(passages: DataFrame, rows: DataFrame, category: str | None = None) -> DataFrame:
-    """Numbered changes with their rows' types, one category or all."""
-    joined = passages.join(rows.select(*PAIR, "row_idx", "type", "oi", "ni"), [*PAIR, "row_idx"])
+#: Where a change can be: in a paragraph of the body or a table of it, or in another stream.
+LOCATIONS = ("body", "table", "footnote", "endnote", "header", "footer")
+
+
+def located(rows: DataFrame, paired: DataFrame) -> DataFrame:
+    """rows with marker and location, of the revised unit where there is one, else of the original.
+
+    ``paired`` holds units_a and units_b, arrays of structs with marker, stream and ti (null outside tables).
+    """
+    joined = rows.join(paired.select(*PAIR, "units_a", "units_b"), list(PAIR))
+    unit = F.when(F.col("ni").isNotNull(), F.get("units_b", F.col("ni"))).otherwise(F.get("units_a", F.col("oi")))
+    told = joined.withColumn("_unit", unit)
+    place = F.when(F.col("_unit.stream") != "body", F.col("_unit.stream")).when(F.col("_unit.ti").isNotNull(), F.lit("table")).otherwise(F.lit("body"))
+    return told.withColumns({"marker": F.col("_unit.marker"), "location": place}).drop("_unit", "units_a", "units_b")
+
+
+def marked_text(rows: DataFrame, which: str) -> DataFrame:
+    """a, b, text: one side of ``located`` rows, a line for each paragraph of that side after its marker."""
+    drop, at = ("ins", "oi") if which == "a" else ("del", "ni")
+    own = F.when(F.col("num_changed"), F.col("old_marker")) if which == "a" else F.lit(None)
+    words = F.array_join(F.transform(F.filter("segments", lambda s: s["m"] != drop), lambda s: s["t"]), "")
+    line = F.concat_ws(" ", F.nullif(F.coalesce(own, F.col("marker")), F.lit("")), words)
+    listed = rows.filter(F.col(at).isNotNull()).groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("row_idx", line.alias("t")))).alias("lines"))
+    return listed.select(*PAIR, F.array_join(F.transform("lines", lambda x: x["t"]), "\n").alias("text"))
+
+
+def change_list(passages: DataFrame, rows: DataFrame, category: str | None = None, location: str = "all") -> DataFrame:
+    """Numbered changes with their rows' types, one category or all, and of one location of ``located`` rows or all."""
+    if location not in ("all", *LOCATIONS):
+        raise ValueError(f"unknown location: {location}")
+    there = rows if location == "all" else rows.filter(F.col("location") == location)
+    joined = passages.join(there.select(*PAIR, "row_idx", "type", "oi", "ni"), [*PAIR, "row_idx"])
     return joined if category is None else joined.filter(F.col("category") == category)
 
 
+def side_items(items: DataFrame, rows: DataFrame, which: str) -> DataFrame:
+    """The merged document's items of one side: of the original (a) rows with an original paragraph; of the revised (b) also its empty paragraphs."""
+    told = items.join(rows.select(*PAIR, "row_idx", "oi", "ni"), [*PAIR, "row_idx"], "left")
+    held = F.col("oi").isNotNull() if which == "a" else F.col("row_idx").isNull() | F.col("ni").isNotNull()
+    return told.filter(held).select(*items.columns)
+
+
 def paged(rows: DataFrame, lines_a_page: int = 40, chars_a_line: int = 80) -> DataFrame:
     """rows with page (from 1): a greedy fill by running line count, for plain text without fonts."""
     text = F.array_join(F.transform("segments", lambda s: s["t"]), "")

@@ -376,3 +376,55 @@ def script_body_rows(spark, sf_dir):
 def script_comment_counts(spark, sf_dir):
     state = F.when(F.col("type") == "inserted", "added").when(F.col("type") == "deleted", "removed").when(F.col("num_changed"), "edited").otherwise("unchanged")
     return report.comment_counts(_made(spark, sf_dir).withColumn("state", state))
+
+
+def _streamed(spark, sf_dir):
+    """Pairs whose every fourth unit of a side is a footnote's, every third other one a table's, with markers."""
+    unit = lambda t, i: F.struct(t.alias("text"), F.concat(i.cast("string"), F.lit(".")).alias("marker"), F.when(i % 4 == 3, "footnote").otherwise("body").alias("stream"), F.when(i % 3 == 1, i).alias("ti"))
+    return _paired(spark, sf_dir).select("a", "b", *[F.transform(f"units_{s}", unit).alias(f"units_{s}") for s in "ab"])
+
+
+@query(
+    "script_table_changes",
+    f"""{_MADE}, found AS (
+      SELECT a, b, row_idx, type, oi, ni, 0 AS seg_idx, CASE type WHEN 'inserted' THEN 'insertion' ELSE 'deletion' END AS category FROM made WHERE type <> 'equal'
+      UNION ALL SELECT a, b, row_idx, type, oi, ni, -1, 'numbering' FROM made WHERE num_changed),
+    numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY a, b ORDER BY row_idx, seg_idx) AS INT) AS cid FROM found)
+    SELECT a, b, cid, category, row_idx, seg_idx, type, oi, ni FROM numbered WHERE coalesce(ni, oi) % 4 <> 3 AND coalesce(ni, oi) % 3 = 1""",
+)
+def script_table_changes(spark, sf_dir):
+    """The changes in tables, by the numbers that they have among all."""
+    rows = written(_made(spark, sf_dir), "rows")
+    return report.change_list(C.passages(rows), report.located(rows, _streamed(spark, sf_dir)), location="table")
+
+
+@query(
+    "script_marked_text",
+    f"{_MADE} SELECT a, b, string_agg(CASE WHEN num_changed THEN 'old' ELSE coalesce(ni, oi) || '.' END || ' ' || text, chr(10) ORDER BY row_idx) AS text FROM made WHERE oi IS NOT NULL GROUP BY a, b",
+)
+def script_marked_text(spark, sf_dir):
+    rows = _made(spark, sf_dir).withColumn("old_marker", F.when(F.col("num_changed"), F.lit("old")))
+    return report.marked_text(report.located(rows, _streamed(spark, sf_dir)), "a")
+
+
+@query(
+    "merged_items",
+    f"""{_MADE}, revised AS (
+      SELECT a, b, 3 * j + k AS "at", CASE WHEN k = 1 THEN j END AS ni, (3 * j + k) % 7 = 5 AS ends
+      FROM (SELECT a, b, unnest(range(0, len(lb))) AS j FROM paired), (VALUES (0), (1), (2)) AS s(k) WHERE k = 1 OR j % 2 = 0
+    ), gone AS (
+      SELECT a, b, row_idx, (SELECT min(x.ni) FROM made x WHERE x.a = m.a AND x.b = m.b AND x.row_idx > m.row_idx) AS n FROM made m WHERE ni IS NULL
+    ), bounded AS (
+      SELECT g.*, coalesce(3 * n + 1, 2147483647) AS until, coalesce(3 * coalesce(n, (SELECT max(ni) + 1 FROM revised r WHERE r.a = g.a AND r.b = g.b), 0) - 2, -1) AS since FROM gone g
+    ), placed AS (
+      SELECT a, b, row_idx, CAST(NULL AS BIGINT) AS "at", 0 AS e, coalesce(2 * (SELECT min(r."at") FROM revised r WHERE r.a = g.a AND r.b = g.b AND r.ends AND r."at" >= g.since AND r."at" < g.until) + 0.5, 2 * until - 0.5) AS place FROM bounded g
+      UNION ALL SELECT r.a, r.b, m.row_idx, r."at", CAST(r.ends AS INT), 2 * r."at" FROM revised r LEFT JOIN made m ON m.a = r.a AND m.b = r.b AND m.ni = r.ni
+    )
+    SELECT a, b, CAST(row_number() OVER (PARTITION BY a, b ORDER BY place, row_idx) - 1 AS INT) AS pos, row_idx, CAST("at" AS INT) AS "at",
+           CAST((SELECT count(*) FROM revised r WHERE r.a = p.a AND r.b = p.b AND r.ends AND 2 * r."at" < p.place - 0.5) AS BIGINT) AS section FROM placed p""",
+)
+def merged_items(spark, sf_dir):
+    """The merged documents, with an empty paragraph on both sides of every second line and sections that end by rule."""
+    lines = _paired(spark, sf_dir).select("a", "b", F.posexplode("units_b").alias("j", "text")).select("a", "b", "j", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).filter("k = 1 OR j % 2 = 0")
+    revised = lines.select("a", "b", (3 * F.col("j") + F.col("k")).alias("at"), F.when(F.col("k") == 1, F.col("j")).alias("ni")).withColumn("ends", F.col("at") % 7 == 5)
+    return flow.merged_items(_made(spark, sf_dir), revised, ["a", "b"])

@@ -1,9 +1,11 @@
 """Units that follow one another, and texts cut at their edges: fixed cases beside the SQL of the queries."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import flow
+from foliospark.operators import flow, report
 
 
 def rows(df, *columns):
@@ -117,3 +119,58 @@ def test_content_bottom(spark):
     boxes = F.array(F.struct(F.lit(80.0).alias("top"), F.lit(12.0).alias("height")))
     assert one(spark, flow.content_bottom(F.lit(72.0), boxes)) == 92.0
     assert one(spark, flow.content_bottom(F.lit(72.0), F.filter(boxes, lambda x: F.lit(False)))) == 72.0
+
+
+def merged(rows, revised):
+    """The merged document by walking the revised paragraphs."""
+    out, done, section = [], 0, 0
+    at_ni = {ni: k for k, (_, ni) in enumerate(rows) if ni is not None}
+
+    def flush(until):
+        nonlocal done
+        while done < until:
+            if rows[done][1] is None:
+                out.append((done, None, section))
+            done += 1
+
+    seen = 0
+    for at, (ni, ends) in enumerate(revised):
+        if ni is not None:
+            flush(at_ni[ni])
+            seen, done = seen + 1, max(done, at_ni[ni] + 1)
+        out.append((None if ni is None else at_ni[ni], at, section))
+        if ends:
+            flush(at_ni.get(seen, len(rows)))
+            section += 1
+    flush(len(rows))
+    return out
+
+
+def test_merged_items_against_a_walk(spark):
+    rng, cases = random.Random(7), []
+    for _ in range(60):
+        n = rng.randrange(0, 6)
+        rows, revised = [], []
+        for j in range(n + 1):
+            rows += [(0, None)] * rng.choice([0, 0, 1, 2])
+            revised += [(None, rng.random() < 0.3) for _ in range(rng.choice([0, 0, 1, 2]))]
+            if j < n:
+                rows.append((rng.choice([0, None]), j))
+                revised.append((j, rng.random() < 0.3))
+        cases.append((rows, revised))
+    table = spark.createDataFrame([(c, k, oi, ni) for c, (rows, _) in enumerate(cases) for k, (oi, ni) in enumerate(rows)], "d int, row_idx int, oi int, ni int")
+    paragraphs = spark.createDataFrame([(c, at, ni, ends) for c, (_, revised) in enumerate(cases) for at, (ni, ends) in enumerate(revised)], "d int, at int, ni int, ends boolean")
+    items = flow.merged_items(table, paragraphs, ["d"])
+    got = {c: [] for c in range(len(cases))}
+    for r in items.orderBy("d", "pos").collect():
+        got[r.d].append((r.row_idx, r.at, r.section))
+    assert [got[c] for c in got] == [merged(*case) for case in cases]
+    pair = lambda df: df.withColumns({"a": F.col("d"), "b": F.col("d")})
+    sides = {s: report.side_items(pair(items), pair(table), s).count() for s in "ab"}
+    assert sides == {"a": sum(oi is not None for rows, _ in cases for oi, _ in rows), "b": sum(len(revised) for _, revised in cases)}
+
+
+def test_merged_pieces(spark):
+    piece = lambda s, e, text, fmt, tab=0, marks=(): F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(text).alias("text"), F.lit(fmt).cast("string").alias("fmt"), F.lit(False).alias("changed"), F.lit(tab).alias("tab"), F.array(*map(F.lit, marks)).cast("array<int>").alias("marks"))
+    cut = F.array(piece(0, 1, "a", "x"), piece(1, 2, "b", "x"), piece(2, 3, " ", "x", tab=1), piece(3, 4, "c", "x"), piece(4, 4, "", None), piece(4, 5, "d", None), piece(5, 6, "e", None, marks=[1]))
+    assert [(p.s, p.e, p.text) for p in one(spark, flow.merge_pieces(cut))] == [(0, 2, "ab"), (2, 4, " c"), (4, 5, "d"), (5, 6, "e")]
