@@ -10,9 +10,10 @@ bucket, and, as a bucket may hold many unlike texts (a passage that many documen
 least node of the finer buckets that two and three sketches in a row make. That links most copies with at
 most 3n pairs of a bucket of n nodes. What is left are buckets whose nodes are in several classes by then:
 there the nodes of different classes meet by their rarest word pairs, of which texts that are alike share
-many (see ``rare``); a node meets the first and the last holder of a pair, by id and by two hashes. So no
-number of pairs grows with the square of a group, and a copy is lost only where for nearly all the rare word
-pairs that both texts hold other unlike texts lead. A pair is a link where the edit distance over words, aligned in the
+many (see ``rare``); a node meets the first and the last holder of a pair, by id and by two hashes. Where
+other unlike texts lead the rare word pairs that two alike texts hold, these have not met; so of the nodes that are
+in different classes even then every two that share enough rare word pairs meet (see ``remaining``), and no pair of a
+bucket is lost. Only this last step grows with the square of a group, of unlike texts. A pair is a link where the edit distance over words, aligned in the
 band that the threshold leaves, is at most (1 - similarity) of the longer text. The classes are the
 connected components of the links; a class is named by its least id.
 
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import column, dropped, hot_join, packed, unpacked, written
+from foliospark.llm.common import COLD, column, dropped, hot_join, packed, unpacked, written
 from foliospark.llm.wordhash import U, Texts, _numbers, mix, slices, windows
 
 K = 5
@@ -272,8 +273,8 @@ def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, word long")
 
 
-def strangers(df: DataFrame, members: DataFrame, known: DataFrame, met: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs id, leader in different classes that may be alike and have not met, with the rare word pairs that bring them together, among the nodes of buckets with several classes."""
+def strangers(df: DataFrame, members: DataFrame, known: DataFrame, met: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Pairs id, leader in different classes that may be alike and have not met, with the rare word pairs that bring them together, among the nodes of buckets with several classes; and id, n_words, class and word of these nodes."""
     # By merge at every size, as in verified.
     classed = members.select("k0", "id", "n_words").join(known.hint("merge"), "id", "left").select("k0", "id", "n_words", F.coalesce("class", "id").alias("class"))
     several = classed.groupBy("k0").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("k0")
@@ -295,7 +296,29 @@ def strangers(df: DataFrame, members: DataFrame, known: DataFrame, met: DataFram
     # Each end may have led some of the word pairs that both hold.
     pairs = pairs.filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(least_shared(F.col("shorter")) / 2))).drop("shorter")
     out = written(pairs.join(met.select("id", "leader"), ["id", "leader"], "left_anti"), "pairs-strangers")
-    dropped(left, texts, held, words)
+    dropped(left, texts, words)
+    return out, held
+
+
+def remaining(held: DataFrame, known: DataFrame, met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All other pairs id, leader of strangers that may be alike and are in different classes by now.
+
+    Every two holders of a word pair meet here, so its rows grow with the square of the unlike holders of a word
+    pair; hot word pairs are dealt to many tasks.
+    """
+    held = held.drop("class").join(known.hint("merge"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    words = held.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("holders"))
+    words = words.filter("low <> high").select("word", F.ceil(F.col("holders") / COLD).cast("int").alias("parts"))
+    each = written(held.join(words.hint("merge"), "word"), "holders")
+    mine = each.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    theirs = each.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("leader"), F.col("n_words").alias("m"), F.col("class").alias("c"))
+    shorter = F.least("n_words", "m")
+    near = shorter >= similarity * F.greatest("n_words", "m") - 1e-6
+    meeting = mine.join(theirs.hint("merge"), ["word", "part"]).filter((F.col("leader") < F.col("id")) & (F.col("class") != F.col("c")) & near)
+    pairs = meeting.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(shorter).alias("shorter"))
+    pairs = pairs.filter(F.col("shared") >= least_shared(F.col("shorter"))).drop("shorter")
+    out = written(pairs.join(met.hint("merge"), ["id", "leader"], "left_anti"), "pairs-remaining")
+    dropped(each)
     return out
 
 
@@ -368,13 +391,16 @@ def waves(df: DataFrame, pairs: DataFrame, before: list[DataFrame], id_col: str,
 
 
 def linked(df: DataFrame, pairs: DataFrame, members: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Links that hold the classes of all nodes that share a sketch together: of the pairs with leaders, then of the strangers that these leave."""
+    """Links that hold the classes of all nodes that share a sketch together: of the pairs with leaders, then of the strangers that these leave: those that rare word pairs lead, and all others."""
     links = waves(df, pairs, [], id_col, text_col, similarity)
     known = components(reduce(DataFrame.unionByName, links))
-    more = strangers(df, members, known, pairs, id_col, text_col, similarity)
+    more, held = strangers(df, members, known, pairs, id_col, text_col, similarity)
     links += waves(df, more, links, id_col, text_col, similarity)
+    joined = components(reduce(DataFrame.unionByName, links))
+    rest = remaining(held, joined, pairs.unionByName(more).select("id", "leader"), similarity)
+    links += waves(df, rest, links, id_col, text_col, similarity)
     out = written(reduce(DataFrame.unionByName, links), "links")
-    dropped(*links, known, more)
+    dropped(*links, known, more, held, joined, rest)
     return out
 
 

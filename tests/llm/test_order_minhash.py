@@ -119,6 +119,26 @@ def test_copies_around_a_template_of_older_texts(spark, docs):
     assert [(b, c) for b, c in sharing if got[b] != got[c]] == []
 
 
+def test_copies_whose_rare_word_pairs_unlike_texts_lead(spark, docs):
+    """Texts are put together from few long runs of words, so all word pairs of two copies have many unlike holders."""
+    rng = random.Random(12)
+    runs = [[f"r{k}x{i}" for i in range(40)] for k in range(14)]
+    made = lambda: [w for run in rng.sample(runs, 5) for w in run]
+    texts, pairs = [" ".join(made()) for _ in range(90)], []
+    for _ in range(30):
+        b = made()
+        at = set(rng.sample(range(200), 36))
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(b), " ".join(f"n{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(b))]
+    texts += [" ".join(made()) for _ in range(90)]
+    df = docs(texts)
+    sketches = {r.id: set(enumerate(r.sketches)) for r in O.sketches(df).collect()}
+    got = {r.doc_id: r.class_id for r in O.classes(df).collect()}
+    sharing = [(b, c) for b, c in pairs if sketches[b] & sketches[c]]
+    assert len(sharing) >= 20
+    assert [(b, c) for b, c in sharing if got[b] != got[c]] == []
+
+
 def test_recall(spark, docs):
     """Of all pairs of at least 0.8 edit similarity, found by brute force, at least 0.9 end in one class."""
     rng = random.Random(21)

@@ -160,3 +160,26 @@ def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
     """Where all windows have one hash the words still decide."""
     monkeypatch.setattr(S, "_hashed", lambda words: F.lit(5).cast("long"))
     check(spark, mixed(11, 30))
+
+
+def test_bounds_of_what_a_task_holds_drop_nothing(spark, monkeypatch):
+    """A task sends on what it holds and starts anew; every anchor of every text is an entry, direct ones by their own fingerprint."""
+    import pyarrow as pa
+
+    rows = mixed(5, 40)
+    batches = [pa.RecordBatch.from_pydict({"key": pa.array([k]), "part": pa.array([0]), "text": pa.array([t])}) for k, t in rows]
+    every = lambda: sorted((r["of"] if r["direct"] else r["route"], r["key"], r["pos"]) for b in S._entries(20, S.ANCHOR)(iter(batches)) for r in b.to_pylist())
+    whole = every()
+    monkeypatch.setattr(S, "HELD", 10)
+    assert every() == whole and len({r[0] for r in whole}) < len(whole)
+
+
+def test_passage_in_more_texts_than_are_cold(spark):
+    """One passage with its own words around it in each of many texts, in many runs and compactions."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(700):
+        own, a = [f"w{rng.randrange(10**6)}" for _ in range(12)], rng.randrange(15)
+        rows.append((i, " ".join(own[:6] + passage[a : a + rng.randrange(19, 26)] + own[6:])))
+    check(spark, rows, batches=6, fanout=1)
