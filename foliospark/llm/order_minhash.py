@@ -8,12 +8,10 @@ more of both their content and its order they share.
 Equal texts are one node. Nodes that share a sketch form a bucket; each meets the least node of its
 bucket, and, as a bucket may hold many unlike texts (a passage that many documents quote), also the
 least node of the finer buckets that two and three sketches in a row make. That links most copies with at
-most 3n pairs of a bucket of n nodes. What is left are buckets whose nodes are in several classes by then:
-there the nodes of different classes meet by their rarest word pairs, of which texts that are alike share
-many (see ``rare``); a node meets the first and the last holder of a pair, by id and by two hashes. Where
-other unlike texts lead the rare word pairs that two alike texts hold, these have not met; so of the nodes that are
-in different classes even then every two that share enough rare word pairs meet (see ``remaining``), and no pair of a
-bucket is lost. Only this last step grows with the square of a group, of unlike texts. A pair is a link where the edit distance over words, aligned in the
+most 3n pairs of a bucket of n nodes. What is left are buckets whose nodes are in several classes by then.
+There every two classes meet that hold a rare word in common, as all texts that are alike do (see ``rare``): first two
+of their nodes, then, where the classes are still apart, all nodes of both (see ``between``). So no pair of a bucket
+is lost. Only this last step grows with the square of a group: of the unlike classes that hold a rare word. A pair is a link where the edit distance over words, aligned in the
 band that the threshold leaves, is at most (1 - similarity) of the longer text. The classes are the
 connected components of the links; a class is named by its least id.
 
@@ -46,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import COLD, column, dropped, hot_join, packed, unpacked, written
-from foliospark.llm.wordhash import U, Texts, _numbers, mix, slices, windows
+from foliospark.llm.wordhash import U, _numbers, mix, slices, windows
 
 K = 5
 SKETCHES = 48
@@ -55,10 +53,10 @@ SIMILARITY = 0.8
 PORTION = 32
 #: Numbers that a sketch makes at once.
 CELLS = 1 << 20
-#: Slots that count how often word pairs stand in the texts that are left: 4 MB that each task gets.
+#: Words of a portion of a class of strangers.
+WORDS = 1 << 16
+#: Slots that count how often words stand in the texts that are left: 4 MB that each task gets.
 SLOTS = 1 << 20
-#: Rare word pairs that two texts must share to meet: a part of the shorter's words, and one at least.
-LEAST = 0.05
 
 
 def _occurrences(kmers: np.ndarray) -> np.ndarray:
@@ -222,32 +220,25 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     return found, members
 
 
-def least_shared(n: Column | int):
-    """Rare word pairs that two texts share if they are alike and the shorter has n words."""
-    return F.greatest(F.lit(1), F.floor(LEAST * n)) if isinstance(n, Column) else max(1, int(LEAST * n))
-
-
-def _word_pairs(words: Texts, i: int, pairs: np.ndarray) -> np.ndarray:
-    """The hashes of the pairs of neighbouring words of text i; of a text of one word that word's."""
-    a, b = words.first[i], words.first[i + 1]
-    return pairs[a : b - 1] if b - a > 1 else windows(words.hashes()[a:b], 1)
-
-
 def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """id, word: the rarest word pairs of each text (hashes; repeats count), of which texts that are alike share ``least_shared``.
+    """id, n_words, word, before: the rarest words of each text (hashes; repeats count), of which texts that are alike share one, and the word before each in this order.
 
-    An edit of a word takes two pairs at most, so of two texts the longer keeps n - 1 - 2 * limit of its n - 1
-    pairs: in any one order of all pairs the first 2 * limit + least of both have ``least`` in common; a shorter
-    text's own limit is enough, as it is shorter. How rare a pair is, is read from counts in ``SLOTS`` slots, a
-    table of fixed size; pairs that share a slot only cost selectivity. A passage that many texts quote is frequent,
-    so it counts only in texts that hold little else.
+    Of two texts that are alike the longer keeps n - limit of its n words: in any one order of all words the first
+    limit + 1 of both have one in common; a shorter text's own limit is enough, as it is shorter. How rare a word
+    is, is read from counts in ``SLOTS`` slots, a table of fixed size; words that share a slot only cost
+    selectivity. A passage that many texts quote is frequent, so it counts only in texts that hold little else.
     """
 
+    def labelled(hashes: np.ndarray) -> np.ndarray:
+        return mix(hashes + _occurrences(hashes) * U(0x9E3779B97F4A7C15))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for _, _, words in slices(batch.column("text")):
-                total += np.bincount((windows(words.hashes(), 2) % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for first, end, words in slices(batch.column("text")):
+                hashes = words.hashes()
+                for i in range(end - first):
+                    np.add.at(total, (labelled(hashes[words.first[i] : words.first[i + 1]]) % U(SLOTS)).astype(np.int64), 1)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
@@ -259,67 +250,55 @@ def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         for batch in batches:
             ids = np.asarray(batch.column("id"))
             for first, end, words in slices(batch.column("text")):
-                pairs = windows(words.hashes(), 2)
-                own, out = [np.empty(0, np.int64)], [np.empty(0, U)]
+                hashes = words.hashes()
+                own, sizes, out, before, heads = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, U)], [np.empty(0, U)], [np.empty(0, bool)]
                 for i in range(end - first):
                     n = int(words.first[i + 1] - words.first[i])
-                    mine = _word_pairs(words, i, pairs)
-                    labelled = mix(mine + _occurrences(mine) * U(0x9E3779B97F4A7C15))
-                    order = np.lexsort((labelled, often[(mine % U(SLOTS)).astype(np.int64)]))
-                    out.append(labelled[order[: 2 * int((1 - similarity) * n + 1e-9) + least_shared(n) + 2]])
-                    own.append(np.full(len(out[-1]), ids[first + i], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(out).view(np.int64))], names=["id", "word"])
-
-    return texts.select("id", "text").mapInArrow(run, "id long, word long")
-
-
-def strangers(df: DataFrame, members: DataFrame, known: DataFrame, met: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Pairs id, leader in different classes that may be alike and have not met, with the rare word pairs that bring them together, among the nodes of buckets with several classes; and id, n_words, class and word of these nodes."""
+                    mine = labelled(hashes[words.first[i] : words.first[i + 1]])
+                    order = np.lexsort((mine, often[(mine % U(SLOTS)).astype(np.int64)]))
+                    out.append(mine[order[: int((1 - similarity) * n + 1e-9) + 1]])
+                    k = len(out[-1])
+                    before.append(np.roll(out[-1], 1))
+                    heads.append(np.arange(k) == 0)
+                    own.append(np.full(k, ids[first + i], np.int64))
+                    sizes.append(np.full(k, n, np.int32))
+                columns = [np.concatenate(own), np.concatenate(sizes), np.concatenate(out).view(np.int64)]
+                last = pa.array(np.concatenate(before).view(np.int64), mask=np.concatenate(heads))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), last], names=["id", "n_words", "word", "before"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n_words int, word long, before long")
+
+
+def strangers(df: DataFrame, members: DataFrame, known: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """id, n_words and class of the nodes of buckets with several classes; and all pairs a, b of these classes whose nodes may be alike, with two nodes id, leader that may be (null if the two that were looked at may not).
+
+    A class is one row of a word, however many of its nodes hold it, so the rows grow with the square of the
+    classes that hold a rare word, not of its holders; words that many classes hold are dealt to many tasks. Two
+    nodes that share a word and also the word before it meet by that one already.
+    """
     # By merge at every size, as in verified.
     classed = members.select("k0", "id", "n_words").join(known.hint("merge"), "id", "left").select("k0", "id", "n_words", F.coalesce("class", "id").alias("class"))
     several = classed.groupBy("k0").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("k0")
-    left = written(classed.join(several.hint("merge"), "k0").select("id", "n_words", "class").distinct(), "strangers")
-    texts = texts_of(df, id_col, text_col)
-    texts = written(texts.join(left.select("id").distinct().hint("merge"), "id"), "strangers-texts")
-    held = written(left.join(rare(texts, similarity).distinct().hint("merge"), "id"), "rare-pairs")
-    # Of the holders of a word pair the first and last by id and by two hashes lead: each meets those, never all the others.
-    node = F.struct("id", "n_words", "class")
-    ranked = [(F.lit(0), F.min), (F.lit(0), F.max), (F.xxhash64("id"), F.min), (F.xxhash64("id", F.lit(1)), F.min)]
-    leaders = F.array_distinct(F.array(*[pick(F.struct(rank.cast("long").alias("rank"), node.alias("of")))["of"] for rank, pick in ranked])).alias("leaders")
-    words = written(held.groupBy("word").agg(leaders, F.count(F.lit(1)).alias("holders")), "leaders")
-    total = words.agg(F.coalesce(F.sum("holders"), F.lit(0))).first()[0]
-    meeting = hot_join(held, words, "word", "holders", F.col("id"), total).select("id", "n_words", "class", F.explode("leaders").alias("l"))
-    near = F.least("n_words", "l.n_words") >= similarity * F.greatest("n_words", "l.n_words") - 1e-6
-    meeting = meeting.filter((F.col("id") != F.col("l.id")) & (F.col("class") != F.col("l.class")) & near)
-    ends = meeting.select(F.greatest("id", "l.id").alias("id"), F.least("id", "l.id").alias("leader"), F.least("n_words", "l.n_words").alias("shorter"))
-    pairs = ends.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min("shorter").alias("shorter"))
-    # Each end may have led some of the word pairs that both hold.
-    pairs = pairs.filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(least_shared(F.col("shorter")) / 2))).drop("shorter")
-    out = written(pairs.join(met.select("id", "leader"), ["id", "leader"], "left_anti"), "pairs-strangers")
-    dropped(left, texts, words)
-    return out, held
-
-
-def remaining(held: DataFrame, known: DataFrame, met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All other pairs id, leader of strangers that may be alike and are in different classes by now.
-
-    Every two holders of a word pair meet here, so its rows grow with the square of the unlike holders of a word
-    pair; hot word pairs are dealt to many tasks.
-    """
-    held = held.drop("class").join(known.hint("merge"), "id", "left").withColumn("class", F.coalesce("class", "id"))
-    words = held.groupBy("word").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("holders"))
-    words = words.filter("low <> high").select("word", F.ceil(F.col("holders") / COLD).cast("int").alias("parts"))
+    left = classed.join(several.hint("merge"), "k0").select("id", "n_words", "class").distinct()
+    nodes = written(left.groupBy("id", "class").agg(F.sum("n_words").alias("n_words")), "strangers")  # an id may have several texts
+    of = nodes.select("id", "class")
+    texts = written(texts_of(df, id_col, text_col).join(of.select("id").hint("merge"), "id"), "strangers-texts")
+    last = F.when((F.count("before") == F.count(F.lit(1))) & (F.min("before") == F.max("before")), F.min("before")).alias("before")
+    held = of.join(rare(texts, similarity).hint("merge"), "id").groupBy("word", "class")
+    held = written(held.agg(F.min("n_words").alias("low"), F.max("n_words").alias("high"), last, F.min(F.struct("id", "n_words")).alias("of")), "rare-words")
+    words = held.groupBy("word").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("word", F.ceil(F.col("holders") / COLD).cast("int").alias("parts"))
     each = written(held.join(words.hint("merge"), "word"), "holders")
-    mine = each.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    theirs = each.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("leader"), F.col("n_words").alias("m"), F.col("class").alias("c"))
-    shorter = F.least("n_words", "m")
-    near = shorter >= similarity * F.greatest("n_words", "m") - 1e-6
-    meeting = mine.join(theirs.hint("merge"), ["word", "part"]).filter((F.col("leader") < F.col("id")) & (F.col("class") != F.col("c")) & near)
-    pairs = meeting.groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min(shorter).alias("shorter"))
-    pairs = pairs.filter(F.col("shared") >= least_shared(F.col("shorter"))).drop("shorter")
-    out = written(pairs.join(met.hint("merge"), ["id", "leader"], "left_anti"), "pairs-remaining")
-    dropped(each)
-    return out
+    mine = each.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
+    theirs = each.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("class", "low", "high", "before", "of")])
+    near = lambda least, most: least >= similarity * most - 1e-6
+    meeting = mine.join(theirs.hint("merge"), ["word", "part"]).filter(
+        (F.col("class_a") < F.col("class")) & near(F.least("high", "high_a"), F.greatest("low", "low_a")) & ~F.coalesce(F.col("before") == F.col("before_a"), F.lit(False))
+    )
+    two = F.when(near(F.least("of.n_words", "of_a.n_words"), F.greatest("of.n_words", "of_a.n_words")), F.struct(F.col("of.id").alias("id"), F.col("of_a.id").alias("leader")))
+    pairs = meeting.groupBy(F.col("class_a").alias("a"), F.col("class").alias("b")).agg(F.min(two).alias("two")).select("a", "b", "two.*")
+    pairs = written(pairs, "pairs-classes")
+    dropped(texts, held, each)
+    return nodes, pairs
 
 
 def verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -351,6 +330,58 @@ def verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, simila
     return together.select("leader", "portion", "role", "id", "text").mapInArrow(run, "id long, leader long").distinct()
 
 
+def between(df: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Links between the classes a, b of each pair: one at least if any two of their nodes are alike.
+
+    The larger class of a pair is cut into portions by nodes and by words, and each meets all nodes of the other
+    class; so a text is sent once for ``PORTION`` others, and a class that is linked is not looked at again there.
+    """
+    sizes = written(nodes.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words")), "class-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cuts = F.greatest(F.ceil(F.col("n") / PORTION), F.ceil(F.col("n_words") / WORDS)).cast("int")
+    size = lambda c: sizes.select(F.col("class").alias(c), F.struct(F.col("n"), F.col("class").alias("class"), cuts.alias("cuts")).alias(f"of_{c}"))
+    both = pairs.select("a", "b").join(size("a").hint("merge"), "a").join(size("b").hint("merge"), "b")
+    asked = both.select(F.greatest("of_a", "of_b").alias("h"), F.least("of_a", "of_b").alias("o")).select(F.col("h.class").alias("head"), F.col("h.cuts").alias("cuts"), F.col("h.n").alias("n_head"), F.col("o.class").alias("other"), F.col("o.n").alias("n_other"))
+    asked = written(asked, "classes-apart")
+    heads = asked.groupBy("head").agg(F.max("n_head").alias("n"), F.max("cuts").alias("cuts"), F.ceil(F.sum("n_other") / PORTION).cast("int").alias("portions"))
+    heads = written(heads, "heads")
+    others = asked.join(heads.select("head", "portions").hint("merge"), "head").groupBy(F.col("other").alias("class")).agg(F.max("n_other").alias("n"), F.collect_list(F.struct("head", "cuts", "portions")).alias("heads"))
+    others = written(others, "others")
+    of = nodes.select("id", "class")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    led = hot_join(of, heads.withColumnRenamed("head", "class"), "class", "n", F.col("id"), total)
+    led = led.select("id", F.col("class").alias("head"), place("cuts").alias("cut"), upto("portions").alias("portion"), F.lit(0).alias("role"), F.col("class").alias("other"))
+    met = hot_join(of, others, "class", "n", F.col("id"), total).select("id", "class", F.explode("heads").alias("h")).select("id", "class", "h.*")
+    met = met.select("id", "head", upto("cuts").alias("cut"), place("portions").alias("portion"), F.lit(1).alias("role"), F.col("class").alias("other"))
+    places = written(led.unionByName(met), "places")
+    dropped(sizes, asked, heads, others)
+    key = ["head", "cut", "portion"]
+    together = texts_of(df, id_col, text_col).join(places.hint("merge"), "id").repartition(*key).sortWithinPartitions(*key, "role", "other", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads, linked = None, [], None
+        for batch in batches:
+            ids, out = [], []
+            texts = batch.column("text").cast(pa.binary())
+            for i, (*here, role, other, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*key, "role", "other", "id")), strict=True)):
+                if at != here:
+                    at, heads, linked = here, [], None
+                if not role:
+                    heads.append((own, Sequence(texts[i].as_py())))
+                elif other != linked:
+                    sequence = Sequence(texts[i].as_py())
+                    if (found := next((head for head, words in heads if alike(sequence, words, similarity)), None)) is not None:
+                        ids.append(own)
+                        out.append(found)
+                        linked = other
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], names=["id", "leader"])
+
+    out = written(together.select(*key, "role", "other", "id", "text").mapInArrow(run, "id long, leader long").distinct(), "verified")
+    dropped(places)
+    return out
+
+
 def components(links: DataFrame, a: str = "id", b: str = "leader") -> DataFrame:
     """id, class of every end of a link: the least id that links lead to.
 
@@ -391,16 +422,20 @@ def waves(df: DataFrame, pairs: DataFrame, before: list[DataFrame], id_col: str,
 
 
 def linked(df: DataFrame, pairs: DataFrame, members: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Links that hold the classes of all nodes that share a sketch together: of the pairs with leaders, then of the strangers that these leave: those that rare word pairs lead, and all others."""
+    """Links that hold the classes of all nodes that share a sketch together: of the pairs with leaders, then of the classes of strangers that these leave, first by two nodes of each pair of classes, then by all."""
     links = waves(df, pairs, [], id_col, text_col, similarity)
     known = components(reduce(DataFrame.unionByName, links))
-    more, held = strangers(df, members, known, pairs, id_col, text_col, similarity)
-    links += waves(df, more, links, id_col, text_col, similarity)
+    nodes, met = strangers(df, members, known, id_col, text_col, similarity)
+    links.append(written(verified(df, met.filter("id IS NOT NULL").select("id", "leader"), id_col, text_col, similarity), "verified"))
     joined = components(reduce(DataFrame.unionByName, links))
-    rest = remaining(held, joined, pairs.unionByName(more).select("id", "leader"), similarity)
-    links += waves(df, rest, links, id_col, text_col, similarity)
+    of = lambda c: joined.select(F.col("id").alias(c), F.col("class").alias(f"class_{c}"))
+    size = lambda c: nodes.groupBy(F.col("class").alias(c)).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    apart = met.select("a", "b").join(size("a").hint("merge"), "a").join(size("b").hint("merge"), "b").filter("n_a > 1 OR n_b > 1")
+    apart = apart.join(of("a").hint("merge"), "a", "left").join(of("b").hint("merge"), "b", "left").filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b"))
+    apart = written(apart.select("a", "b"), "pairs-apart")
+    links.append(between(df, nodes, apart, id_col, text_col, similarity))
     out = written(reduce(DataFrame.unionByName, links), "links")
-    dropped(*links, known, more, held, joined, rest)
+    dropped(*links, known, nodes, met, joined, apart)
     return out
 
 

@@ -139,6 +139,49 @@ def test_copies_whose_rare_word_pairs_unlike_texts_lead(spark, docs):
     assert [(b, c) for b, c in sharing if got[b] != got[c]] == []
 
 
+def test_unlike_texts_meet_classes_not_their_members(spark, docs, monkeypatch):
+    """Copies of a template and texts that are nearly alike to them: pairs do not grow with the members of a class, and no link between classes is lost."""
+    rng = random.Random(13)
+    template = [f"t{i}" for i in range(200)]
+    edited = lambda n: [f"n{rng.randrange(10**9)}" if i in at else w for at in [set(rng.sample(range(200), n))] for i, w in enumerate(template)]
+    words = [edited(12) for _ in range(100)] + [edited(n) for n in (30, 34, 36) for _ in range(12)]
+    rng.shuffle(words)
+    made, write = {}, O.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(O, "written", counted)
+    got = {r.doc_id: r.class_id for r in O.classes(docs([" ".join(w) for w in words])).collect()}
+    label = list(range(len(words)))
+    for i in range(len(words)):
+        for j in range(i):
+            if label[i] != label[j] and O.aligned(words[i], words[j], 40) is not None:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert len(set(label)) > 20
+    assert [got[i] for i in range(len(words))] == label
+    after_leaders = {name: n for name, n in made.items() if name.startswith(("pairs-", "places")) and name != "pairs-apart"}
+    assert max(after_leaders.values()) <= 1000, after_leaders
+
+
+def test_linked_members_of_classes_whose_first_nodes_are_unlike(spark, docs):
+    """``between`` finds a link of two classes by any of their nodes, in each of many portions."""
+    rng = random.Random(14)
+    words = [[f"c{g}x{i}" for i in range(100)] for g in (0, 1) for _ in range(45)]
+    for i, w in enumerate(words):
+        w[i % 45] = f"n{rng.randrange(10**9)}"
+    words[70] = words[30][:90] + words[70][90:]  # of the second class, and alike to the first alone
+    df = docs([" ".join(w) for w in words])
+    nodes = spark.createDataFrame([(i, 0 if i < 45 else 45, 100) for i in range(90)], "id long, class long, n_words int")
+    pairs = spark.createDataFrame([(0, 45)], "a long, b long")
+    links = {(r.id, r.leader) for r in O.between(df, nodes, pairs, "doc_id", "text").collect()}
+    assert links and all(70 in link and min(link) < 45 for link in links)
+    assert O.between(df, nodes, pairs.limit(0), "doc_id", "text").count() == 0
+
+
 def test_recall(spark, docs):
     """Of all pairs of at least 0.8 edit similarity, found by brute force, at least 0.9 end in one class."""
     rng = random.Random(21)
