@@ -57,6 +57,8 @@ CELLS = 1 << 20
 WORDS = 1 << 16
 #: Slots that count how often words stand in the texts that are left: 4 MB that each task gets.
 SLOTS = 1 << 20
+#: Numbers of 64 bits in a signature.
+SIGNS = 16
 
 
 def _occurrences(kmers: np.ndarray) -> np.ndarray:
@@ -220,6 +222,37 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     return found, members
 
 
+def labelled(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of words with the number of their occurrence in the text, so that repeats count."""
+    return mix(hashes + _occurrences(hashes) * U(0x9E3779B97F4A7C15))
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """class, ones and zeros: the bits that are set in the signature of each of its texts, and those that are in none.
+
+    A bit of a signature says whether the words (repeats count) that fall to it are odd in number, so two texts
+    differ in at most as many bits as they have words that are not in the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = np.asarray(batch.column("class"))
+            for first, end, words in slices(batch.column("text")):
+                hashes = words.hashes()
+                odd = np.zeros((end - first, 64 * SIGNS), np.uint8)
+                for i in range(end - first):
+                    at = labelled(hashes[words.first[i] : words.first[i + 1]]) % U(64 * SIGNS)
+                    odd[i] = np.bincount(at.astype(np.int64), minlength=64 * SIGNS) & 1
+                signs = np.packbits(odd, axis=1).view(np.int64)
+                names = ["class", *[f"s{i}" for i in range(SIGNS)]]
+                yield pa.RecordBatch.from_arrays([pa.array(classes[first:end]), *[pa.array(signs[:, i].copy()) for i in range(SIGNS)]], names=names)
+
+    each = texts.select("class", "text").mapInArrow(run, "class long, " + ", ".join(f"s{i} long" for i in range(SIGNS)))
+    ones = F.struct(*[F.bit_and(f"s{i}").alias(f"s{i}") for i in range(SIGNS)]).alias("ones")
+    zeros = F.struct(*[F.bitwise_not(F.bit_or(f"s{i}")).alias(f"s{i}") for i in range(SIGNS)]).alias("zeros")
+    return each.groupBy("class").agg(ones, zeros)
+
+
 def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """id, n_words, word, before: the rarest words of each text (hashes; repeats count), of which texts that are alike share one, and the word before each in this order.
 
@@ -229,9 +262,6 @@ def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     selectivity. A passage that many texts quote is frequent, so it counts only in texts that hold little else.
     """
 
-    def labelled(hashes: np.ndarray) -> np.ndarray:
-        return mix(hashes + _occurrences(hashes) * U(0x9E3779B97F4A7C15))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
@@ -274,7 +304,8 @@ def strangers(df: DataFrame, members: DataFrame, known: DataFrame, id_col: str,
 
     A class is one row of a word, however many of its nodes hold it, so the rows grow with the square of the
     classes that hold a rare word, not of its holders; words that many classes hold are dealt to many tasks. Two
-    nodes that share a word and also the word before it meet by that one already.
+    nodes that share a word and also the word before it meet by that one already. Classes of which no two texts can be
+    alike by their signatures do not meet: what is alike differs in at most twice the words that may be edited.
     """
     # By merge at every size, as in verified.
     classed = members.select("k0", "id", "n_words").join(known.hint("merge"), "id", "left").select("k0", "id", "n_words", F.coalesce("class", "id").alias("class"))
@@ -282,22 +313,25 @@ def strangers(df: DataFrame, members: DataFrame, known: DataFrame, id_col: str,
     left = classed.join(several.hint("merge"), "k0").select("id", "n_words", "class").distinct()
     nodes = written(left.groupBy("id", "class").agg(F.sum("n_words").alias("n_words")), "strangers")  # an id may have several texts
     of = nodes.select("id", "class")
-    texts = written(texts_of(df, id_col, text_col).join(of.select("id").hint("merge"), "id"), "strangers-texts")
+    texts = written(texts_of(df, id_col, text_col).join(of.hint("merge"), "id"), "strangers-texts")
     last = F.when((F.count("before") == F.count(F.lit(1))) & (F.min("before") == F.max("before")), F.min("before")).alias("before")
     held = of.join(rare(texts, similarity).hint("merge"), "id").groupBy("word", "class")
     held = written(held.agg(F.min("n_words").alias("low"), F.max("n_words").alias("high"), last, F.min(F.struct("id", "n_words")).alias("of")), "rare-words")
     words = held.groupBy("word").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("word", F.ceil(F.col("holders") / COLD).cast("int").alias("parts"))
-    each = written(held.join(words.hint("merge"), "word"), "holders")
+    signs = written(signatures(texts), "signatures")
+    each = written(held.join(words.hint("merge"), "word").join(signs.hint("merge"), "class"), "holders")
     mine = each.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
-    theirs = each.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("class", "low", "high", "before", "of")])
+    theirs = each.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("class", "low", "high", "before", "of", "ones", "zeros")])
     near = lambda least, most: least >= similarity * most - 1e-6
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"ones.s{i}").bitwiseAND(F.col(f"zeros_a.s{i}")).bitwiseOR(F.col(f"zeros.s{i}").bitwiseAND(F.col(f"ones_a.s{i}")))) for i in range(SIGNS)])
     meeting = mine.join(theirs.hint("merge"), ["word", "part"]).filter(
         (F.col("class_a") < F.col("class")) & near(F.least("high", "high_a"), F.greatest("low", "low_a")) & ~F.coalesce(F.col("before") == F.col("before_a"), F.lit(False))
+        & (differ <= 2 * (1 - similarity) * F.greatest("high", "high_a") + 1e-6)
     )
     two = F.when(near(F.least("of.n_words", "of_a.n_words"), F.greatest("of.n_words", "of_a.n_words")), F.struct(F.col("of.id").alias("id"), F.col("of_a.id").alias("leader")))
     pairs = meeting.groupBy(F.col("class_a").alias("a"), F.col("class").alias("b")).agg(F.min(two).alias("two")).select("a", "b", "two.*")
     pairs = written(pairs, "pairs-classes")
-    dropped(texts, held, each)
+    dropped(texts, held, signs, each)
     return nodes, pairs
 
 

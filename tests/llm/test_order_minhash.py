@@ -167,6 +167,26 @@ def test_unlike_texts_meet_classes_not_their_members(spark, docs, monkeypatch):
     assert max(after_leaders.values()) <= 1000, after_leaders
 
 
+def test_strangers_that_share_rare_words_meet_only_where_signatures_allow(spark, docs):
+    """Pairs of classes do not grow with the square of the holders of a rare word, and every alike pair is among them."""
+    rng = random.Random(15)
+    words = [[f"r{k}" for k in rng.sample(range(40), 12)] + [f"o{rng.randrange(10**4)}" for _ in range(108)] for _ in range(160)]
+    near = [(i, i + 160) for i in range(0, 160, 4)]
+    for i, _ in near:
+        at = set(rng.sample(range(120), 24))
+        words.append([f"n{rng.randrange(10**6)}" if k in at else w for k, w in enumerate(words[i])])
+    near = [(i, 160 + k) for k, (i, _) in enumerate(near)]
+    df = docs([" ".join(w) for w in words])
+    members = spark.createDataFrame([(0, i, 120) for i in range(len(words))], "k0 long, id long, n_words int")
+    known = spark.createDataFrame([], "id long, class long")
+    met = {(r.a, r.b) for r in O.strangers(df, members, known, "doc_id", "text")[1].collect()}
+    assert all(O.aligned(words[a], words[b], 24) is not None for a, b in near) and set(near) <= met
+    assert len(met) <= 2 * len(near), len(met)
+    one = spark.createDataFrame([(i, 0) for i, _ in near], "id long, class long")  # a class of many texts is alike by any of them
+    met = {(r.a, r.b) for r in O.strangers(df, members, one, "doc_id", "text")[1].collect()}
+    assert {(0, b) for _, b in near} <= met
+
+
 def test_linked_members_of_classes_whose_first_nodes_are_unlike(spark, docs):
     """``between`` finds a link of two classes by any of their nodes, in each of many portions."""
     rng = random.Random(14)
