@@ -9,8 +9,8 @@ Equal texts are one node. Nodes that share a sketch form a bucket; each meets th
 bucket, and, as a bucket may hold many unlike texts (a passage that many documents quote), also the
 least node of the finer buckets that two and three sketches in a row make. That links most copies with at
 most 3n pairs of a bucket of n nodes. What is left are buckets whose nodes are in several classes by then.
-There every two classes meet that hold a rare word in common, as all texts that are alike do (see ``rare``): first two
-of their nodes, then, where the classes are still apart, all nodes of both (see ``between``). So no pair of a bucket
+There every two classes meet that hold a rare word in common, or many rare word pairs where they are long, as all texts
+that are alike do (see ``drawn``): first two of their nodes, then, where the classes are still apart, all nodes of both (see ``between``). So no pair of a bucket
 is lost. Only this last step grows with the square of a group: of the unlike classes that hold a rare word. A pair is a link where the edit distance over words, aligned in the
 band that the threshold leaves, is at most (1 - similarity) of the longer text. The classes are the
 connected components of the links; a class is named by its least id.
@@ -59,6 +59,12 @@ WORDS = 1 << 16
 SLOTS = 1 << 20
 #: Numbers of 64 bits in a signature.
 SIGNS = 16
+#: Words from which a signature is too full to tell texts apart, so that word pairs are counted instead.
+LONG = 512
+#: Of so many words of a long text one rare word pair at least is in all that is alike to it.
+SHARED = 10
+#: Similarity from which texts that are alike have that many word pairs in common.
+COUNTED = 0.6
 
 
 def _occurrences(kmers: np.ndarray) -> np.ndarray:
@@ -253,12 +259,27 @@ def signatures(texts: DataFrame) -> DataFrame:
     return each.groupBy("class").agg(ones, zeros)
 
 
-def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """id, n_words, word, before: the rarest words of each text (hashes; repeats count), of which texts that are alike share one, and the word before each in this order.
+def drawn(hashes: np.ndarray, similarity: float) -> Iterator[tuple[bool, np.ndarray, int]]:
+    """What a text may meet others by: whether as a long one, its words or word pairs (hashes; repeats count), and how many of the rarest are enough.
 
     Of two texts that are alike the longer keeps n - limit of its n words: in any one order of all words the first
-    limit + 1 of both have one in common; a shorter text's own limit is enough, as it is shorter. How rare a word
-    is, is read from counts in ``SLOTS`` slots, a table of fixed size; words that share a slot only cost
+    limit + 1 of both have one in common; a shorter text's own limit is enough, as it is shorter. An edit takes two
+    word pairs at most (a mark before the first word makes them as many as words), so n - 2 * limit of these are kept and
+    the first 2 * limit + k have k in common; the limits of texts that differ by a word may take one more. Texts are
+    short where they may be alike to one under ``LONG`` words, and long from there, so some are both.
+    """
+    n = len(hashes)
+    limit = int((1 - similarity) * n + 1e-9)
+    if similarity < COUNTED or n * similarity < LONG:
+        yield False, labelled(hashes), limit + 1
+    if similarity >= COUNTED and n >= LONG:
+        yield True, labelled(windows(np.concatenate([np.zeros(1, U), hashes]), 2)), 2 * limit + n // SHARED + 1
+
+
+def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """id, n_words, long, word, before: the rarest words, or word pairs, of each text that those alike to it share (see ``drawn``), and the word before each in this order.
+
+    How rare a word is, is read from counts in ``SLOTS`` slots, a table of fixed size; words that share a slot only cost
     selectivity. A passage that many texts quote is frequent, so it counts only in texts that hold little else.
     """
 
@@ -268,7 +289,8 @@ def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             for first, end, words in slices(batch.column("text")):
                 hashes = words.hashes()
                 for i in range(end - first):
-                    np.add.at(total, (labelled(hashes[words.first[i] : words.first[i + 1]]) % U(SLOTS)).astype(np.int64), 1)
+                    for _, mine, _ in drawn(hashes[words.first[i] : words.first[i + 1]], similarity):
+                        np.add.at(total, (mine % U(SLOTS)).astype(np.int64), 1)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
@@ -281,22 +303,23 @@ def rare(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             ids = np.asarray(batch.column("id"))
             for first, end, words in slices(batch.column("text")):
                 hashes = words.hashes()
-                own, sizes, out, before, heads = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, U)], [np.empty(0, U)], [np.empty(0, bool)]
+                own, sizes, kinds, out, before, heads = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, bool)], [np.empty(0, U)], [np.empty(0, U)], [np.empty(0, bool)]
                 for i in range(end - first):
                     n = int(words.first[i + 1] - words.first[i])
-                    mine = labelled(hashes[words.first[i] : words.first[i + 1]])
-                    order = np.lexsort((mine, often[(mine % U(SLOTS)).astype(np.int64)]))
-                    out.append(mine[order[: int((1 - similarity) * n + 1e-9) + 1]])
-                    k = len(out[-1])
-                    before.append(np.roll(out[-1], 1))
-                    heads.append(np.arange(k) == 0)
-                    own.append(np.full(k, ids[first + i], np.int64))
-                    sizes.append(np.full(k, n, np.int32))
-                columns = [np.concatenate(own), np.concatenate(sizes), np.concatenate(out).view(np.int64)]
+                    for long, mine, enough in drawn(hashes[words.first[i] : words.first[i + 1]], similarity):
+                        order = np.lexsort((mine, often[(mine % U(SLOTS)).astype(np.int64)]))
+                        out.append(mine[order[:enough]])
+                        k = len(out[-1])
+                        before.append(np.roll(out[-1], 1))
+                        heads.append(np.arange(k) == 0)
+                        own.append(np.full(k, ids[first + i], np.int64))
+                        sizes.append(np.full(k, n, np.int32))
+                        kinds.append(np.full(k, long))
+                columns = [np.concatenate(own), np.concatenate(sizes), np.concatenate(kinds), np.concatenate(out).view(np.int64)]
                 last = pa.array(np.concatenate(before).view(np.int64), mask=np.concatenate(heads))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), last], names=["id", "n_words", "word", "before"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), last], names=["id", "n_words", "long", "word", "before"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n_words int, word long, before long")
+    return texts.select("id", "text").mapInArrow(run, "id long, n_words int, long boolean, word long, before long")
 
 
 def strangers(df: DataFrame, members: DataFrame, known: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -306,6 +329,7 @@ def strangers(df: DataFrame, members: DataFrame, known: DataFrame, id_col: str,
     classes that hold a rare word, not of its holders; words that many classes hold are dealt to many tasks. Two
     nodes that share a word and also the word before it meet by that one already. Classes of which no two texts can be
     alike by their signatures do not meet: what is alike differs in at most twice the words that may be edited.
+    Signatures of long texts tell nothing; their classes meet by the number of rare word pairs in common (see ``drawn``).
     """
     # By merge at every size, as in verified.
     classed = members.select("k0", "id", "n_words").join(known.hint("merge"), "id", "left").select("k0", "id", "n_words", F.coalesce("class", "id").alias("class"))
@@ -315,23 +339,33 @@ def strangers(df: DataFrame, members: DataFrame, known: DataFrame, id_col: str,
     of = nodes.select("id", "class")
     texts = written(texts_of(df, id_col, text_col).join(of.hint("merge"), "id"), "strangers-texts")
     last = F.when((F.count("before") == F.count(F.lit(1))) & (F.min("before") == F.max("before")), F.min("before")).alias("before")
-    held = of.join(rare(texts, similarity).hint("merge"), "id").groupBy("word", "class")
+    held = of.join(rare(texts, similarity).hint("merge"), "id").groupBy("long", "word", "class")
     held = written(held.agg(F.min("n_words").alias("low"), F.max("n_words").alias("high"), last, F.min(F.struct("id", "n_words")).alias("of")), "rare-words")
-    words = held.groupBy("word").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("word", F.ceil(F.col("holders") / COLD).cast("int").alias("parts"))
+    words = held.groupBy("long", "word").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("long", "word", F.ceil(F.col("holders") / COLD).cast("int").alias("parts"))
     signs = written(signatures(texts), "signatures")
-    each = written(held.join(words.hint("merge"), "word").join(signs.hint("merge"), "class"), "holders")
-    mine = each.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
-    theirs = each.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("class", "low", "high", "before", "of", "ones", "zeros")])
     near = lambda least, most: least >= similarity * most - 1e-6
+    two = F.when(near(F.least("of.n_words", "of_a.n_words"), F.greatest("of.n_words", "of_a.n_words")), F.struct(F.col("of.id").alias("id"), F.col("of_a.id").alias("leader")))
+
+    def meeting(each: DataFrame, *more: str) -> DataFrame:
+        """Every two classes of a word that may be alike by their lengths."""
+        names = ["class", "low", "high", "of", *more]
+        mine = each.select("word", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), *names)
+        theirs = each.select("word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_a") for c in names])
+        both = mine.join(theirs.hint("merge"), ["word", "part"])
+        return both.filter((F.col("class_a") < F.col("class")) & near(F.least("high", "high_a"), F.greatest("low", "low_a")))
+
+    each = written(held.filter("NOT long").join(words.filter("NOT long").drop("long").hint("merge"), "word").join(signs.hint("merge"), "class"), "holders")
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"ones.s{i}").bitwiseAND(F.col(f"zeros_a.s{i}")).bitwiseOR(F.col(f"zeros.s{i}").bitwiseAND(F.col(f"ones_a.s{i}")))) for i in range(SIGNS)])
-    meeting = mine.join(theirs.hint("merge"), ["word", "part"]).filter(
-        (F.col("class_a") < F.col("class")) & near(F.least("high", "high_a"), F.greatest("low", "low_a")) & ~F.coalesce(F.col("before") == F.col("before_a"), F.lit(False))
-        & (differ <= 2 * (1 - similarity) * F.greatest("high", "high_a") + 1e-6)
+    short = meeting(each, "before", "ones", "zeros").filter(
+        ~F.coalesce(F.col("before") == F.col("before_a"), F.lit(False)) & (differ <= 2 * (1 - similarity) * F.greatest("high", "high_a") + 1e-6)
     )
-    two = F.when(near(F.least("of.n_words", "of_a.n_words"), F.greatest("of.n_words", "of_a.n_words")), F.struct(F.col("of.id").alias("id"), F.col("of_a.id").alias("leader")))
-    pairs = meeting.groupBy(F.col("class_a").alias("a"), F.col("class").alias("b")).agg(F.min(two).alias("two")).select("a", "b", "two.*")
+    short = short.groupBy(F.col("class_a").alias("a"), F.col("class").alias("b")).agg(F.min(two).alias("two"))
+    paired = written(held.filter("long").join(words.filter("long").drop("long").hint("merge"), "word").select("word", "parts", "class", "low", "high", "of"), "pair-holders")
+    long = meeting(paired).groupBy(F.col("class_a").alias("a"), F.col("class").alias("b"))
+    long = long.agg(F.min(two).alias("two"), F.count(F.lit(1)).alias("n"), F.min(F.least("low", "low_a")).alias("low")).filter(F.col("n") >= F.floor(F.col("low") / SHARED))
+    pairs = short.unionByName(long.select("a", "b", "two")).groupBy("a", "b").agg(F.min("two").alias("two")).select("a", "b", "two.*")
     pairs = written(pairs, "pairs-classes")
-    dropped(texts, held, signs, each)
+    dropped(texts, held, signs, each, paired)
     return nodes, pairs
 
 

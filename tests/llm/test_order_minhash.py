@@ -187,6 +187,34 @@ def test_strangers_that_share_rare_words_meet_only_where_signatures_allow(spark,
     assert {(0, b) for _, b in near} <= met
 
 
+def test_long_strangers_that_share_rare_words_meet_only_by_many_word_pairs(spark, docs):
+    """Signatures of long texts rule nothing out: pairs of their classes do not grow with the square of the holders of a rare word either."""
+    rng = random.Random(16)
+    fresh = lambda n: [f"o{rng.randrange(3000)}" for _ in range(n)]
+    words = [[f"r{k}" for k in rng.sample(range(60), 20)] + fresh(1480) for _ in range(40)]
+    words += [fresh(n) for n in (500, 512, 513, 600, 639, 640, 641, 700)]  # about the bound between short and long
+    near = []
+    for i in [*range(0, 40, 4), *range(40, 48)]:
+        n, copy = len(words[i]), list(words[i])
+        limit = n // 5
+        at = rng.sample(range(n), limit)
+        if i % 3 == 0:  # the copy is shorter by all that may be edited
+            copy = [w for k, w in enumerate(copy) if k not in set(at)]
+        else:
+            for k in at:
+                copy[k] = f"n{rng.randrange(10**6)}"
+        near.append((i, len(words)))
+        words.append(copy)
+    df = docs([" ".join(w) for w in words])
+    members = spark.createDataFrame([(0, i, len(w)) for i, w in enumerate(words)], "k0 long, id long, n_words int")
+    met = lambda known: {(r.a, r.b) for r in O.strangers(df, members, spark.createDataFrame(known, "id long, class long"), "doc_id", "text")[1].collect()}
+    assert all(O.aligned(words[a], words[b], len(words[a]) // 5) is not None for a, b in near)
+    found = met([])
+    assert set(near) <= found and len(found) <= 2 * len(near), len(found)
+    found = met([(i, 0) for i, _ in near])  # a class of many texts is alike by any of them
+    assert {(0, b) for _, b in near} <= found
+
+
 def test_linked_members_of_classes_whose_first_nodes_are_unlike(spark, docs):
     """``between`` finds a link of two classes by any of their nodes, in each of many portions."""
     rng = random.Random(14)
